@@ -22,6 +22,7 @@ Other columns, whatever their names, are kept, except that the output column is
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,7 +37,7 @@ from .common import slices
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct units and piece pairs that a worker remembers; a full memo is emptied, which costs time only.
-MEMO = 100_000
+MEMO, PAIR_MEMO = 100_000, 400_000
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 #: A character without a piece scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -53,19 +54,25 @@ def read_table(model_file: str = MODEL) -> list[tuple[str, float, int]]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and empties itself when full."""
+    """A dict that computes what it lacks. When full it keeps one older generation, from which used entries return."""
 
     def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        value = self.older.get(key)
+        self[key] = value = self.make(key) if value is None else value
         return value
 
 
+def pack(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Codec:
     """Encoder and decoder of one piece table; memory is the table's, the automaton's and two bounded memos'."""
 
@@ -76,15 +83,20 @@ class Codec:
         self.unknown = next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), 0)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k == NORMAL else " ⁇ ".encode() if k == UNKNOWN else b"" for p, _, k in pieces]
         self.unknown_score = min((s for _, s in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
-        self.automaton = ahocorasick.Automaton()
-        for p, (i, s) in self.ids.items():
-            self.automaton.add_word(p, (len(p), i, s, p))
-        self.automaton.make_automaton()
         split = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.unit = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if split else "(?s:.+)")
-        self.apart = Memo(lambda pair: self.merged(pair[0] + pair[1]) == list(pair))
-        self.whole = Memo(lambda piece: self.merged(piece) == [piece])
-        self.units = Memo(lambda u: np.array(self.viterbi(u), dtype="<i4").tobytes())
+        self.names = [p for p, _, _ in pieces]
+        #: Pieces that merging makes of their own characters; only those occur in a BPE text.
+        self.whole = [k == NORMAL and self.merged(p) == [p] for p, _, k in pieces] if bpe else []
+        self.apart = Memo(self._stay_apart, PAIR_MEMO)
+        self.scores = [s for _, s, _ in pieces]
+        self.automaton = ahocorasick.Automaton()
+        for p, (i, _) in self.ids.items():
+            if not bpe or self.whole[i]:
+                self.automaton.add_word(p, (len(p), i))
+        self.automaton.make_automaton()
+        path = self.merge_path if bpe else self.score_path
+        self.units = Memo(lambda u: pack(path(u)))
 
     def merged(self, text: str) -> list[str]:
         """What merging the best pair again and again (of equal ones the first) leaves of a short text."""
@@ -96,42 +108,54 @@ class Codec:
             k = -best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def viterbi(self, unit: str) -> list[int]:
-        n = len(unit)
-        score: list[float | None] = [0.0] + [None] * n
-        back: list[tuple[int, int, str]] = [(0, -1, "")] * (n + 1)
-        at = 0  # positions up to here are settled
-
-        def settle(to: int) -> None:
-            """A position that no piece reached is reached over its one character."""
-            nonlocal at
-            while at < to:
-                at += 1
-                if score[at] is None:
-                    score[at] = score[at - 1] + self.unknown_score
-                    back[at] = (at - 1, -1, unit[at - 1])
-
-        for last, (length, i, s, piece) in self.automaton.iter(unit):
-            settle(last)
-            start, end = last + 1 - length, last + 1
-            if self.bpe:
-                before = back[start][2]
-                if not (self.whole[piece] and (not before or self.apart[before, piece])):
-                    continue
-            if score[end] is None or score[start] + s > score[end]:
-                score[end] = score[start] + s
-                back[end] = (start, i, piece)
-        settle(n)
+    def _stay_apart(self, pair: int) -> bool:
+        """Whether merging the joined text of two pieces leaves the two."""
+        one, two = self.names[pair // len(self.names)], self.names[pair % len(self.names)]
+        return self.merged(one + two) == [one, two]
+
+    def _unknown(self, char: str) -> list[int]:
+        return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
+
+    def _back(self, unit: str, last_id: list[int], length: list[int]) -> list[int]:
+        """Follow each position's last piece (-1: its one character has none) from the end."""
         ids: list[int] = []
-        end = n
+        end = len(unit)
         while end:
-            start, i, piece = back[end]
-            ids += [i] if i >= 0 else [self.byte[b] for b in reversed(piece.encode())] if self.byte else [self.unknown]
-            end = start
-        return ids[::-1]
+            i = last_id[end]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += self._unknown(unit[end - 1])[::-1]
+            end -= length[end]
+        ids.reverse()
+        return ids
+
+    def merge_path(self, unit: str) -> list[int]:
+        """Viterbi where neighbours must stay apart under merging: the one piece that fits a position is its best."""
+        apart, count, found = self.apart, len(self.names), -1
+        last_id, length = [-1] * (len(unit) + 1), [1] * (len(unit) + 1)
+        for last, (n, i) in self.automaton.iter(unit):
+            if last != found:
+                before = last_id[last + 1 - n]
+                if before < 0 or apart[before * count + i]:
+                    last_id[last + 1], length[last + 1], found = i, n, last
+        return self._back(unit, last_id, length)
+
+    def score_path(self, unit: str) -> list[int]:
+        """Viterbi of a unigram model: the path with the best sum of scores."""
+        last_id, length, score = [-1] * (len(unit) + 1), [1] * (len(unit) + 1), [0.0] + [float("-inf")] * len(unit)
+        settled = 0
+        for last, (n, i) in [*self.automaton.iter(unit), (len(unit), (0, -1))]:
+            while settled < last:  # all pieces up to here are seen: is one unknown character the only or the better way?
+                settled += 1
+                if last_id[settled] < 0:
+                    score[settled] = score[settled - 1] + self.unknown_score
+            if n and score[last + 1 - n] + self.scores[i] > score[last + 1]:
+                score[last + 1], last_id[last + 1], length[last + 1] = score[last + 1 - n] + self.scores[i], i, n
+        return self._back(unit, last_id, length)
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
+        """The ids as 32-bit integers."""
         return b"".join([self.units[u] for u in self.unit.findall(MARK + text.replace(" ", MARK))]) if text else b""
 
     def decode(self, ids: np.ndarray) -> str:
@@ -165,7 +189,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model_file: st
             ids = [None if t is None else of.encode(t) for t in batch.column(text).to_pylist()]
             offsets = np.cumsum([0, *(len(x or b"") // 4 for x in ids)])
             mask = pa.array([x is None for x in ids])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4")), mask=mask)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32)), mask=mask)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, out])
 
     kinds = dict(docs.dtypes)
