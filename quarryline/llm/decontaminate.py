@@ -22,8 +22,6 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: A document is contaminated if one word in so many, or more, is hit.
@@ -97,7 +95,7 @@ def _window(length: int):
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, hits (sorted array of start, length) and items of every row of docs."""
-    windows = checkpointed(benchmark_windows(benchmark, window))
+    windows = benchmark_windows(benchmark, window)
     lengths = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}
     total = sum(lengths.values())
     cells = FEWEST_CELLS
