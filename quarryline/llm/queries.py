@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, pieces, simhash
-from .common import table
+from . import decontaminate, hilbert, langid, pieces, pii, quality, simhash, toxicity
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +18,37 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("pii_kinds").cast("long").alias("n_found"), "pii_kinds", "text")
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert.assign(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def _held_out(folds: int, fold: int):
+    return F.coalesce(crc_mod(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _held_out(toxicity.FOLDS, toxicity.HELD_OUT), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", _held_out(quality.FOLDS, quality.HELD_OUT), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return scored.select("doc_id", _held_out(langid.FOLDS, langid.HELD_OUT), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -32,7 +58,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_hilbert_shards, op9_simhash, op10_pieces)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_pii, op4_hilbert_shards, op5_toxicity, op6_quality, op8_language, op9_simhash, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
