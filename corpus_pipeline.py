@@ -1 +1,59 @@
-STAGES = []
+"""The corpus pipeline: civil, distinct, uncontaminated, pseudonymous documents as piece ids.
+
+``run`` applies the stages to a documents table without writing between them; a driver may as well write each stage's
+rows as Parquet and hand them to the next. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryline.llm import decontaminate, pieces, pii, simhash, toxicity
+from quarryline.llm.common import table
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, learned from the labels of docs, does not reject."""
+    return toxicity.keep_civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of least id, of each group linked by SimHash."""
+    return simhash.representatives(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows hit fewer than one word in twenty."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced; n_chars follows a text that changed."""
+    out = pii.pseudonymise(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("pii_kinds") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    return pieces.round_trip(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", civil),
+    ("simhash", distinct),
+    ("decontamination", uncontaminated),
+    ("pii", pseudonymous),
+    ("pieces", encoded),
+]
+#: SQL expresses neither the classifier nor XXH64 nor the piece model.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

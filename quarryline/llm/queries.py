@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, langid, pieces, pii, quality, simhash, toxicity
+import corpus_pipeline
+
+from . import decontaminate, hilbert, langid, neardup_vectors, phrases, pieces, pii, quality, simhash, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -43,6 +49,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(quality.FOLDS, quality.HELD_OUT), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = phrases.without_repeats(table(spark, sf_dir, "documents"))
+    return short.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
@@ -58,8 +69,9 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_pii, op4_hilbert_shards, op5_toxicity, op6_quality, op8_language, op9_simhash, op10_pieces)}
+    ops = (op1_embedding_neardup, op2_decontaminate, op3_pii, op4_hilbert_shards, op5_toxicity, op6_quality, op7_repeated_phrases, op8_language, op9_simhash, op10_pieces)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
