@@ -43,6 +43,8 @@ STEPS = 150
 RATE = 1.0
 #: Added to the root of Adam's second moment: n-grams of few texts, whose gradients are smaller, hardly move.
 EPS = 1e-4
+#: Share by which every step shrinks the embeddings: what a few texts taught fades unless others repeat it.
+SHRINK = 0.03
 SEED = 5
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 WORD_MEMO = 200_000
@@ -146,6 +148,8 @@ def train(texts: list[bytes | None], labels: np.ndarray) -> Model:
         for i in range(3):
             m[i] = 0.9 * m[i] + 0.1 * grad[i]
             v[i] = 0.999 * v[i] + 0.001 * grad[i] ** 2
+            if i == 0:
+                p[0] *= 1 - SHRINK
             p[i] -= RATE * (1 - step / (STEPS + 1)) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + EPS)
     return Model((p[0] @ (p[1][:, 1] - p[1][:, 0])).astype(np.float32), float(p[2][1] - p[2][0]))
 
