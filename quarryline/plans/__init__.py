@@ -1 +1,3 @@
-"""See the package README for the operators kept here."""
+"""Named queries; importing this package registers them."""
+
+from . import evidence  # noqa: F401
