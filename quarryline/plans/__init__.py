@@ -1,3 +1,3 @@
 """Named queries; importing this package registers them."""
 
-from . import evidence  # noqa: F401
+from . import datasets, evidence, models, relational, streams  # noqa: F401
