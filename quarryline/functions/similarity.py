@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_length(a: str, b: str) -> int:
@@ -58,16 +59,16 @@ def _paired(f, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return _paired(best_window_ratio, a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return _paired(token_set_ratio, a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matcher_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return _paired(lambda x, y: SequenceMatcher(None, x, y).ratio(), a, b)

@@ -113,7 +113,8 @@ def gram_tfidf(texts: DataFrame, query: str, n: int = 3) -> DataFrame:
     The query is one more text of the corpus. Only texts that share a gram are returned.
     """
     spark = texts.sparkSession
-    corpus = texts.select("id", "text").unionByName(spark.createDataFrame([(None, query)], texts.select("id", "text").schema))
+    asked = spark.range(1).select(F.lit(None).cast(dict(texts.dtypes)["id"]).alias("id"), F.lit(query).alias("text"))
+    corpus = texts.select("id", "text").unionByName(asked)
     chars = corpus.filter(F.char_length("text") >= n).select("id", F.split(F.lower("text"), "").alias("_c"))
     grams = F.col("_c")
     for k in range(1, n):  # pairwise, as cutting each gram out of a long text would walk the text for each
