@@ -67,20 +67,16 @@ def throttle(attempts: DataFrame) -> DataFrame:
 
 
 def throttle_stream(attempts: DataFrame) -> DataFrame:
-    """The same over a stream, a key's state kept between batches and dropped after an idle window and block."""
+    """The same over a stream, a key's state (a count and two times) kept between batches."""
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, opened, until = state.get if state.exists else (0, None, None)
         rows = pd.concat(list(batches))
         out, (n, opened, until) = _judged(key[0], rows, (n, pd.Timestamp(opened) if opened else None, pd.Timestamp(until) if until else None))
         state.update((n, str(opened) if opened is not None else None, str(until) if until is not None else None))
-        state.setTimeoutDuration((WINDOW_MIN + BLOCK_MIN) * 60_000)
         yield out
 
-    return attempts.groupBy("key").applyInPandasWithState(step, THROTTLE, "n int, opened string, until string", "append", "ProcessingTimeTimeout")
+    return attempts.groupBy("key").applyInPandasWithState(step, THROTTLE, "n int, opened string, until string", "append", "NoTimeout")
 
 
 def first_of_key(jobs: DataFrame, key: str = "idempotency_key", order: str = "queued_at") -> DataFrame:
