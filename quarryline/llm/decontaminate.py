@@ -12,7 +12,7 @@ its text.
 Nulls: a null text has no words; null ids are ids like others on the document side, and an item without id marks words
 but is not listed. Rows equal in id and text each get the (same) result row; equal ids with different texts are judged
 apart. An empty benchmark contaminates nothing; no documents give no rows. Extra columns are ignored by
-``contamination`` and kept by ``clean`` and ``mask``.
+``contamination`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -142,9 +142,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id"), "_a", "_b").distinct()
-    text = F.col("text").cast("binary")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_a")) & F.crc32(text).eqNullSafe(F.col("_b")), "left_anti")
+    bad = contamination(docs, benchmark, window).filter("contaminated").select("doc_id", "_a", "_b").distinct().alias("bad")
+    same = F.col("d.doc_id").eqNullSafe(F.col("bad.doc_id")) & (F.xxhash64("d.text") == F.col("bad._a")) & F.crc32(F.col("d.text").cast("binary")).eqNullSafe(F.col("bad._b"))
+    return docs.alias("d").join(bad, same, "left_anti")
 
 
 ORACLE_SQL = f"""

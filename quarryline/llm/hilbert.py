@@ -146,14 +146,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **how) -> None:
-    """Write the whole rows as one Parquet folder per shard, each in slot order.
+    """Write the whole rows as one Parquet folder (_shard=n) per shard, each in slot order.
 
     Assignments meet their rows by doc_id and text hash; rows equal in both share the assigned slots in any order.
     """
     from pyspark.sql import Window
 
-    same = Window.partitionBy("doc_id", "text_crc32").orderBy("slot")
-    slots = assign(docs, shards, **how).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot", F.row_number().over(same).alias("_copy"))
-    rows = docs.withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))).withColumn("_copy2", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy(*DIMENSIONS)))
-    joined = rows.join(slots, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_crc32").eqNullSafe(F.col("_crc")) & (F.col("_copy") == F.col("_copy2")))
-    joined.drop("_id", "_crc", "_copy", "_copy2", "text_crc32").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    w = Window.partitionBy("doc_id", "crc")
+    slots = assign(docs, shards, **how).select("doc_id", F.col("text_crc32").alias("crc"), "shard", "slot").withColumn("copy", F.row_number().over(w.orderBy("slot"))).alias("s")
+    rows = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.struct("*").alias("row")).withColumn("copy", F.row_number().over(w.orderBy(*(f"row.{c}" for c in DIMENSIONS)))).alias("r")
+    joined = rows.join(slots, F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("r.crc").eqNullSafe(F.col("s.crc")) & (F.col("r.copy") == F.col("s.copy")))
+    placed = joined.select("row", "s.shard", "s.slot").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+    placed.select("row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)

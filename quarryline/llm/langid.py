@@ -135,7 +135,7 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
 
 def fit(docs: DataFrame, most: int = TRAIN_MOST) -> Model | None:
     """A model from docs' own languages; None without any."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "lang", "text")
     chosen = known.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().orderBy(F.xxhash64("_id"), "_id", "_lang").limit(most)
     found = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # most rows of an id and a language
     rows = found.groupBy("_id", F.col("_lang").alias("lang")).agg(F.min("text").alias("text")).orderBy("_id", "lang").select("lang", "text").toArrow()

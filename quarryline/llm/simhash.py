@@ -194,7 +194,7 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the least id, with all its columns; rows without an id all stay."""
-    kept = components(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_kept_id")
-    joined = docs.join(checkpointed(kept), F.col("doc_id") == F.col("_kept_id"), "left")
-    once = joined.filter(F.col("doc_id").isNull() | (F.col("_rows") == 1)).select(*docs.columns)
-    return once.unionByName(joined.filter(F.col("_rows") > 1).select(*docs.columns).dropDuplicates(["doc_id"]))
+    kept = components(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    joined = docs.alias("d").join(checkpointed(kept).alias("k"), F.col("d.doc_id") == F.col("k.doc_id"), "left")
+    once = joined.filter(F.col("d.doc_id").isNull() | (F.col("k.rows") == 1)).select("d.*")
+    return once.union(joined.filter(F.col("k.rows") > 1).select("d.*").dropDuplicates(["doc_id"]))

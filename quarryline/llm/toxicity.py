@@ -11,7 +11,7 @@ layer is linear, a word's vector reduces to one number, its logit, remembered by
 text's score is the logistic of the mean logit plus the bias. Only the text enters a score.
 
 Null and empty texts have no words and score the bias alone. Null ids are not learned from and are not held out. With no
-labelled row of both classes every text scores 0.5 less a hair (predicted 0). Repeated rows repeat; an id
+labelled row of both classes that share words with others every text scores 0.5 less a hair (predicted 0). Repeated rows repeat; an id
 counts once for each label it has, with its least text. Other columns are ignored by ``score`` and kept by ``keep_civil``.
 """
 
@@ -97,16 +97,23 @@ def _sum_runs(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def train(texts: list[bytes | None], labels: np.ndarray) -> Model:
     """Fit on texts that all sit in the driver's memory."""
+    nothing = Model(np.zeros(BUCKETS, np.float32), -1e-6)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), -1e-6)
-    each = [sorted(words(t)) for t in texts]
-    spread_over = Counter(w for c in each for w in set(c))
-    index = {w: i for i, w in enumerate(w for w, n in spread_over.items() if n >= LEAST_TEXTS)}
-    bags = [np.array([index[w] for w in c if w in index], dtype=np.int64) for c in each]
+        return nothing
+    seen: dict[bytes, int] = {}
+    each = [np.array([seen.setdefault(w, len(seen)) for w in words(t)], dtype=np.int64) for t in texts]
+    spread_over = np.bincount(np.concatenate([np.unique(c) for c in each]), minlength=len(seen))
+    common = spread_over >= LEAST_TEXTS
+    number = np.cumsum(common) - 1
+    index = [w for w, i in seen.items() if common[i]]
+    bags = [number[c[common[c]]] for c in each]
     sizes = np.array([len(c) for c in each])
+    del seen
     used = [i for i, ids in enumerate(bags) if len(ids)]
+    if len(set(labels[used].tolist())) < 2:
+        return nothing
     bags, sizes, y = [bags[i] for i in used], sizes[used], labels[used].astype(int)
-    g, word_of = gram_bags(list(index))
+    g, word_of = gram_bags(index)
     order = np.argsort(word_of, kind="stable")
     g, word_of = g[order], word_of[order]
     n_grams = np.bincount(word_of)
