@@ -137,7 +137,11 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def recurring_windows(docs: DataFrame) -> DataFrame:
-    """doc, pos, src_doc, src_pos: each window whose sequence starts in a smaller doc_id, and its first place."""
+    """doc, pos, src_doc, src_pos, alone: each window whose sequence starts in a smaller doc_id, and its first place.
+
+    A window that a document repeats has one row, marked alone: it becomes a passage of its own, which the automaton
+    finds wherever the document has it, so a line repeated in many documents shuffles a row for each document only.
+    """
     spark = docs.sparkSession
     recurring = seeds(docs).groupBy("h").count().filter(F.col("count") > 1)
     shared = spark.sparkContext.broadcast(bitmap(recurring, SEED_BITS))
@@ -146,15 +150,19 @@ def recurring_windows(docs: DataFrame) -> DataFrame:
         powers, bits = Powers(), shared.value
         for batch in slices(batches):
             of, pos, seed, window = seeds_and_windows([t or b"" for t in utf8(batch.column("text"))], powers)
-            keep = in_bitmap(bits, seed)
-            if keep.any():
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(window[keep].view(np.int64)), pa.array(ids[of[keep]], pa.int64()), pa.array(pos[keep].astype(np.int32))], ["h", "doc", "pos"])
+            keep = np.nonzero(in_bitmap(bits, seed))[0]
+            if len(keep):
+                keep = keep[np.lexsort((pos[keep], window[keep], of[keep]))]
+                again = (window[keep][1:] == window[keep][:-1]) & (of[keep][1:] == of[keep][:-1])
+                alone = np.r_[again, False] | np.r_[False, again]
+                first = ~np.r_[False, again]
+                at, ids = keep[first], batch.column("doc_id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(window[at].view(np.int64)), pa.array(ids[of[at]], pa.int64()), pa.array(pos[at].astype(np.int32)), pa.array(alone[first])], ["h", "doc", "pos", "alone"])
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_h, last_doc, last_pos = None, -1, -1
         for batch in batches:
-            h, doc, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "pos"))
+            h, doc, pos, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "pos", "alone"))
             if not len(h):
                 continue
             begins = np.r_[last_h is None or h[0] != last_h, h[1:] != h[:-1]]
@@ -163,11 +171,11 @@ def recurring_windows(docs: DataFrame) -> DataFrame:
             last_h, last_doc, last_pos = h[-1], src_doc[-1], src_pos[-1]
             later = doc > src_doc
             if later.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[later], t) for x, t in ((doc, pa.int64()), (pos, pa.int32()), (src_doc, pa.int64()), (src_pos, pa.int32()))], ["doc", "pos", "src_doc", "src_pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[later], t) for x, t in ((doc, pa.int64()), (pos, pa.int32()), (src_doc, pa.int64()), (src_pos, pa.int32()), (alone, pa.bool_()))], ["doc", "pos", "src_doc", "src_pos", "alone"])
 
-    found = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(candidates, "h long, doc long, pos int")
+    found = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(candidates, "h long, doc long, pos int, alone boolean")
     ordered = found.repartition(partitions(spark), "h").sortWithinPartitions("h", "doc", "pos")
-    return ordered.mapInArrow(sources, "doc long, pos int, src_doc long, src_pos int")
+    return ordered.mapInArrow(sources, "doc long, pos int, src_doc long, src_pos int, alone boolean")
 
 
 def passages(windows: DataFrame, shards: int) -> DataFrame:
@@ -175,10 +183,10 @@ def passages(windows: DataFrame, shards: int) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, doc, pos, src_doc, src_pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "doc", "pos", "src_doc", "src_pos"))
+            shard, doc, pos, src_doc, src_pos, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "doc", "pos", "src_doc", "src_pos", "alone"))
             if not len(doc):
                 continue
-            goes_on = (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (src_doc[1:] == src_doc[:-1]) & (src_pos[1:] == src_pos[:-1] + 1)
+            goes_on = (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (src_doc[1:] == src_doc[:-1]) & (src_pos[1:] == src_pos[:-1] + 1) & ~alone[1:] & ~alone[:-1]
             start = np.r_[0, np.nonzero(~goes_on)[0] + 1]
             words = np.diff(np.r_[start, len(doc)]) + WINDOW - 1
             yield pa.RecordBatch.from_arrays([pa.array(shard[start]), pa.array(doc[start]), pa.array(src_doc[start]), pa.array(src_pos[start]), pa.array(words.astype(np.int32))], ["shard", "doc", "src_doc", "src_pos", "words"])
