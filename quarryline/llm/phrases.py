@@ -254,14 +254,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(source_docs: pa.Table, spans: pa.Table) -> pa.Table:
         wanted: dict[int, list] = {}
-        for shard, src, pos, n in zip(*(spans.column(c).to_pylist() for c in ("shard", "src_doc", "src_pos", "words")), strict=True):
-            wanted.setdefault(src, []).append((shard, pos, n))
+        for to, src, pos, n in zip(*(spans.column(c).to_pylist() for c in ("shards", "src_doc", "src_pos", "words")), strict=True):
+            wanted.setdefault(src, []).append((to, pos, n))
         out: list[tuple] = []
         for i, t in zip(source_docs.column("id").to_pylist(), utf8(source_docs.column("text").combine_chunks()), strict=True):
             if i in wanted:
                 words = (t or b"").split()
-                out += [(shard, i, b" ".join(words[pos : pos + n])) for shard, pos, n in wanted[i]]
-        return pa.table({"shard": pa.array([o[0] for o in out], pa.int32()), "src_doc": pa.array([o[1] for o in out], pa.int64()), "passage": pa.array([o[2] for o in out], pa.binary()).cast(pa.string())})
+                out += [(to, i, b" ".join(words[pos : pos + n])) for to, pos, n in wanted[i]]
+        return pa.table({"shards": pa.array([o[0] for o in out], pa.list_(pa.int32())), "src_doc": pa.array([o[1] for o in out], pa.int64()), "passage": pa.array([o[2] for o in out], pa.binary()).cast(pa.string())})
 
     def stream(shard_docs: pa.Table, shard_passages: pa.Table) -> pa.Table:
         least: dict[tuple[bytes, ...], int] = {}
@@ -292,9 +292,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": i, "n_words": n, "n_removed": gone, "kept": kept.cast(pa.string())})
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    spans = found.select("shard", "src_doc", "src_pos", "words").distinct().withColumn("at", shard_of("src_doc", shards))
+    # A passage is cut once, whatever the number of shards that want it (a list of so many small numbers at most).
+    spans = found.groupBy("src_doc", "src_pos", "words").agg(F.collect_set("shard").alias("shards")).withColumn("at", shard_of("src_doc", shards))
     sources = chosen(1, True).withColumn("at", shard_of("id", shards))
-    pieces = sources.groupBy("at").cogroup(spans.groupBy("at")).applyInArrow(cut, "shard int, src_doc long, passage string")
+    pieces = sources.groupBy("at").cogroup(spans.groupBy("at")).applyInArrow(cut, "shards array<int>, src_doc long, passage string").select(F.explode("shards").alias("shard"), "src_doc", "passage")
     repeating = chosen(0, True).withColumn("shard", shard_of("id", shards))
     shortened = repeating.groupBy("shard").cogroup(pieces.groupBy("shard")).applyInArrow(stream, schema)
     return shortened.union(chosen(0, False).mapInArrow(whole, schema))
