@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, slices, utf8
 
-TRAIN_MOST = 5000
+TRAIN_MOST = 4000
 FOLDS, HELD_OUT = 5, 0
 BUCKETS = 1 << 15
 #: Words of fewer training texts are left out of training: they cannot tell a class from a text.
@@ -61,7 +61,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 def gram_bags(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram buckets of many words and the index of the word each belongs to, all by array operations."""
-    marked = [b"<" + w + b">" for w in distinct]
+    marked = [(b"<" + w + b">").ljust(min(SIZES), b">") for w in distinct]
     whole = np.frombuffer(b"".join(marked), np.uint8)
     word_of = np.repeat(np.arange(len(marked)), [len(m) for m in marked])
     buckets, owners = [], []
@@ -101,7 +101,7 @@ def train(texts: list[bytes | None], labels: np.ndarray) -> Model:
     if len(set(labels.tolist())) < 2:
         return nothing
     seen: dict[bytes, int] = {}
-    each = [np.array([seen.setdefault(w, len(seen)) for w in words(t)], dtype=np.int64) for t in texts]
+    each = [np.array([seen.setdefault(w, len(seen)) for w in words(t)], dtype=np.int32) for t in texts]
     spread_over = np.bincount(np.concatenate([np.unique(c) for c in each]), minlength=len(seen))
     common = spread_over >= LEAST_TEXTS
     number = np.cumsum(common) - 1
