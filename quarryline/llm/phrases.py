@@ -38,6 +38,8 @@ WINDOW = 13
 SEED = 5
 SEED_BITS, ID_BITS = 27, 25
 VOCABULARY = 1_000_000
+#: Texts that are hashed at once: each byte of them takes about a hundred bytes of arrays.
+HASHED_ROWS = 128
 SHARDS_EACH = 4
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
@@ -53,7 +55,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 21)
+            size = max(n, 1 << 19)
             self.up, self.down = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (BASE, INVERSE))
         return self.up[:n], self.down[:n]
 
@@ -109,7 +111,7 @@ def seeds(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in slices(batches):
+        for batch in slices(batches, HASHED_ROWS):
             of, _, seed, _ = seeds_and_windows([t or b"" for t in utf8(batch.column("text"))], powers)
             if len(of):
                 changed = np.r_[True, (seed[1:] != seed[:-1]) | (of[1:] != of[:-1])]
@@ -148,7 +150,7 @@ def recurring_windows(docs: DataFrame) -> DataFrame:
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bits = Powers(), shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, HASHED_ROWS):
             of, pos, seed, window = seeds_and_windows([t or b"" for t in utf8(batch.column("text"))], powers)
             keep = np.nonzero(in_bitmap(bits, seed))[0]
             if len(keep):
