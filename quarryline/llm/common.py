@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, table  # noqa: F401
+
 #: Rows that a Python task works on at once: bounds its memory whatever the Arrow batch holds.
 SLICE_ROWS = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named in spark.checkpoint.dir (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -43,9 +32,3 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of an id's decimal text, modulo n: the folds of the labelled operators; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
-
-
-def rows_schema(df: DataFrame, columns: list[str], more: str) -> str:
-    """DDL of some columns of df followed by more."""
-    kinds = dict(df.dtypes)
-    return ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), more])

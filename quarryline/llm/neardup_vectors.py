@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import checkpointed, partitions
-from .graph import connected_components
 
 THRESHOLD = 0.98
 FLOOR = 0.9

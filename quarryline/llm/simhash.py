@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import checkpointed, partitions, slices, utf8
-from .graph import connected_components
 
 WORDS = 3
 SEED = 42
