@@ -1,50 +1,38 @@
-"""Near-duplicate embeddings by NN-descent.
+"""Near-duplicate embeddings, exactly: every two vectors of a label are compared.
 
 Vectors link when their labels are equal and their cosine, in double precision, reaches the threshold. Equal vectors of a
 label are collapsed first and stand for their copies.
 
-1. Start: a forest of ``TREES`` random-projection orders. In each, rows are sorted by (label, bits of random hyperplanes)
-   and every run of ``RUN`` neighbours in that order is compared; the best ``K`` with cosine over ``FLOOR`` start each list.
-   (Ends of a link are within 11.5 degrees, so a common neighbour worth keeping is near both.)
-2. Descent: lists and reverse lists of a node are gathered with their vectors, its neighbours are compared with each other
-   where one of the two is new there, and lists keep their best ``K``; until fewer than ``SETTLED`` of the edges change.
-3. Threshold edges give the components.
-4. A list is saturated if all its ``K`` entries are links. It is enlarged to every member of the node's component, which
-   holds all it can link to: such components are compared exactly in tiles of ``TILE`` vectors a side, tile by tile, which
-   yield counts, not pairs.
-5. Audit: up to ``AUDIT_MOST`` vectors of least id hash are compared with all vectors, in one pass. If the links found are
-   under ``RECALL`` of theirs, another forest is grown on top of the lists and the steps repeat, ``ATTEMPTS`` times at most.
-
-Runs, chunks of a node's neighbours and tiles bound what one task holds, whatever the size of a label, of a dense group or
-of a node's reverse list; only counts and the audit's sample reach the driver.
+1. The vectors of a label (and length) are dealt over blocks of about ``TILE`` by the hash of their id.
+2. Every two blocks of a label meet in a tile. Cosines are taken in single precision; those too close to the threshold for
+   its rounding are taken again in double precision, so links are those of double precision.
+3. A tile yields, for each vector with links in it, their number and the least id of its component within the tile: rows,
+   not pairs. The numbers are summed; the ends of the tiles' components give the components of the whole.
+
+No candidate is chosen beforehand, so no link is lost whatever the size of a label, of a dense group or of a vector's
+neighbourhood; a link of 11.5 degrees leaves no lossless index in many dimensions. The price is work that grows with the
+square of a label's vectors, and a shuffle of each vector once for every block of its label. A task holds one tile at a time.
 
 No link: vectors that are null, of no components, zero, or hold a null or non-finite component, null labels, null ids,
 and vectors of unequal lengths with each other. Their n_links is 0, their component their own id (null for a null id), and
-they are kept. Rows that repeat an id with another vector count as one node with the links of both. Ties between equal
-cosines: the lesser id stays in a list. An empty table gives no rows; extra columns are ignored.
+they are kept. Rows that repeat an id with another vector count as one node with the links of both. An empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import checkpointed, partitions
+from .common import checkpointed
 
 THRESHOLD = 0.98
-FLOOR = 0.9
-K = 16
-TREES, BITS, RUN = 8, 24, 128
-CHUNK = 128
-SETTLED, ROUNDS = 0.001, 6
-TILE = 512
-AUDIT_MOST, RECALL, ATTEMPTS = 1000, 0.97, 3
-EDGE = "u long, v long, sim double"
+TILE = 2048
+#: Pairs taken again in double precision at once.
+PAIRS = 1 << 16
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -56,193 +44,81 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.exists("vec", lambda x: x != 0))
 
 
-def _matrix(column: pa.Array) -> np.ndarray | None:
-    """Unit rows of a list column; None if lengths differ."""
-    values, offsets = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
-    if len(set(offsets.tolist())) > 1:
-        return None
-    x = values.reshape(len(column), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit rows of a column of lists of one length."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps squares of extreme components finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cosines(column: pa.Array) -> np.ndarray:
-    """Cosine of each two rows, 0 where lengths differ."""
-    x = _matrix(column)
-    if x is not None:
-        return x @ x.T
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), len(rows)))
-    for n in {len(r) for r in rows}:
-        at = np.array([i for i, r in enumerate(rows) if len(r) == n])
-        y = _matrix(pa.array([rows[i] for i in at], column.type))
-        out[np.ix_(at, at)] = y @ y.T
-    return out
-
-
-def _edges(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], ["u", "v", "sim"])
-
-
-def forest_edges(nodes: DataFrame, seed: int, trees: int = TREES) -> DataFrame:
-    """Each node's best neighbours within its runs of random-projection orders."""
-
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vec = batch.column("vec")
-            lengths = np.diff(vec.offsets.to_numpy())
-            code = np.zeros((batch.num_rows, trees), np.int64)
-            for n in np.unique(lengths):
-                at = np.nonzero(lengths == n)[0]
-                planes = np.random.default_rng([seed, int(n)]).normal(size=(int(n), trees * BITS))
-                bits = (_matrix(vec.take(pa.array(at))) @ planes > 0).reshape(len(at), trees, BITS)
-                code[at] = bits @ (1 << np.arange(BITS - 1, -1, -1))
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), trees))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("id", "label", "vec")), pa.array(np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)), pa.array(code.ravel())], ["id", "label", "vec", "tree", "code"])
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, RUN):
-                part = batch.slice(at, RUN)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                label, tree = (part.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("label", "tree"))
-                sim = _cosines(part.column("vec"))
-                sim[(label[:, None] != label) | (tree[:, None] != tree) | (ids[:, None] == ids)] = -1
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :K]
-                best = np.take_along_axis(sim, order, axis=1)
-                i, j = np.nonzero(best >= FLOOR)
-                yield _edges(ids[i], ids[order[i, j]], best[i, j])
-
-    kind = dict(nodes.dtypes)["label"]
-    coded = nodes.select("id", "label", "vec").mapInArrow(codes, f"id long, label {kind}, vec array<double>, tree int, code long")
-    order = ["tree", "label", "code", F.xxhash64("id")]
-    spread = coded.repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order)
-    return spread.mapInArrow(runs, EDGE)
-
-
-def best(edges: DataFrame, k: int = K) -> DataFrame:
-    """u, v, sim, new: each u's k best; new (1 or 0) is kept from the older of repeated edges."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
-
-
-def local_join(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges both ways between neighbours of a node that would enter a list."""
-    worst = lists.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(FLOOR)).alias("least"))
-    around = lists.select("u", "v", "new").union(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "new")).groupBy("u", "v").agg(F.max("new").alias("new"))
-    described = nodes.select(F.col("id").alias("v"), "vec").join(worst.withColumnRenamed("u", "v"), "v", "left").withColumn("least", F.coalesce("least", F.lit(FLOOR)))
-    members = around.join(described, "v").select("u", "v", "new", "least", "vec")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v, new, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "new", "least"))
-            cuts = np.r_[0, np.nonzero(np.diff(u))[0] + 1, len(u)]
-            cuts = sorted({c for a, b in zip(cuts[:-1], cuts[1:], strict=True) for c in (*range(a, b, CHUNK), b)})
-            found = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a < 2 or not new[a:b].any():
-                    continue
-                sim = _cosines(batch.column("vec").slice(a, b - a))
-                i, j = np.nonzero((sim >= np.maximum(FLOOR, least[a:b])[:, None]) & ((new[a:b, None] + new[None, a:b]) > 0) & (v[a:b, None] != v[None, a:b]))
-                found.append((v[a:b][i], v[a:b][j], sim[i, j]))
-            if found:
-                yield _edges(*(np.concatenate([f[k] for f in found]) for k in range(3)))
-
-    spread = members.repartition(partitions(nodes.sparkSession), "u").sortWithinPartitions("u")
-    return spread.mapInArrow(work, EDGE).groupBy("u", "v").agg(F.max("sim").alias("sim"))
-
-
-def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Lists that the local join no longer changes (by more than SETTLED)."""
-    for _ in range(ROUNDS):
-        found = local_join(lists, nodes).withColumn("new", F.lit(1))
-        lists = checkpointed(best(lists.withColumn("new", F.lit(0)).unionByName(found)))
-        counts = lists.agg(F.count("*").alias("n"), F.sum("new").alias("new")).first()
-        if not counts["n"] or counts["new"] <= SETTLED * counts["n"]:
-            break
-    return lists
-
-
-def tile_counts(members: DataFrame) -> DataFrame:
-    """(id, n): exact link counts, copies included, of members(component, label, id, vec, copies), tile by tile."""
-    size = members.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    placed = members.join(size, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # A block meets every block of its component: as the rows whose links are counted, and as the others.
-    tiles = placed.select("component", "id", "vec", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    left = tiles.select("component", F.col("block").alias("a"), F.col("other").alias("b"), F.lit(True).alias("counted"), "id", "vec", "copies")
-    right = tiles.select("component", F.col("other").alias("a"), F.col("block").alias("b"), F.lit(False).alias("counted"), "id", "vec", "copies")
-
-    def count(tile: pa.Table) -> pa.Table:
+def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each two unit rows of x and y reach the threshold."""
+    sim = x.astype(np.float32) @ y.astype(np.float32).T
+    slack = (x.shape[1] + 4) * 2.0**-23  # over the rounding of a single-precision product of unit vectors
+    link = sim >= THRESHOLD + slack
+    i, j = np.nonzero((sim >= THRESHOLD - slack) & ~link)
+    for at in range(0, len(i), PAIRS):
+        a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+        link[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= THRESHOLD
+    return link
+
+
+def least_ids(link: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a link matrix, the least id of its component; its own id without links."""
+    of_row, of_column = rows.copy(), columns.copy()
+    open_row, open_column, turned = link.any(axis=1), link.any(axis=0), np.ascontiguousarray(link.T)
+    for first in np.nonzero(open_row)[0]:
+        if not open_row[first]:
+            continue
+        in_row, in_column, new = [], [], np.array([first])
+        open_row[first] = False
+        while len(new):
+            in_row.append(new)
+            met = np.nonzero(link[new].any(axis=0) & open_column)[0]
+            open_column[met] = False
+            in_column.append(met)
+            new = np.nonzero(turned[met].any(axis=0) & open_row)[0]
+            open_row[new] = False
+        i, j = np.concatenate(in_row), np.concatenate(in_column)
+        of_row[i] = of_column[j] = min(rows[i].min(), columns[j].min())
+    return of_row, of_column
+
+
+def tile_links(nodes: DataFrame) -> DataFrame:
+    """(id, n, least) of nodes(id, label, vec, copies) with links, a row for each tile that holds some."""
+    sized = nodes.select("id", "label", "vec", "copies", F.size("vec").alias("length"))
+    counts = sized.groupBy("label", "length").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    placed = sized.join(counts, ["label", "length"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # A block meets every block of its label, itself included, in the tile (a, b) with a <= b.
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("label", "length", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") <= F.col("other")).alias("first"), "id", "vec", "copies")
+
+    def work(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks()
-        on = tile.column("counted").to_numpy()
-        vec = tile.column("vec").chunk(0) if tile.num_rows else None
-        ids, copies = tile.column("id").to_numpy(), tile.column("copies").to_numpy()
-        sim = _cosines(vec)[np.ix_(on, ~on)]
-        links = ((sim >= THRESHOLD) & (ids[on][:, None] != ids[~on][None])) @ copies[~on]
-        return pa.table({"id": pa.array(ids[on], pa.int64()), "n": pa.array(links, pa.int64())})
-
-    return left.union(right).groupBy("component", "a", "b").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def audit(nodes: DataFrame, counts: DataFrame) -> float:
-    """The found share of the links of a sample, measured against all nodes."""
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT_MOST).select("id", "label", "vec").toArrow().combine_chunks()
-    if not sample.num_rows:
-        return 1.0
-    by_label: dict = {}
-    for i, (label, vec) in enumerate(zip(sample.column("label").to_pylist(), sample.column("vec").to_pylist(), strict=True)):
-        by_label.setdefault((label, len(vec)), []).append(i)
-    shared = nodes.sparkSession.sparkContext.broadcast((by_label, sample.column("id").to_numpy(), sample.column("vec").to_pylist()))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_label, ids, vecs = shared.value
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            labels, copies, own = batch.column("label").to_pylist(), batch.column("copies").to_numpy(), batch.column("id").to_numpy()
-            lengths = np.diff(batch.column("vec").offsets.to_numpy())
-            for (label, n), at in by_label.items():
-                rows = np.array([i for i, x in enumerate(labels) if x == label and lengths[i] == n], dtype=np.int64)
-                if len(rows):
-                    both = pa.array([vecs[i] for i in at], pa.list_(pa.float64()))
-                    sim = _matrix(both) @ _matrix(batch.column("vec").take(pa.array(rows))).T
-                    total[at] += ((sim >= THRESHOLD) & (ids[at][:, None] != own[rows][None])) @ copies[rows]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
-
-    exact = nodes.select("id", "label", "vec", "copies").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    row = exact.join(counts.withColumnRenamed("n", "found"), "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("found", F.lit(0)))).alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0
-
-
-def link_counts(nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(id, n) of nodes with links, (node, component), and the audited recall."""
-    lists = None
-    for attempt in range(ATTEMPTS):
-        start = best(forest_edges(nodes, attempt).withColumn("new", F.lit(1)).unionByName(lists.withColumn("new", F.lit(0))) if lists is not None else forest_edges(nodes, attempt).withColumn("new", F.lit(1)))
-        lists = descend(checkpointed(start), nodes)
-        links = lists.filter(F.col("sim") >= THRESHOLD)
-        components = checkpointed(connected_components(links.select("u", "v")))
-        pairs = links.select("u", "v").union(links.select("v", "u")).distinct()
-        weights = nodes.select(F.col("id").alias("v"), "copies")
-        plain = pairs.join(weights, "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("n"))
-        full = links.groupBy("u").count().filter(F.col("count") >= K).select(F.col("u").alias("node"))
-        enlarged = components.join(full, "node").select("component").distinct()
-        members = components.join(enlarged, "component").join(nodes, F.col("node") == F.col("id")).select("component", "label", "id", "vec", "copies")
-        exact = tile_counts(members)
-        counts = checkpointed(plain.withColumnRenamed("n", "plain").join(exact, "id", "full").select("id", F.coalesce("n", "plain").cast("long").alias("n")))
-        recall = audit(nodes, counts)
-        if recall >= RECALL:
-            break
-    return counts, components, recall
+        if not tile.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
+        x, ids, copies = _matrix(tile.column("vec").chunk(0)), tile.column("id").to_numpy(), tile.column("copies").to_numpy()
+        own = tile.column("a")[0] == tile.column("b")[0]
+        on = tile.column("first").to_numpy()
+        left = np.nonzero(on)[0]
+        right = left if own else np.nonzero(~on)[0]
+        link = linked(x[left], x[right]) & (ids[left][:, None] != ids[right][None])
+        i, j = np.nonzero(link.any(axis=1))[0], np.nonzero(link.any(axis=0))[0]
+        link, left, right = link[np.ix_(i, j)], left[i], right[j]
+        of_left, of_right = least_ids(link, ids[left], ids[right])
+        n = np.concatenate([link @ copies[right], np.zeros(len(right), np.int64) if own else link.T @ copies[left]])
+        return pa.table({"id": pa.array(ids[np.r_[left, right]], pa.int64()), "n": pa.array(n, pa.int64()), "least": pa.array(np.r_[of_left, of_right], pa.int64())})
+
+    return tiles.groupBy("label", "length", "a", "b").applyInArrow(work, "id long, n long, least long")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = usable(vectors)
-    classes = rows.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    nodes = checkpointed(classes)
-    counts, components, _ = link_counts(nodes)
+    nodes = checkpointed(rows.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    found = checkpointed(tile_links(nodes))
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    components = connected_components(found.select(F.col("id").alias("u"), F.col("least").alias("v")))
     of_class = nodes.join(counts, "id", "left").join(components, F.col("id") == F.col("node"), "left").select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     found = rows.join(of_class, ["label", "vec"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     kind = dict(vectors.dtypes)["vec_id"]

@@ -60,6 +60,33 @@ def test_vectors_against_brute_force(spark):
     assert all(got[i].n_links <= n for i, n in enumerate(link.sum(axis=1)))
 
 
+def test_links_and_components_of_dense_and_isolated_vectors_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(neardup_vectors, "TILE", 64)
+    rng = np.random.default_rng(7)
+    basis = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    # Two groups of 40: cosines of about 0.999 inside and 0.985 between them, so that full lists of near ones hide the others.
+    apart = np.cos(np.arccos(0.9851) / 2), np.sin(np.arccos(0.9851) / 2)
+    groups = [apart[0] * basis[0] + side * apart[1] * basis[1] + rng.normal(size=(40, 64)) * 0.003 for side in (1, -1)]
+    # Pairs just over and under the threshold, and vectors alone.
+    ends = rng.normal(size=(150, 64))
+    ends /= np.linalg.norm(ends, axis=1, keepdims=True)
+    aside = rng.normal(size=(150, 64))
+    aside -= (aside * ends).sum(axis=1, keepdims=True) * ends
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = np.where(np.arange(150) % 2, 0.9802, 0.9798)[:, None]
+    x = np.concatenate([*groups, ends, cosine * ends + np.sqrt(1 - cosine**2) * aside]).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    link = (y @ y.T >= neardup_vectors.THRESHOLD) & ~np.eye(len(x), dtype=bool)
+    least = np.arange(len(x))
+    while (new := np.minimum(least, np.where(link, least[None], len(x)).min(axis=1))).tolist() != least.tolist():
+        least = new
+    assert {i: (got[i].n_links, got[i].component_id, got[i].kept) for i in got} == {i: (int(link[i].sum()), int(c), i == c) for i, c in enumerate(least)}
+    assert least[40] == 0 and link[:40, 40:80].any()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(5, 5), (70, 3), (90, 91)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
