@@ -87,6 +87,18 @@ def test_links_and_components_of_dense_and_isolated_vectors_are_exact(spark, mon
     assert least[40] == 0 and link[:40, 40:80].any()
 
 
+def test_no_isolated_pair_is_lost(spark):
+    rng = np.random.default_rng(11)
+    ends, aside = rng.normal(size=(2, 8000, 64))
+    ends /= np.linalg.norm(ends, axis=1, keepdims=True)
+    aside -= (aside * ends).sum(axis=1, keepdims=True) * ends
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    x = np.concatenate([ends, 0.9801 * ends + np.sqrt(1 - 0.9801**2) * aside]).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = neardup_vectors.near_duplicates(vectors).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 1, i % 8000) for i in range(16000)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(5, 5), (70, 3), (90, 91)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
