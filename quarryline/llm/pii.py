@@ -2,7 +2,9 @@
 
 Found in whole texts: e-mail addresses, payment card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security
 numbers (assigned ranges), phone numbers, IPv4 addresses (each part below 256), calendar dates that exist (1900 to 2099)
-and quoted hexadecimal secrets. A number that fails its check is left alone.
+and quoted hexadecimal secrets. A number that fails its check is left alone, and what it holds or overlaps is searched on: an
+IBAN may end at each blank, a card may be any groups of digits of a row of numbers. A card in a usual grouping goes before
+one in another that overlaps it.
 
 A value is read as a number in the mixed radix of its format (digits in place of digits, letters in place of letters of
 the same alphabet and case; separators stay), permuted within that range by a balanced Feistel network of keyed BLAKE2b
@@ -10,7 +12,8 @@ rounds with cycle walking, and written in the same format; check digits are comp
 pseudonym passes the check its original passed. The permutation of a format is f = P^-1(P(x) + 1): a bijection without
 fixed points, so no value stays as it was, different values never meet, and equal values of a kind and format have
 equal pseudonyms in every document (and only under the same key). Without the key it cannot be undone; with it, it can
-(``reveal``).
+(``reveal``). Where a pseudonym and the numbers beside it would be read as another card or IBAN, the permutation is applied
+again until they are not, so there alone a value may have another pseudonym than elsewhere.
 
 Nulls stay null, empty texts and texts without finds are unchanged; overlapping finds: the leftmost, then the first kind
 of the list above, wins. Nothing depends on other rows: repeats, ties, null ids and empty tables need no care, and all
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
@@ -51,6 +55,14 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 KINDS = ("email", "secret", "iban", "ip", "ssn", "date", "phone", "card")
+IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?")
+#: Groups of digits that can belong to a card which begins with the first, or to one that overlaps that.
+GROUPS = re.compile(r"\d+(?:[ -]\d+){0,40}")
+CARD_DIGITS = range(13, 20)
+#: Usual groupings of cards, apart from all digits in one group.
+GROUPINGS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+#: Characters before and after a value whose reading its digits can change: more than the longest card or IBAN.
+BESIDE = 128
 #: A text without any of these holds nothing to find.
 HINT = re.compile(r"[0-9@]")
 
@@ -120,6 +132,16 @@ def _alphabet(c: str) -> str | None:
     return next((a for a in (DIGIT, LOWER, UPPER, LATIN_LOWER, LATIN_UPPER) if c in a), None)
 
 
+@lru_cache(maxsize=10_000)
+def _script(c: str) -> str | None:
+    """The alphabet of a letter or digit; outside Latin-1 those of its category among the 128 code points around it."""
+    if (known := _alphabet(c)) or not c.isalnum():
+        return known
+    first, kind = ord(c) & ~0x7F, unicodedata.category(c)
+    near = "".join(x for x in map(chr, range(first, first + 128)) if x.isalnum() and unicodedata.category(x) == kind and not _alphabet(x))
+    return near if len(near) > 1 else None
+
+
 def _digits(text: str) -> list[str | None]:
     return [DIGIT if c in DIGIT else None for c in text]
 
@@ -146,7 +168,10 @@ def pseudonym(kind: str, value: str, feistel: Feistel, by: int = 1) -> str | Non
     """The pseudonym of a found value; None if it fails its kind's check."""
     if kind == "email":
         at = value.index("@")
-        alphabets = [_alphabet(c) for c in value[:at]] + [None] * (len(value) - at)
+        alphabets = [_script(c) for c in value[:at]] + [None] * (len(value) - at)
+        if not any(alphabets):  # nothing to change before the @: the host, but for its last part
+            end = value.rindex(".")
+            alphabets = [None] * at + [_alphabet(c) for c in value[at:end]] + [None] * (len(value) - end)
         return feistel.chars(kind, value, alphabets, by) if any(alphabets) else None
     if kind == "secret":
         return feistel.chars(kind, value, [HEX_UPPER if value.isupper() else HEX_LOWER] * len(value), by)
@@ -199,14 +224,69 @@ def pseudonym(kind: str, value: str, feistel: Feistel, by: int = 1) -> str | Non
     return "".join(out)
 
 
+def _cards(text: str, start: int, of: Callable[[str, str], str | None]) -> Iterator[tuple[int, str]]:
+    """(end, pseudonym) of the card that begins at start, if any."""
+    groups = [(m.start() + start, m.end() + start) for m in re.finditer(r"\d+", GROUPS.match(text, start).group())]
+
+    def valid(i: int, usual: bool | None = None) -> tuple[bool, int, str, int] | None:
+        best, sizes = None, []
+        for k in range(i, len(groups)):
+            sizes.append(groups[k][1] - groups[k][0])
+            if sum(sizes) > CARD_DIGITS[-1]:
+                break
+            known = len(sizes) == 1 or tuple(sizes) in GROUPINGS
+            if sum(sizes) in CARD_DIGITS and (known or not usual) and (not best or known or not best[0]):
+                new = of("card", text[groups[i][0] : groups[k][1]])
+                best = best if new is None else (known, groups[k][1], new, k)
+        return best
+
+    found = valid(0)
+    # A usual grouping that overlaps an unusual one is found when its own start is reached.
+    if found and (found[0] or not any(valid(i, True) for i in range(1, found[3] + 1))):
+        yield found[1], found[2]
+
+
+def _first(text: str, at: int, of: Callable[[str, str], str | None]) -> tuple[int, int, str, str] | None:
+    """(start, end, kind, pseudonym) of the first value found and valid from a place on."""
+    while m := PATTERN.search(text, at):
+        start, kind = m.start(), m.lastgroup if m.lastgroup in KINDS else "date"
+        if kind != "card":
+            if (new := of(kind, m.group())) is not None:
+                return start, m.end(), kind, new
+            if kind == "iban":
+                for end in (start + i for i in range(len(m.group()) - 1, 0, -1) if m.group()[i] == " "):
+                    if IBAN.fullmatch(text, start, end) and (new := of(kind, text[start:end])) is not None:
+                        return start, end, kind, new
+        if text[start] in DIGIT and (start == 0 or not text[start - 1].isdecimal()):
+            for end, new in _cards(text, start, of):
+                return start, end, "card", new
+        at = start + 1
+    return None
+
+
+def _settled(text: str, at: int, hit: tuple[int, int, str, str], of: Callable[[str, str], str | None]) -> str:
+    """The pseudonym of a hit, permuted on until it is found in its place from the same place on."""
+    start, end, kind, new = hit
+    at = max(at, start - BESIDE)
+    low = max(0, at - 1)
+    left, right = text[low:start], text[end : end + BESIDE]
+
+    def found(value: str) -> bool:
+        again = _first(left + value + right, at - low, of)
+        return again is not None and again[:3] == (start - low, end - low, kind)
+
+    while found(text[start:end]) and not found(new):  # the value itself ends the walk at the latest
+        new = of(kind, new)
+    return new
+
+
 def finds(text: str, of: Callable[[str, str], str | None]) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of each value found and valid, in order."""
     at = 0
-    while m := PATTERN.search(text, at):
-        new = of(m.lastgroup if m.lastgroup in KINDS else "date", m.group())
-        if new is not None:
-            yield m.start(), m.end(), m.lastgroup if m.lastgroup in KINDS else "date", new
-        at = m.end()
+    while hit := _first(text, at, of):
+        start, end, kind, new = hit
+        yield start, end, kind, _settled(text, at, hit, of) if kind in ("card", "iban") else new
+        at = end
 
 
 def replaced(text: str, of: Callable[[str, str], str | None]) -> tuple[str, list[str]]:

@@ -128,6 +128,35 @@ def test_pseudonyms(text, kinds):
     assert pii.replaced(new, lambda k, v: pii.pseudonym(k, v, f, -1))[0] == text
 
 
+CARD, IBAN = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+
+
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        (f"{CARD} 12/26", [CARD]),
+        (f"Ref 7 {CARD}", [CARD]),
+        ("4111111111111111 123", ["4111111111111111"]),
+        (f"2026 {CARD} 1111 123", [CARD]),
+        (f"{CARD} 5500 0000 0000 0004", [CARD, "5500 0000 0000 0004"]),
+        (f"2021-02-30 {CARD} 2021-02-28", [CARD, "2021-02-28"]),
+        (f"{IBAN} EUR", [IBAN]),
+        (f"AB12 {IBAN} BANK 12", [IBAN]),
+        ("write to иван@example.com or ___@example.com", ["иван@example.com", "___@example.com"]),
+    ],
+)
+def test_values_next_to_other_numbers(text, values):
+    for key in (b"k", b"l", b"m", *(b"%d" % i for i in range(40))):
+        f = pii.Feistel(key)
+        new, found = pii.replaced(text, lambda k, v, f=f: pii.pseudonym(k, v, f))
+        assert len(new) == len(text) and len(found) == len(values) and all(v not in new for v in values)
+        rest, at = re.split("|".join(map(re.escape, values)), text), 0
+        for part, value in zip(rest, [*values, ""], strict=True):  # what stands between the values stays
+            assert new[at : at + len(part)] == part
+            at += len(part) + len(value)
+        assert pii.replaced(new, lambda k, v, f=f: pii.pseudonym(k, v, f, -1))[0] == text
+
+
 def test_equal_values_stay_linked(spark):
     d = spark.createDataFrame([(1, "x 97.51.17.173"), (2, "97.51.17.173 y"), (3, "97.51.17.174")], "doc_id long, text string")
     got = [re.search(r"\d+\.\d+\.\d+\.\d+", r.text).group() for r in pii.pseudonymise(d).orderBy("doc_id").collect()]
