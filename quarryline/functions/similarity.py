@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -42,6 +43,66 @@ def best_window_ratio(a: str, b: str) -> float:
     return best
 
 
+#: Cells of one step of best_window_ratios, over all pairs of a block.
+STEP_CELLS = 1 << 14
+
+
+def _codes(texts: list[str], pad: int) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts))), pad, np.int32)
+    for row, t in zip(out, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32)
+    return out
+
+
+def _window_ratios(shorts: list[str], longs: list[str]) -> list[float]:
+    """best_window_ratio of pairs, the subsequences of all windows by one combing of strands through the pair's grid."""
+    a, b = _codes(shorts, -1)[:, ::-1], _codes(longs, -2)
+    m, n = a.shape[1], b.shape[1]
+    kind = np.int16 if m + n < 1 << 15 else np.int32
+    h, v = (np.tile(np.arange(k, k + size, dtype=kind), (len(shorts), 1)) for k, size in ((0, m), (m, n)))
+    for d in range(m + n - 1):  # diagonals; a runs backwards, so both sides of a step are slices
+        p, q = max(0, m - 1 - d), min(m, m + n - 1 - d)
+        j, k = p + d - m + 1, q + d - m + 1
+        x, y = h[:, p:q], v[:, j:k]
+        turn = (a[:, p:q] == b[:, j:k]) | (x > y)
+        h[:, p:q], v[:, j:k] = np.where(turn, y, x), np.where(turn, x, y)
+    out = []
+    for row, short, long in zip(v.astype(np.int64) - m, shorts, longs, strict=True):
+        size, length = len(short), len(long)
+        start = row[:length]  # where the strand that ends under each letter began; before 0: at the side
+        end = np.full(length, n)
+        end[start[start >= 0]] = np.nonzero(start >= 0)[0]
+        # Letters left out of a window: strands that begin and end in it.
+        heads = np.arange(1, length + 1) - np.cumsum(start >= 0)
+        tails = np.arange(length, 0, -1) - np.cumsum((end < length)[::-1])[::-1]
+        i = np.arange(length - size)
+        whole = heads[size - 1] + np.r_[0, np.cumsum((end[i] < i + size).astype(int) - (start[i + size] > i))]
+        edge = size + np.arange(1, size)
+        every = (200.0 * whole / (2 * size), 200.0 * heads[: size - 1] / edge, 200.0 * tails[length - size + 1 :] / edge[::-1])
+        out.append(float(np.concatenate(every).max()))
+    return out
+
+
+def best_window_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """best_window_ratio of each pair of whole texts, many pairs of like lengths at a time."""
+    out = [0.0] * len(pairs)
+    todo = []
+    for i, (a, b) in enumerate(pairs):
+        short, long = sorted((a, b), key=len)
+        if short in long:
+            out[i] = best_window_ratio(short, long)
+        elif short:
+            todo.append((len(short), len(long), i, short, long))
+    todo.sort()
+    at = 0
+    while at < len(todo):
+        block = todo[at : at + max(1, STEP_CELLS // todo[at][0])]
+        at += len(block)
+        for t, ratio in zip(block, _window_ratios([t[3] for t in block], [t[4] for t in block]), strict=True):
+            out[t[2]] = ratio
+    return out
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """Best indel_ratio among the common tokens and the common tokens with either rest; 100 if one set holds the other."""
     x, y = set(a.split()), set(b.split())
@@ -61,7 +122,10 @@ def _paired(f, a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def partial_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _paired(best_window_ratio, a, b)
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = best_window_ratios(list(zip(a[known], b[known], strict=True)))
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())

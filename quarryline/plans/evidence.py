@@ -230,7 +230,7 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("text_similarity")
 def text_similarity(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("a"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
     after = F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))
     both = turns.withColumn("b", after).filter("b is not null")
     return both.select("conv_id", "turn", F.round(matcher_similarity("a", "b"), 6).alias("ratio"), F.round(partial_similarity("a", "b"), 6).alias("partial"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quarryline.operators import search as S
 from quarryline.operators import tables as R
 from quarryline.operators import terms as W
 from quarryline.operators import values as V
+from quarryline.plans import evidence
 from quarryline.streaming import jobs as J
 
 
@@ -87,6 +90,23 @@ def test_similarities():
     assert Y.token_set_ratio("a b", "c d") < 100
 
 
+def test_window_ratios_of_blocks_equal_those_of_pairs():
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abé梦 ") for _ in range(n)) for n in (0, 1, 1, 2, 3, 5, 8, 13, 30, 70, 71)]
+    pairs = [(a, b) for a in texts for b in texts]
+    assert Y.best_window_ratios(pairs) == pytest.approx([Y.best_window_ratio(a, b) for a, b in pairs], abs=1e-9)
+
+
+def test_text_similarity_reads_whole_texts(spark, tmp_path):
+    same = "".join(chr(0x4E00 + i) for i in range(300))
+    rows = [(1, 1, "user", same + "abc" * 50), (1, 2, "user", same + "xyz" * 50), (1, 3, "user", "q" * 250 + same), (1, 4, "user", None), (1, 5, "user", "q" * 250)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r for r in evidence.text_similarity(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 4} and got[4].ratio is None and got[4].partial is None
+    assert got[1].ratio == round(600 / 900, 6) and got[1].partial == round(200 * 300 / 750, 6)
+    assert got[2].ratio > 0.5 and got[2].partial == round(Y.best_window_ratio(rows[1][3], rows[2][3]), 6)
+
+
 def test_search_modes(spark):
     docs = spark.createDataFrame([(1, "fermentaton yield\nother"), (2, "Fermentation Yield high"), (3, None), (4, "")], "doc_id long, text string")
     units = S.blocks(docs)
