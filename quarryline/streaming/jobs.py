@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +62,24 @@ def _judged(key, rows: pd.DataFrame, state):
 def throttle(attempts: DataFrame) -> DataFrame:
     """attempts(key, event_id, ts, failed) with the failures counted and whether the attempt met a block; batch form.
 
-    A key's attempts are one person's or one address's; they are judged in order in one group.
+    A key's attempts are one person's or one address's; they are judged in order, a batch at a time, with the key's state
+    carried on, so a task holds no more than a batch however many attempts a key has.
     """
-    return attempts.groupBy("key").applyInPandas(lambda k, rows: _judged(k[0], rows, (0, None, None))[0], THROTTLE)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, (0, None, None)
+        for batch in batches:
+            keys, failures, blocks = batch.column("key").to_pylist(), [], []
+            for key, at, failed in zip(keys, batch.column("ts").to_pandas(), batch.column("failed").to_pylist(), strict=True):
+                if key != last:
+                    last, state = key, (0, None, None)
+                state, blocked = _step(state, at, bool(failed))
+                failures.append(state[0])
+                blocks.append(blocked)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("event_id"), pa.array(failures, pa.int32()), pa.array(blocks, pa.bool_())], ["key", "event_id", "failures", "blocked"])
+
+    rows = attempts.select(F.col("key").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), "ts", "failed")
+    return rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")).mapInArrow(work, THROTTLE)
 
 
 def throttle_stream(attempts: DataFrame) -> DataFrame:

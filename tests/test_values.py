@@ -12,7 +12,7 @@ from quarryline.operators import search as S
 from quarryline.operators import tables as R
 from quarryline.operators import terms as W
 from quarryline.operators import values as V
-from quarryline.plans import evidence
+from quarryline.plans import evidence, streams
 from quarryline.streaming import jobs as J
 
 
@@ -188,6 +188,19 @@ def test_upsert_and_unique(spark):
     assert R.duplicates(old.union(new), "k").collect()[0]["k"] == 2
 
 
+def test_throttle_judges_each_user_apart(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a user's state passes from batch to batch
+    try:
+        rows = [(i, f"2024-01-01 00:00:{i:02d}", user, "view") for i, user in enumerate([1, 21] * 4 + [2] * 7)]
+        events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+        events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+        got = {r.event_id: (r.key, r.failures, r.blocked) for r in streams.login_throttle(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got[i] for i in range(8)] == [(user, n, False) for n in range(1, 5) for user in (1, 21)]
+    assert [got[i] for i in range(8, 15)] == [(2, min(n, 5), n > 5) for n in range(1, 8)]
+
+
 def test_throttle_blocks_after_five_failures(spark):
     rows = [(1, i, f"2024-01-01 00:{i:02d}:00", True) for i in range(7)] + [(1, 9, "2024-01-01 01:00:00", True)]
     attempts = spark.createDataFrame(rows, "key long, event_id long, ts string, failed boolean").withColumn("ts", F.col("ts").cast("timestamp"))
