@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,29 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def keyed_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
+    """The rows of each value of a sorted integer column, whole across batches; in parts of most rows where there are more."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        ends = np.r_[np.nonzero(np.diff(keys))[0] + 1, len(keys)]
+        begin = 0
+        for end in ends[ends > 0].tolist():
+            if held and held[-1].column(key)[0].as_py() != keys[begin]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, count = [], 0
+            while begin < end:
+                part = batch.slice(begin, min(end - begin, most - count))
+                held.append(part)
+                begin, count = begin + part.num_rows, count + part.num_rows
+                if count == most:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, count = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The bytes of each string, without decoding them."""
     return column.cast(pa.binary()).to_pylist()

@@ -87,6 +87,61 @@ def test_links_and_components_of_dense_and_isolated_vectors_are_exact(spark, mon
     assert least[40] == 0 and link[:40, 40:80].any()
 
 
+def exactly(spark, x, label):
+    """Whether all four columns are those of brute force."""
+    rows = [(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label, strict=True))]
+    got = {r.vec_id: r for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    link = (y @ y.T >= neardup_vectors.THRESHOLD) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    least = np.arange(len(x))
+    while (new := np.minimum(least, np.where(link, least[None], len(x)).min(axis=1))).tolist() != least.tolist():
+        least = new
+    return {i: (got[i].n_links, got[i].component_id, got[i].kept) for i in got} == {i: (int(link[i].sum()), int(c), bool(i == c)) for i, c in enumerate(least)}
+
+
+@pytest.mark.parametrize("case", ["two dense groups", "clustered", "hub", "small buckets"])
+def test_vectors_equal_brute_force_in_all_columns(spark, monkeypatch, case):
+    rng = np.random.default_rng(3)
+    if case == "two dense groups":  # all cosines across are about 0.985; every list is full of its own group
+        basis, half = np.linalg.qr(rng.normal(size=(64, 64)))[0], np.arccos(0.985) / 2
+        x = np.concatenate([np.cos(half) * basis[0] + side * np.sin(half) * basis[1] + rng.normal(size=(200, 64)) * 0.0015 for side in (1, -1)]).astype(np.float32)
+        monkeypatch.setattr(neardup_vectors, "TILE", 128)
+        assert exactly(spark, x, np.zeros(400, int))
+    elif case == "hub":  # one vector links to 150 that do not link with each other
+        basis = np.linalg.qr(rng.normal(size=(200, 200)))[0]
+        spokes = np.cos(0.19) * basis[0] + np.sin(0.19) * basis[1:151]
+        assert exactly(spark, np.concatenate([spokes, basis[:1], basis[160:]]).astype(np.float32), np.zeros(191, int))
+    else:
+        x, label = clustered(600, 1)
+        if case == "small buckets":
+            monkeypatch.setattr(neardup_vectors, "RUN", 32)
+            monkeypatch.setattr(neardup_vectors, "TILE", 16)
+            monkeypatch.setattr(neardup_vectors, "ATTEMPTS", 1)
+        assert exactly(spark, x, label)
+
+
+def test_lost_links_fail_the_job(spark, monkeypatch):
+    x, label = clustered(200, 2)
+    monkeypatch.setattr(neardup_vectors, "audit", lambda nodes, counts: 0.5)
+    monkeypatch.setattr(neardup_vectors, "ATTEMPTS", 1)
+    rows = spark.createDataFrame([(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int")
+    with pytest.raises(RuntimeError, match="audited"):
+        neardup_vectors.near_duplicates(rows)
+
+
+def test_groups_of_a_key_are_whole_across_batches():
+    import pyarrow as pa
+
+    from quarryline.llm.common import keyed_groups
+
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 4]
+    for cut in range(1, 9):
+        batches = pa.table({"k": keys}).to_batches(max_chunksize=cut)
+        assert [t.column("k").to_pylist() for t in keyed_groups(iter(batches), "k", 9)] == [[1, 1], [2], [3] * 5, [4]]
+        assert [len(t) for t in keyed_groups(iter(batches), "k", 3)] == [2, 1, 3, 2, 1]
+
+
 def test_no_isolated_pair_is_lost(spark):
     rng = np.random.default_rng(11)
     ends, aside = rng.normal(size=(2, 8000, 64))
