@@ -6,19 +6,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table  # noqa: F401
 
 #: Rows that a Python task works on at once: bounds its memory whatever the Arrow batch holds.
 SLICE_ROWS = 512
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one that df does not have."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed table of a few numbers a row, broadcast if its counted rows are few, so that no join key is hot."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

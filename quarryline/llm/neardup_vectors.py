@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import checkpointed, keyed_groups, partitions
+from .common import checkpointed, keyed_groups, partitions, sized
 
 THRESHOLD, FLOOR = 0.98, 0.9
 K, MOST_K = 16, 64
@@ -177,28 +177,33 @@ def _best_of(u: np.ndarray, v: np.ndarray, sim: np.ndarray, least: np.ndarray) -
 def lists_of(edges: DataFrame) -> DataFrame:
     """u, v, sim, new, k of edges with these columns: each u's best k, k doubled where all of them are links.
 
-    ``new`` (1 or 0) is that of the older of repeated edges; lists that may grow no more propose nothing new.
+    ``new`` (1 or 0) is that of the older of repeated edges. A list that is full of links at MOST_K, or whose u is marked, is
+    dense: it keeps the mark and proposes nothing new.
     """
-    once = edges.filter("u != v").groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"), F.max("k").alias("k"))
+    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"), F.max("k").alias("k"))
     own = Window.partitionBy("u")
-    ranked = once.withColumn("k", F.max("k").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("sim"), "v"))).filter(F.col("rank") <= F.col("k")).drop("rank")
-    full = (F.count("*").over(own) >= F.col("k")) & (F.min("sim").over(own) >= THRESHOLD)
-    marked = ranked.withColumn("full", full)
-    most = F.col("full") & (F.col("k") >= MOST_K)
-    return marked.select("u", "v", "sim", F.when(most, 0).otherwise(F.col("new")).alias("new"), F.when(F.col("full") & ~most, F.col("k") * 2).otherwise(F.col("k")).alias("k"), most.alias("full"))
+    mark = F.col("u") == F.col("v")
+    ranked = once.withColumns({"k": F.max("k").over(own), "marked": F.max(mark).over(own)}).withColumn("rank", F.row_number().over(own.orderBy(mark, F.desc("sim"), "v"))).filter((F.col("rank") <= F.col("k")) | mark)
+    full = (F.count_if(~mark).over(own) >= F.col("k")) & (F.min("sim").over(own) >= THRESHOLD)
+    state = ranked.withColumn("full", full).withColumn("dense", F.col("marked") | (F.col("full") & (F.col("k") >= MOST_K)))
+    kept = state.select("u", "v", "sim", F.when(F.col("dense"), 0).otherwise(F.col("new")).alias("new"), F.when(F.col("full") & ~F.col("dense"), F.col("k") * 2).otherwise(F.col("k")).alias("k"), "dense", "marked", "rank")
+    again = F.when(F.col("dense") & ~F.col("marked") & (F.col("rank") == 1), F.array("v", "u")).otherwise(F.array("v"))
+    return kept.withColumn("v", F.explode(again)).select("u", "v", "sim", "new", "k")
 
 
 def local_join(lists: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     """Edges both ways between neighbours of a node, of which one is new there, that would enter a list or reach the threshold."""
+    lists = lists.filter("u != v")
     worst = lists.groupBy(F.col("u").alias("v")).agg(F.when(F.count("*") >= F.max("k"), F.min("sim")).otherwise(F.lit(FLOOR)).alias("least"))
     around = lists.select("u", "v", "new").union(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "new")).groupBy("u", "v").agg(F.max("new").alias("new"))
     sizes = around.groupBy("u").agg(F.count("*").alias("n"), F.max("new").alias("any")).filter("any = 1 and n > 1").select("u", F.ceil(F.col("n") / CHUNK).alias("pieces"))
     members = around.join(sizes, "u").select("v", "new", F.xxhash64("u", F.pmod(F.xxhash64("v", F.lit(turn)), "pieces")).alias("key"))
     described = nodes.select(F.col("id").alias("v"), F.xxhash64("label", "length").alias("group"), "vec").join(worst, "v", "left").withColumn("least", F.coalesce("least", F.lit(FLOOR)))
     rows = members.join(described, "v").select("key", "v", "new", "group", "least", "vec")
+    most = 4 * CHUNK
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in keyed_groups(batches, "key", 4 * CHUNK):
+        for part in keyed_groups(batches, "key", most):
             v, new, group, least = (part.column(c).to_numpy() for c in ("v", "new", "group", "least"))
             if len(v) < 2 or not new.any() or (group != group[0]).any():
                 continue
@@ -221,19 +226,21 @@ def marks_of(edges: DataFrame) -> DataFrame:
     return edges.filter("u = v").select("u").distinct()
 
 
-def descend(lists: DataFrame, links: DataFrame, marks: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lists that the local join no longer changes, and all threshold edges and dense nodes met on the way."""
-    turn = 0
+def descend(lists: DataFrame, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists that the local join no longer changes, and all threshold edges met on the way."""
+    turn, grown = 0, lists.agg(F.sum("k").alias("k")).first()["k"]
     while True:
         turn += 1
-        before = lists.agg(F.sum("k").alias("k")).first()["k"]
         found = checkpointed(local_join(lists, nodes, turn))
-        links, marks = checkpointed(links.union(links_of(found)).distinct()), marks.union(marks_of(found))
+        if found.isEmpty():
+            return lists, links
+        links = checkpointed(links.union(links_of(found)).distinct())
         old = lists.select("u", "v", "sim", F.lit(0).alias("new"), "k")
         lists = checkpointed(lists_of(old.unionByName(found.select("*", F.lit(1).alias("new"), F.lit(K).alias("k")))))
         state = lists.agg(F.count("*").alias("n"), F.sum("new").alias("new"), F.sum("k").alias("k")).first()
-        if not state["n"] or (state["new"] <= SETTLED * state["n"] and state["k"] == before):
-            return lists, links, marks.union(lists.filter("full").select("u")).distinct()
+        if state["new"] <= SETTLED * state["n"] and state["k"] == grown:
+            return lists, links
+        grown = state["k"]
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -283,7 +290,7 @@ def blocks_of(members: DataFrame) -> DataFrame:
 
     sides = checkpointed(members.select("id", "component", "length", "vec").mapInArrow(project, "id long, component long, " + ", ".join(f"p{i} double" for i in range(8))))
     tile = TILE
-    middle = sides.groupBy("component").agg(*(F.percentile_approx(f"p{i}", 0.5).alias(f"m{i}") for i in range(8)))
+    middle = sized(checkpointed(sides.groupBy("component").agg(*(F.percentile_approx(f"p{i}", 0.5).alias(f"m{i}") for i in range(8)))))
     code = sum(((F.col(f"p{i}") > F.col(f"m{i}")).cast("int") * (1 << i) for i in range(8)), F.lit(0))
     ordered = sides.join(middle, "component").select("id", "component", code.alias("code"))
     order = ["component", "code", F.xxhash64("id")]
@@ -379,23 +386,25 @@ def link_counts(nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     """(id, n) of nodes with links, (node, component), and the audited recall of nodes(id, label, length, vec, copies)."""
     spark = nodes.sparkSession
     lists = spark.createDataFrame([], "u long, v long, sim double, new int, k int")
-    links, marks = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "u long")
+    links = spark.createDataFrame([], "u long, v long")
     for attempt in range(ATTEMPTS):
         first = checkpointed(start(nodes, attempt))
         begun = lists.select("u", "v", "sim", F.lit(0).alias("new"), "k").unionByName(first.select("*", F.lit(1).alias("new"), F.lit(K).alias("k")))
-        lists, links, marks = descend(checkpointed(lists_of(begun)), links.union(links_of(first)), marks.union(marks_of(first)), nodes)
-        marks = checkpointed(marks)
+        lists, links = descend(checkpointed(lists_of(begun)), checkpointed(links.union(links_of(first)).distinct()), nodes)
+        marks = checkpointed(marks_of(lists))
         weights = nodes.select(F.col("id").alias("v"), "copies")
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         counts, components = both.join(weights, "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("n")), checkpointed(connected_components(links))
         if not marks.isEmpty():
-            dense = components.join(marks, F.col("node") == F.col("u")).select("component").distinct()
+            dense = sized(checkpointed(components.join(marks, F.col("node") == F.col("u")).select("component").distinct()))
             members = checkpointed(components.join(dense, "component").join(nodes, F.col("node") == F.col("id")).select("component", "label", "length", "id", "vec", "copies"))
             n_dense, edges = dense_links(members)
             counts = counts.join(members.select("id"), "id", "left_anti").union(n_dense)
-            # A component stands for its nodes: only it and what the dense ones' edges join is looked at again.
-            merged = connected_components(edges.join(components.toDF("u", "_u"), "u").join(components.toDF("v", "_v"), "v").select("_u", "_v"))
-            components = checkpointed(components.join(merged.toDF("component", "_least"), "component", "left").select("node", F.coalesce("_least", "component").alias("component")))
+            # A component stands for its nodes: only what the dense ones' edges join anew is looked at again.
+            across = checkpointed(edges.join(components.toDF("u", "_u"), "u").join(components.toDF("v", "_v"), "v").filter("_u != _v").select("_u", "_v").distinct())
+            if not across.isEmpty():
+                merged = sized(checkpointed(connected_components(across).toDF("component", "_least")))
+                components = checkpointed(components.join(merged, "component", "left").select("node", F.coalesce("_least", "component").alias("component")))
         counts = checkpointed(counts)
         recall = audit(nodes, counts)
         if recall >= RECALL:
