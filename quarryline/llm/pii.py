@@ -1,8 +1,9 @@
 """Personal data: format-preserving pseudonyms by a keyed Feistel permutation.
 
 Found in whole texts: e-mail addresses, payment card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security
-numbers (assigned ranges), phone numbers, IPv4 addresses (each part below 256), calendar dates that exist (1900 to 2099)
-and quoted hexadecimal secrets. A number that fails its check is left alone, and what it holds or overlaps is searched on: an
+numbers (assigned ranges), phone numbers (with a country code, an area code in brackets, or as 3-3-4 digits), IPv4
+addresses (each part below 256), calendar dates that exist (1900 to 2099) and hexadecimal secrets that are quoted or
+follow the name of a key. Of an address all but the last part of the host is replaced, equal hosts alike. A number that fails its check is left alone, and what it holds or overlaps is searched on: an
 IBAN may end at each blank, a card may be any groups of digits of a row of numbers. A card in a usual grouping goes before
 one in another that overlaps it.
 
@@ -43,18 +44,23 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal
 
 PATTERN = re.compile(
     r"""
-    (?P<email>(?<![\w.%+-])[\w.%+-]*\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-  | (?P<secret>(?<=["'])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?=["']))
+    (?P<email>(?<![\w.%+-])[\w.%+-]++@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})
+  | (?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))
   | (?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
   | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
   | (?P<date>(?<![\d./-])(?:\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}|\d{2}(?P<s2>[-/.])\d{2}(?P=s2)\d{4})(?![\d/-]|\.\d))
+  | (?P<local>(?<![\d.+-])\d{3}(?P<s3>[-.])\d{3}(?P=s3)\d{4}(?![\d-]|\.\d))
   | (?P<phone>(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d))
   | (?P<card>(?<![\d])\d(?:[ -]?\d){12,18}(?!\d))
     """,
     re.VERBOSE,
 )
-KINDS = ("email", "secret", "iban", "ip", "ssn", "date", "phone", "card")
+KINDS = {"email": "email", "secret": "secret", "iban": "iban", "ip": "ip", "ssn": "ssn", "date": "date", "s1": "date", "s2": "date", "local": "phone", "s3": "phone", "phone": "phone", "card": "card"}
+#: What stands before a secret that is not in quotes.
+NAMED = re.compile(r"""(?i)(?:key|token|secret|passw(?:or)?d)\W{0,2}\s{0,3}[:=]\s{0,3}\W?$""")
+#: Characters of a part of an address that are permuted together.
+PART = 64
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?")
 #: Groups of digits that can belong to a card which begins with the first, or to one that overlaps that.
 GROUPS = re.compile(r"\d+(?:[ -]\d+){0,40}")
@@ -79,13 +85,13 @@ class Feistel:
     """A keyed bijection of range(n) for each n and kind, and its inverse."""
 
     def __init__(self, key: bytes):
-        self.key = key
+        self.key = key if len(key) <= hashlib.blake2b.MAX_KEY_SIZE else hashlib.blake2b(key).digest()
 
     def _round(self, kind: str, n: int, i: int, half: int, bits: int) -> int:
         of = half.to_bytes(-(-bits // 8) or 1, "big")
         more = hashlib.shake_256 if bits > 512 else None
         seed = f"{kind}/{n}/{i}/".encode() + of
-        digest = more(self.key + seed).digest(-(-bits // 8)) if more else hashlib.blake2b(seed, key=self.key[:64]).digest()
+        digest = more(self.key + seed).digest(-(-bits // 8)) if more else hashlib.blake2b(seed, key=self.key).digest()
         return int.from_bytes(digest, "big") & ((1 << bits) - 1)
 
     def _network(self, kind: str, n: int, x: int, order: range) -> int:
@@ -164,15 +170,23 @@ def _date(s: str) -> tuple[date, tuple[int, int, int]] | None:
     return None
 
 
+def _parts(kind: str, text: str, feistel: Feistel, by: int) -> str:
+    """Letters and digits of a part of an address, whatever their script, permuted a stretch of PART at a time."""
+    out = []
+    for k in range(0, len(text), PART):
+        piece = text[k : k + PART]
+        alphabets = [_script(c) for c in piece]
+        out.append(feistel.chars(f"{kind}{k}", piece, alphabets, by) if any(alphabets) else piece)
+    return "".join(out)
+
+
 def pseudonym(kind: str, value: str, feistel: Feistel, by: int = 1) -> str | None:
     """The pseudonym of a found value; None if it fails its kind's check."""
     if kind == "email":
-        at = value.index("@")
-        alphabets = [_script(c) for c in value[:at]] + [None] * (len(value) - at)
-        if not any(alphabets):  # nothing to change before the @: the host, but for its last part
-            end = value.rindex(".")
-            alphabets = [None] * at + [_alphabet(c) for c in value[at:end]] + [None] * (len(value) - end)
-        return feistel.chars(kind, value, alphabets, by) if any(alphabets) else None
+        local, _, host = value.partition("@")
+        end = host.rindex(".")
+        new = _parts("local", local, feistel, by) + "@" + _parts("host", host[:end], feistel, by) + host[end:]
+        return new if new != value else None
     if kind == "secret":
         return feistel.chars(kind, value, [HEX_UPPER if value.isupper() else HEX_LOWER] * len(value), by)
     if kind == "ip":
@@ -210,7 +224,7 @@ def pseudonym(kind: str, value: str, feistel: Feistel, by: int = 1) -> str | Non
             out[i] = c
         return "".join(out)
     if kind == "phone":
-        national = value.index("(") if "(" in value else re.match(r"\+\d{1,3}?(?=[ .-])|\+\d", value).end()
+        national = value.index("(") if "(" in value else 0 if value[0] in DIGIT else re.match(r"\+\d{1,3}?(?=[ .-])|\+\d", value).end()
         return feistel.chars(kind, value, [None] * national + _digits(value[national:]), by)
     places = [i for i, c in enumerate(value) if c in DIGIT]  # card
     plain = "".join(value[i] for i in places)
@@ -249,7 +263,10 @@ def _cards(text: str, start: int, of: Callable[[str, str], str | None]) -> Itera
 def _first(text: str, at: int, of: Callable[[str, str], str | None]) -> tuple[int, int, str, str] | None:
     """(start, end, kind, pseudonym) of the first value found and valid from a place on."""
     while m := PATTERN.search(text, at):
-        start, kind = m.start(), m.lastgroup if m.lastgroup in KINDS else "date"
+        start, kind = m.start(), KINDS[m.lastgroup]
+        if kind == "secret" and not (text[start - 1 : start] in ('"', "'") and text[m.end() : m.end() + 1] in ('"', "'")) and not NAMED.search(text[max(0, start - 24) : start]):
+            at = m.end()  # no other kind begins inside a run of so many letters and digits
+            continue
         if kind != "card":
             if (new := of(kind, m.group())) is not None:
                 return start, m.end(), kind, new
