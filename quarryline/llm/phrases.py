@@ -5,17 +5,19 @@ word is removed if a window over it has a word sequence that also starts in a do
 
 1. Seeds. Of the ``SEED`` -word runs inside a window the one with the least hash stands for it, the same one wherever the
    window occurs; documents share such seeds among neighbouring windows, so about one word in five gives one. Seeds that
-   two documents have are the only ones whose windows can recur. They are kept as a bitmap of fixed size
-   (``SEED_BITS``): a false hit costs a few shuffled rows, never a result, and a bitmap that fills up at some size makes
-   the next step shuffle more windows, not fewer.
-2. Windows with such a seed are sorted by hash; of each hash the least (doc_id, position) is the source, and every window
-   of a larger doc_id learns it. The rows of a hash are streamed, never gathered, however many they are.
+   two documents have are the only ones whose windows can recur. They are kept as a bitmap of ``SEED_SHARE`` bits a seed,
+   between bounds: a false hit costs a few shuffled rows, never a result, and beyond the upper bound the next step
+   shuffles more windows, not fewer.
+2. Windows with such a seed are sorted by two hashes of 64 bits, so that windows that meet are equal; of equal ones the
+   least (doc_id, position) is the source, and every window of a larger doc_id learns it. Their rows are streamed, never
+   gathered, however many they are.
 3. Neighbouring windows of a document with neighbouring sources join to passages. Each passage is cut from its source
-   document once for each shard of documents that repeats it.
+   document once, whatever the number of shards of documents that repeat it; a document from which many passages are cut
+   is dealt over several tasks.
 4. Each shard compiles the automata of its passages (words as single characters, at most ``VOCABULARY`` different words
-   in one automaton) and streams its documents through them: every occurrence of a passage from a smaller doc_id is
-   removed. The match compares the words themselves, so hash collisions remove nothing.
-   Documents without a passage (known by bitmaps of ids of fixed size) are passed through without a shuffle.
+   in one automaton and ``PASSAGE`` words in one pattern; longer passages overlap) and streams its documents through them:
+   every occurrence of a passage from a smaller doc_id is removed. The match compares the words themselves.
+   Documents without a passage (known by bitmaps of ids, sized alike) are passed through without a shuffle.
 
 Shards grow in number with the input and hold documents and the passages these repeat, so their memory is bounded by
 their own text. Null texts have no words; documents without id are kept whole and are no source; rows that share an id
@@ -32,19 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, slices, utf8
+from .common import checkpointed, partitions, sized, slices, utf8
 
 WINDOW = 13
 SEED = 5
-SEED_BITS, ID_BITS = 27, 25
-VOCABULARY = 1_000_000
+#: Bits of a bitmap for each value it holds, and bounds on the logarithm of their number (128 MB).
+SEED_SHARE, FEWEST_BITS, MOST_BITS = 16, 20, 30
+#: Different words of an automaton, and words of a pattern; together fewer than there are characters.
+VOCABULARY, PASSAGE = 1_000_000, 50_000
+#: Passages that one task cuts from a document, at least.
+CUTS_EACH = 256
 #: Texts that are hashed at once: each byte of them takes about a hundred bytes of arrays.
 HASHED_ROWS = 128
 SHARDS_EACH = 4
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-STEP = np.uint64(0xD1B54A32D192ED03)
+STEP, OTHER_STEP = np.uint64(0xD1B54A32D192ED03), np.uint64(0xAEF17502108EF2D9)
 
 
 class Powers:
@@ -79,11 +85,11 @@ def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndar
     return hashes, np.searchsorted(begins, start, side="right") - 1
 
 
-def runs_of(h: np.ndarray, n: int) -> np.ndarray:
+def runs_of(h: np.ndarray, n: int, step: np.uint64 = STEP) -> np.ndarray:
     """By start, the hash of n neighbouring words."""
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        out = out * STEP + h[k : len(h) - n + 1 + k]
+        out = out * step + h[k : len(h) - n + 1 + k]
     return mixed(out)
 
 
@@ -95,15 +101,15 @@ def least_of(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
-def seeds_and_windows(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every window: the index of its text, its position there, its seed and its hash."""
+def seeds_and_windows(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, ...]:
+    """For every window: the index of its text, its position there, its seed and its two hashes."""
     h, of = word_hashes(texts, powers)
     if len(h) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return (*(np.zeros(0, np.int64) for _ in range(2)), *(np.zeros(0, np.uint64) for _ in range(3)))
     seed = least_of(runs_of(h, SEED), WINDOW - SEED + 1)
     inside = np.nonzero(of[: len(seed)] == of[WINDOW - 1 :])[0]
     first = np.searchsorted(of, np.arange(len(texts)))
-    return of[inside], inside - first[of[inside]], seed[inside], runs_of(h, WINDOW)[inside]
+    return of[inside], inside - first[of[inside]], seed[inside], runs_of(h, WINDOW)[inside], runs_of(mixed(h), WINDOW, OTHER_STEP)[inside]
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -112,7 +118,7 @@ def seeds(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in slices(batches, HASHED_ROWS):
-            of, _, seed, _ = seeds_and_windows([t or b"" for t in utf8(batch.column("text"))], powers)
+            of, _, seed, *_ = seeds_and_windows([t or b"" for t in utf8(batch.column("text"))], powers)
             if len(of):
                 changed = np.r_[True, (seed[1:] != seed[:-1]) | (of[1:] != of[:-1])]
                 of, seed = of[changed], seed[changed]
@@ -124,8 +130,9 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(work, "h long")
 
 
-def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits, those of the top bits of h set; built by aggregation, so its fixed size is all the driver gets."""
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits, as many as the rows ask for within the bounds, those of the top bits of h set; the driver gets no more than these."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, (SEED_SHARE * hashes.count()).bit_length()))
     place = F.shiftrightunsigned("h", 64 - bits)
     cells = hashes.select(F.shiftrightunsigned(place, 6).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
@@ -145,38 +152,38 @@ def recurring_windows(docs: DataFrame) -> DataFrame:
     finds wherever the document has it, so a line repeated in many documents shuffles a row for each document only.
     """
     spark = docs.sparkSession
-    recurring = seeds(docs).groupBy("h").count().filter(F.col("count") > 1)
-    shared = spark.sparkContext.broadcast(bitmap(recurring, SEED_BITS))
+    recurring = checkpointed(seeds(docs).groupBy("h").count().filter(F.col("count") > 1).select("h"))
+    shared = spark.sparkContext.broadcast(bitmap(recurring))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bits = Powers(), shared.value
         for batch in slices(batches, HASHED_ROWS):
-            of, pos, seed, window = seeds_and_windows([t or b"" for t in utf8(batch.column("text"))], powers)
+            of, pos, seed, window, other = seeds_and_windows([t or b"" for t in utf8(batch.column("text"))], powers)
             keep = np.nonzero(in_bitmap(bits, seed))[0]
             if len(keep):
-                keep = keep[np.lexsort((pos[keep], window[keep], of[keep]))]
-                again = (window[keep][1:] == window[keep][:-1]) & (of[keep][1:] == of[keep][:-1])
+                keep = keep[np.lexsort((pos[keep], other[keep], window[keep], of[keep]))]
+                again = (window[keep][1:] == window[keep][:-1]) & (other[keep][1:] == other[keep][:-1]) & (of[keep][1:] == of[keep][:-1])
                 alone = np.r_[again, False] | np.r_[False, again]
                 first = ~np.r_[False, again]
                 at, ids = keep[first], batch.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(window[at].view(np.int64)), pa.array(ids[of[at]], pa.int64()), pa.array(pos[at].astype(np.int32)), pa.array(alone[first])], ["h", "doc", "pos", "alone"])
+                yield pa.RecordBatch.from_arrays([pa.array(window[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(ids[of[at]], pa.int64()), pa.array(pos[at].astype(np.int32)), pa.array(alone[first])], ["h", "g", "doc", "pos", "alone"])
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h, last_doc, last_pos = None, -1, -1
+        last, last_doc, last_pos = None, -1, -1
         for batch in batches:
-            h, doc, pos, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "pos", "alone"))
+            h, g, doc, pos, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "doc", "pos", "alone"))
             if not len(h):
                 continue
-            begins = np.r_[last_h is None or h[0] != last_h, h[1:] != h[:-1]]
+            begins = np.r_[(h[0], g[0]) != last, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
             at = np.maximum.accumulate(np.where(begins, np.arange(len(h)), -1))
             src_doc, src_pos = np.where(at >= 0, doc[at], last_doc), np.where(at >= 0, pos[at], last_pos)
-            last_h, last_doc, last_pos = h[-1], src_doc[-1], src_pos[-1]
+            last, last_doc, last_pos = (h[-1], g[-1]), src_doc[-1], src_pos[-1]
             later = doc > src_doc
             if later.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[later], t) for x, t in ((doc, pa.int64()), (pos, pa.int32()), (src_doc, pa.int64()), (src_pos, pa.int32()), (alone, pa.bool_()))], ["doc", "pos", "src_doc", "src_pos", "alone"])
 
-    found = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(candidates, "h long, doc long, pos int, alone boolean")
-    ordered = found.repartition(partitions(spark), "h").sortWithinPartitions("h", "doc", "pos")
+    found = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(candidates, "h long, g long, doc long, pos int, alone boolean")
+    ordered = found.repartition(partitions(spark), "h", "g").sortWithinPartitions("h", "g", "doc", "pos")
     return ordered.mapInArrow(sources, "doc long, pos int, src_doc long, src_pos int, alone boolean")
 
 
@@ -193,13 +200,13 @@ def passages(windows: DataFrame, shards: int) -> DataFrame:
             words = np.diff(np.r_[start, len(doc)]) + WINDOW - 1
             yield pa.RecordBatch.from_arrays([pa.array(shard[start]), pa.array(doc[start]), pa.array(src_doc[start]), pa.array(src_pos[start]), pa.array(words.astype(np.int32))], ["shard", "doc", "src_doc", "src_pos", "words"])
 
-    placed = windows.withColumn("shard", shard_of("doc", shards))
+    placed = windows.withColumn("shard", shard_of(shards, "doc"))
     ordered = placed.repartition(partitions(windows.sparkSession), "shard").sortWithinPartitions("shard", "doc", "pos")
     return ordered.mapInArrow(join, "shard int, doc long, src_doc long, src_pos int, words int")
 
 
-def shard_of(doc: str, shards: int):
-    return F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int")
+def shard_of(shards: int, *key):
+    return F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int")
 
 
 def automata(patterns: dict[tuple[bytes, ...], int]) -> Iterator[tuple[dict[bytes, str], ahocorasick.Automaton]]:
@@ -238,8 +245,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shards = max(partitions(spark), SHARDS_EACH * docs.select("text").rdd.getNumPartitions())
     found = checkpointed(passages(recurring_windows(docs), shards))
-    targets = bitmap(found.select(F.xxhash64("doc").alias("h")), ID_BITS)
-    origins = bitmap(found.select(F.xxhash64("src_doc").alias("h")), ID_BITS)
+    targets = bitmap(found.select(F.xxhash64("doc").alias("h")).distinct())
+    origins = bitmap(found.select(F.xxhash64("src_doc").alias("h")).distinct())
     shared = spark.sparkContext.broadcast((targets, origins))
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
 
@@ -268,8 +275,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def stream(shard_docs: pa.Table, shard_passages: pa.Table) -> pa.Table:
         least: dict[tuple[bytes, ...], int] = {}
         for src, passage in zip(shard_passages.column("src_doc").to_pylist(), utf8(shard_passages.column("passage").combine_chunks()), strict=True):
-            words = tuple(passage.split(b" "))
-            if len(words) >= WINDOW:
+            whole = tuple(passage.split(b" "))
+            for begin in range(0, len(whole) - WINDOW + 1, PASSAGE - WINDOW + 1):
+                words = whole[begin : begin + PASSAGE]
                 least[words] = min(src, least.get(words, src))
         compiled = list(automata(least))
         rows = []
@@ -294,10 +302,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": i, "n_words": n, "n_removed": gone, "kept": kept.cast(pa.string())})
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    # A passage is cut once, whatever the number of shards that want it (a list of so many small numbers at most).
-    spans = found.groupBy("src_doc", "src_pos", "words").agg(F.collect_set("shard").alias("shards")).withColumn("at", shard_of("src_doc", shards))
-    sources = chosen(1, True).withColumn("at", shard_of("id", shards))
+    # A passage is cut once, whatever the number of shards that want it (a list of so many small numbers at most). The copies
+    # of a document for its parts together hold at most sixteen words for each of its passages, or the document once.
+    spans = found.groupBy("src_doc", "src_pos", "words").agg(F.collect_set("shard").alias("shards"))
+    each = F.greatest(F.lit(CUTS_EACH), F.max(F.col("src_pos") + F.col("words")) / 16)
+    dealt = sized(checkpointed(spans.groupBy("src_doc").agg(F.ceil(F.count("*") / each).cast("int").alias("parts")).filter("parts > 1")))
+    parts = F.coalesce("parts", F.lit(1))
+    spans = spans.join(dealt, "src_doc", "left").withColumn("at", shard_of(shards, "src_doc", F.pmod(F.xxhash64("src_pos", "words"), parts).cast("int"))).drop("parts")
+    sources = chosen(1, True).join(dealt.withColumnRenamed("src_doc", "id"), "id", "left").select("id", "text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select("id", "text", shard_of(shards, "id", "part").alias("at"))
     pieces = sources.groupBy("at").cogroup(spans.groupBy("at")).applyInArrow(cut, "shards array<int>, src_doc long, passage string").select(F.explode("shards").alias("shard"), "src_doc", "passage")
-    repeating = chosen(0, True).withColumn("shard", shard_of("id", shards))
+    repeating = chosen(0, True).withColumn("shard", shard_of(shards, "id"))
     shortened = repeating.groupBy("shard").cogroup(pieces.groupBy("shard")).applyInArrow(stream, schema)
     return shortened.union(chosen(0, False).mapInArrow(whole, schema))
