@@ -9,9 +9,10 @@ A filter over one-hot bytes is a table look-up per byte, and max pooling sends t
 which makes training (Adam on cross entropy) cheap. For scoring the tables are joined into one by byte pair: each
 position costs one row gather and a few additions, over batches of windows of fixed size.
 
-Learning uses at most ``TRAIN_MOST`` texts with a known language outside the held-out fold (crc32 of the id modulo 5 not
-0), those of least id hash, and at most ``WINDOWS_EACH`` windows spread evenly over each: bounds on training only.
-Scoring covers every byte of every text. Only the text enters a prediction.
+Learning uses texts with a known language outside the held-out fold (crc32 of the id modulo 5 not 0): of each language at
+most ``TEXTS_EACH`` rows, those of least id hash, and of all unlike windows of these at most ``WINDOWS_EACH``, drawn by hash, so
+that rare languages and long texts have their share. Texts are cut on the executors; only the drawn windows reach the
+driver. These are bounds on training only. Scoring covers every byte of every text. Only the text enters a prediction.
 
 ``und`` with score 0: a null text, a text without a letter, and every text if there was nothing to learn from. Rows
 without id are predicted but not learned from; repeated rows repeat (an id is learned from once for each language); of equal probabilities the first language in
@@ -25,14 +26,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, slices, utf8
 
 FOLDS, HELD_OUT = 5, 0
-TRAIN_MOST = 2000
-WINDOWS_EACH = 4
+TEXTS_EACH, WINDOWS_EACH = 600, 2500
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -89,15 +89,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], langs: list[str]) -> Model:
-    """Fit on texts that all sit in the driver's memory."""
+    """Fit on all windows of texts that sit in the driver's memory."""
+    each = [windows(t) for t in texts]
+    return fitted(np.concatenate(each), np.repeat(langs, [len(w) for w in each]).tolist())
+
+
+def fitted(x: np.ndarray, langs: list[str]) -> Model:
+    """Fit on windows and their languages."""
     names = sorted(set(langs))
-    x, y = [], []
-    for t, lang in zip(texts, langs, strict=True):
-        w = windows(t)
-        at = np.unique(np.linspace(0, len(w) - 1, WINDOWS_EACH).astype(int))
-        x.append(w[at])
-        y += [names.index(lang)] * len(at)
-    x, y = np.concatenate(x), np.array(y)
+    y = np.array([names.index(lang) for lang in langs])
     rng = np.random.default_rng(SEED)
     p = [*(rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS), np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.3, (len(WIDTHS) * FILTERS, len(names))).astype(np.float32), np.zeros(len(names), np.float32)]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -133,13 +133,27 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
     return Model(names, p[:3], p[3], p[4], p[5])
 
 
-def fit(docs: DataFrame, most: int = TRAIN_MOST) -> Model | None:
+def fit(docs: DataFrame, texts_each: int = TEXTS_EACH, windows_each: int = WINDOWS_EACH) -> Model | None:
     """A model from docs' own languages; None without any."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "lang", "text")
-    chosen = known.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().orderBy(F.xxhash64("_id"), "_id", "_lang").limit(most)
-    found = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # most rows of an id and a language
-    rows = found.groupBy("_id", F.col("_lang").alias("lang")).agg(F.min("text").alias("text")).orderBy("_id", "lang").select("lang", "text").toArrow()
-    return train(utf8(rows.column("text").combine_chunks()), rows.column("lang").to_pylist()) if rows.num_rows else None
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select(F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("_lang"), "text")
+    of_lang = Window.partitionBy("_lang")
+    chosen = known.select("_id", "_lang").distinct().withColumn("_n", F.row_number().over(of_lang.orderBy(F.xxhash64("_id"), "_id"))).filter(F.col("_n") <= texts_each).drop("_n")
+    rows = known.join(chosen, ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("text").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for lang, text in zip(batch.column("_lang").to_pylist(), utf8(batch.column("text")), strict=True):
+                w = windows(text)
+                for at in range(0, len(w), BLOCK):
+                    part = [x.tobytes() for x in w[at : at + BLOCK]]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.binary())], ["_lang", "w"])
+
+    cut = rows.select("_lang", "text").mapInArrow(work, "_lang string, w binary")
+    drawn = cut.distinct().withColumn("_n", F.row_number().over(of_lang.orderBy(F.xxhash64("w"), "w"))).filter(F.col("_n") <= windows_each).orderBy("_lang", "_n").toArrow()
+    if not drawn.num_rows:
+        return None
+    x = np.frombuffer(b"".join(drawn.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    return fitted(x, drawn.column("_lang").to_pylist())
 
 
 def text_probabilities(texts: list[bytes], model: Model) -> np.ndarray:
