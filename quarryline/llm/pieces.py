@@ -8,12 +8,11 @@ Pieces hold that mark only at their front, so the text falls apart exactly into
 depend on nothing else and are kept in a bounded per-worker memo. A vocabulary with marks elsewhere makes the whole
 text one unit.
 
-For each position the automaton reports every piece that ends there, by its output links, and the best score of the
-prefix is relaxed. In a unigram model any path counts and the best sum of scores wins (of equal sums the longest last
-piece). In a BPE model (``bpe=True``) scores are merge ranks, not log probabilities, and a path counts only if each two
-neighbouring pieces are what merging would leave of their joined text; there is one such path, the ids of the merge
-algorithm. A character that no piece covers becomes its UTF-8 byte pieces, or the unknown id in a vocabulary without
-them.
+For each position the automaton reports every piece that ends there, by its output links, and each relaxes the best
+score of the prefix. In a unigram model any path counts and the best sum of scores wins (of equal sums the longest last
+piece). In a BPE model (``bpe=True``) a piece relaxes a prefix only if it and the piece before it are what merging would
+leave of their joined text, so the path is that of the merge algorithm. A character that no piece covers becomes its
+UTF-8 byte pieces, or the unknown id in a vocabulary without them.
 
 Null texts have null ids; an empty text has none. Repeated rows each get their ids; a table without rows gives none.
 Other columns, whatever their names, are kept, except that the output column is replaced.
@@ -36,8 +35,8 @@ from .common import slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Distinct units and piece pairs that a worker remembers; a full memo is emptied, which costs time only.
-MEMO, PAIR_MEMO = 100_000, 400_000
+#: Distinct units, none longer than so many characters, and piece pairs that a worker remembers in each of two generations.
+MEMO, MEMO_CHARS, PAIR_MEMO = 100_000, 64, 400_000
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 #: A character without a piece scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -56,11 +55,13 @@ def read_table(model_file: str = MODEL) -> list[tuple[str, float, int]]:
 class Memo(dict):
     """A dict that computes what it lacks. When full it keeps one older generation, from which used entries return."""
 
-    def __init__(self, make, most: int = MEMO):
+    def __init__(self, make, most: int = MEMO, too_long=lambda key: False):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most, self.too_long, self.older = make, most, too_long, {}
 
     def __missing__(self, key):
+        if self.too_long(key):
+            return self.make(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -95,8 +96,7 @@ class Codec:
             if not bpe or self.whole[i]:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        path = self.merge_path if bpe else self.score_path
-        self.units = Memo(lambda u: pack(path(u)))
+        self.units = Memo(lambda u: pack(self.path(u)), too_long=lambda u: len(u) > MEMO_CHARS)
 
     def merged(self, text: str) -> list[str]:
         """What merging the best pair again and again (of equal ones the first) leaves of a short text."""
@@ -116,8 +116,20 @@ class Codec:
     def _unknown(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
 
-    def _back(self, unit: str, last_id: list[int], length: list[int]) -> list[int]:
-        """Follow each position's last piece (-1: its one character has none) from the end."""
+    def path(self, unit: str) -> list[int]:
+        """Viterbi: by end, the best score of the prefix and its last piece (-1: its last character has none)."""
+        apart, count, scores, bpe, unknown = self.apart, len(self.names), self.scores, self.bpe, self.unknown_score
+        last_id, length, score = [-1] * (len(unit) + 1), [1] * (len(unit) + 1), [0.0] + [float("-inf")] * len(unit)
+        settled = 0
+        for last, (n, i) in self.automaton.iter(unit):
+            while settled < last:  # all pieces up to here are seen: positions that none reached follow one unknown character
+                settled += 1
+                if last_id[settled] < 0:
+                    score[settled] = score[settled - 1] + unknown
+            begin, end = last + 1 - n, last + 1
+            found = score[begin] + scores[i]
+            if found > score[end] and (not bpe or (before := last_id[begin]) < 0 or apart[before * count + i]):
+                score[end], last_id[end], length[end] = found, i, n
         ids: list[int] = []
         end = len(unit)
         while end:
@@ -130,30 +142,6 @@ class Codec:
         ids.reverse()
         return ids
 
-    def merge_path(self, unit: str) -> list[int]:
-        """Viterbi where neighbours must stay apart under merging: the one piece that fits a position is its best."""
-        apart, count, found = self.apart, len(self.names), -1
-        last_id, length = [-1] * (len(unit) + 1), [1] * (len(unit) + 1)
-        for last, (n, i) in self.automaton.iter(unit):
-            if last != found:
-                before = last_id[last + 1 - n]
-                if before < 0 or apart[before * count + i]:
-                    last_id[last + 1], length[last + 1], found = i, n, last
-        return self._back(unit, last_id, length)
-
-    def score_path(self, unit: str) -> list[int]:
-        """Viterbi of a unigram model: the path with the best sum of scores."""
-        last_id, length, score = [-1] * (len(unit) + 1), [1] * (len(unit) + 1), [0.0] + [float("-inf")] * len(unit)
-        settled = 0
-        for last, (n, i) in [*self.automaton.iter(unit), (len(unit), (0, -1))]:
-            while settled < last:  # all pieces up to here are seen: is one unknown character the only or the better way?
-                settled += 1
-                if last_id[settled] < 0:
-                    score[settled] = score[settled - 1] + self.unknown_score
-            if n and score[last + 1 - n] + self.scores[i] > score[last + 1]:
-                score[last + 1], last_id[last + 1], length[last + 1] = score[last + 1 - n] + self.scores[i], i, n
-        return self._back(unit, last_id, length)
-
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit integers."""
         return b"".join([self.units[u] for u in self.unit.findall(MARK + text.replace(" ", MARK))]) if text else b""
