@@ -5,8 +5,8 @@ Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII. A b
 their row: arrays of hashes of 1, 2, 4 and 8 neighbouring words are built by pairwise ``zip_with``, and a window of any
 length combines at most three of them. A hash passes if its bit is set in a bitmap of the benchmark's hashes, a literal of
 bounded size; the few windows that pass are exploded with their words and joined with the benchmark windows on hash
-and words, so every hit is verified. The windows are broadcast only if their counted number is below
-``BROADCAST_WINDOWS``; a larger set is joined by shuffle. One row per document and passing window is shuffled, never
+and words, so every hit is verified. The windows are broadcast only if their counted number and that of the items they
+list are within ``BROADCAST_WINDOWS``; a larger set is joined by shuffle. One row per document and passing window is shuffled, never
 its text.
 
 Nulls: a null text has no words; null ids are ids like others on the document side, and an item without id marks words
@@ -96,7 +96,8 @@ def _window(length: int):
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, hits (sorted array of start, length) and items of every row of docs."""
     windows = benchmark_windows(benchmark, window)
-    lengths = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}
+    found = windows.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items")).collect()  # a row a length
+    lengths, listed = {r["length"]: r["n"] for r in found}, sum(r["items"] for r in found)
     total = sum(lengths.values())
     cells = FEWEST_CELLS
     while cells < MOST_CELLS and cells * 64 < 256 * total:
@@ -115,7 +116,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     # A row without a passing window still stands for its document; its key is its own so that no join key is hot.
     passing = passing.withColumn("_hash", F.coalesce("w.hash", F.xxhash64("doc_id", "_a"))).withColumn("_gram", F.coalesce("w.gram", F.array().cast("array<string>")))
     side = windows.select(F.col("hash").alias("_hash"), F.col("gram").alias("_gram"), "items")
-    side = F.broadcast(side) if total <= BROADCAST_WINDOWS else side
+    side = F.broadcast(side) if max(total, listed) <= BROADCAST_WINDOWS else side
     joined = passing.join(side, ["_hash", "_gram"], "left")
     hit = F.when(F.col("items").isNotNull(), F.struct("w.start", "w.length"))
     grouped = joined.groupBy("doc_id", "_a", "_b").agg(

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions
+from .common import checkpointed, free_name, partitions
 
 DIMENSIONS = ("source", "lang", "n_chars", "doc_id")
 BITS = 5
@@ -146,7 +146,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **how) -> None:
-    """Write the whole rows as one Parquet folder (_shard=n) per shard, each in slot order.
+    """Write the whole rows as one Parquet folder (_shard=n, or a longer name if docs has that column) per shard, in slot order.
 
     Assignments meet their rows by doc_id and text hash; rows equal in both share the assigned slots in any order.
     """
@@ -157,4 +157,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **how) -> Non
     rows = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.struct("*").alias("row")).withColumn("copy", F.row_number().over(w.orderBy(*(f"row.{c}" for c in DIMENSIONS)))).alias("r")
     joined = rows.join(slots, F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("r.crc").eqNullSafe(F.col("s.crc")) & (F.col("r.copy") == F.col("s.copy")))
     placed = joined.select("row", "s.shard", "s.slot").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
-    placed.select("row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)
+    name = free_name(docs, "_shard")
+    placed.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
