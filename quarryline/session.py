@@ -24,10 +24,17 @@ def session(app: str = "quarryline", master: str | None = None, **settings: str)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, materialised in the folder of spark.checkpoint.dir (in a temporary one only where none is set)."""
+    """df, materialised in the folder of spark.checkpoint.dir.
+
+    Where none is set, a local master (whose tasks share the driver's disk) gets a temporary one; a cluster must name one
+    that all its machines reach.
+    """
     sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
