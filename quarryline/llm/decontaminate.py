@@ -107,12 +107,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("_a"), F.crc32(F.col("text").cast("binary")).alias("_b"), words(F.col("text")).alias("words"))
     rows = _hashed(rows, max(lengths, default=1))
-    found = [F.array().cast("array<struct<start:int,length:int,hash:bigint,gram:array<string>>>")]
+    arrays = [F.array().cast("array<struct<start:int,length:int,hash:bigint,gram:array<string>>>")]
     for k in sorted(lengths):
         rows = rows.withColumn(f"_w{k}", _window_hash(k))
         here = F.array_compact(F.transform(f"_w{k}", lambda h, i: F.when(F.call_function("bit_get", F.get(bitmap, F.shiftrightunsigned(h, 64 - bits).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1, i)))
-        found.append(F.transform(here, _window(k)))
-    passing = rows.select("doc_id", "_a", "_b", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(F.concat(*found)).alias("_n", "w"))
+        arrays.append(F.transform(here, _window(k)))
+    passing = rows.select("doc_id", "_a", "_b", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(F.concat(*arrays)).alias("_n", "w"))
     # A row without a passing window still stands for its document; its key is its own so that no join key is hot.
     passing = passing.withColumn("_hash", F.coalesce("w.hash", F.xxhash64("doc_id", "_a"))).withColumn("_gram", F.coalesce("w.gram", F.array().cast("array<string>")))
     side = windows.select(F.col("hash").alias("_hash"), F.col("gram").alias("_gram"), "items")
