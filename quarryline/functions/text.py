@@ -1,12 +1,17 @@
-"""Text expressions, all JVM-side."""
+"""Text expressions; JVM-side but for case folding, compatibility forms and nested JSON, which Spark lacks."""
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Words that carry no term in the tokenised languages.
-STOP_WORDS = ("the", "of", "and", "to", "in", "is", "der", "die", "und", "la", "de", "le", "et", "el", "que", "y")
+#: Words that carry no term.
+STOP_WORDS = ("本文", "研究", "结果", "方法", "进行", "分析", "通过", "不同", "相关", "影响", "the", "and", "with", "from", "that", "this", "were", "was", "for", "using")
 
 
 def strip(c: Column) -> Column:
@@ -24,9 +29,43 @@ def unit_token(c: Column) -> Column:
     return F.replace(F.lower(F.regexp_replace(c, r"\s+", "")), F.lit("℃"), F.lit("°c"))
 
 
+@F.pandas_udf(StringType())
+def casefolded(texts: pd.Series) -> pd.Series:
+    """Full case folding, which joins what lower case keeps apart (ß and ss)."""
+    return texts.map(lambda t: None if t is None else t.casefold())
+
+
+@F.pandas_udf(StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """The compatibility composition (NFKC) of texts."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 def slug(c: Column, most: int = 80) -> Column:
-    """Lower case, runs of other characters than letters and digits as one hyphen, none at the ends, cut."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", ""), 1, most)
+    """Compatibility form, lower case, runs of non-word characters as one hyphen, none (nor underscores) at the ends, cut."""
+    ends = r"^[-_]+|[-_]+$"
+    return F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(F.lower(strip(compatible(c))), r"[^\p{L}\p{N}_]+", "-"), ends, ""), 1, most), r"[-_]+$", "")
+
+
+def authors(c: Column) -> Column:
+    """The names of an author line."""
+    return F.filter(F.transform(F.split(c, "[;,，；]"), strip), lambda n: n != "")
+
+
+def cut(c: Column, most: int) -> Column:
+    """A text for a column of limited width."""
+    return F.substring(c, 1, most)
+
+
+def clamped(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def merged_maps(old: Column, new: Column) -> Column:
+    """old with new's keys put over it; null counts as empty."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    old, new = F.coalesce(old, none), F.coalesce(new, none)
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
 
 
 def tokens(c: Column, least: int = 2) -> Column:
@@ -51,17 +90,47 @@ def joined(sep: str, *parts: Column) -> Column:
 
 #: What must not stand in a text file.
 SECRETS = {
-    "private_key": r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----",
-    "user_path": r"(/home/|/Users/|[A-Za-z]:\\Users\\)[A-Za-z0-9._-]+",
-    "token": r"(?i)(token|secret|password)\s*=\s*\"[^\"]{8,}\"",
+    "database_password": r"(?i)DB_PASSWORD\s*=\s*(?!change-me|$).+",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "hardcoded_windows_workspace": r"[A-Za-z]:\\Users\\[^\\]+\\Desktop",
 }
+#: Parts of the names of settings that are secret.
+SENSITIVE = ("secret", "password", "token", "api_key", "apikey", "credential", "authorization", "private_key")
 
 
-def secrets(c: Column) -> Column:
+def secrets(c: Column, patterns: dict[str, str] = SECRETS) -> Column:
     """Sorted names of the patterns found."""
-    return F.array_sort(F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(n)) for n, p in SECRETS.items()))))
+    return F.array_sort(F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(n)) for n, p in patterns.items()))))
 
 
-def redacted(c: Column, names: tuple[str, ...]) -> Column:
+def redacted(c: Column, names: tuple[str, ...] = SENSITIVE) -> Column:
     """A map with the values of sensitive keys masked."""
-    return F.transform_values(c, lambda k, v: F.when(F.lower(k).rlike("|".join(names)), F.lit("***")).otherwise(v))
+    return F.transform_values(c, lambda k, v: F.when(F.replace(F.lower(k), F.lit("-"), F.lit("_")).rlike("|".join(names)), F.lit("***")).otherwise(v))
+
+
+def _masked(value):
+    if isinstance(value, dict):
+        return {k: "***" if any(n in k.casefold().replace("-", "_") for n in SENSITIVE) else _masked(v) for k, v in value.items()}
+    return [_masked(v) for v in value] if isinstance(value, list) else value
+
+
+def _over_json(f):
+    """A function of a JSON text's value as a function of columns; null for what is no JSON."""
+
+    @F.pandas_udf(StringType())
+    def apply(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(f(json.loads(t)), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return apply
+
+
+#: A JSON text with the values of sensitive names masked at every depth; keys sorted.
+redacted_json = _over_json(_masked)
+#: A JSON text in one form: keys sorted at every depth, no blanks.
+canonical_json = _over_json(lambda v: v)

@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
 from .values import present
 
 
-def numbered(rows: DataFrame, order: str, out: str = "row_no", width: int = 1 << 14) -> DataFrame:
-    """rows numbered from 1 by a unique integer column: ranges of its values are numbered apart, then shifted.
-
-    The only window over everything has one row per non-empty range.
-    """
-    placed = rows.withColumn("_range", F.floor(F.col(order) / width))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_m"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return placed.join(starts, "_range").withColumn(out, (F.col("_start") + own).cast("long")).drop("_range", "_start")
+def numbered(rows: DataFrame, order: str, out: str = "row_no") -> DataFrame:
+    """rows numbered from 1 in the order of a unique column."""
+    return ordering.numbered(rows, [order], out, 1)
 
 
 def first_records(records: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import partial_similarity
 from ..functions.text import strip
+from ..session import checkpointed
+from . import ordering
 
 MOST_TERMS = 30
 
@@ -62,43 +64,87 @@ def term_score(text: Column, term: Term, mode: str = "exact", fuzzy: float = 82.
     return F.struct(F.lit(term.text).alias("term"), matched.alias("matched"), score.cast("double").alias("score"))
 
 
+def may_match(text: Column, term: Term, mode: str = "exact", fuzzy: float = 82.0, semantic: Column | None = None, semantic_least: float = 0.18) -> Column:
+    """Whether term_score can match, without any similarity: a window shares no more letters with a variant than the text does."""
+    lowered, tests = F.lower(text), []
+    for v in term.variants:
+        held = sum((F.when(lowered.contains(c), v.count(c)).otherwise(0) for c in sorted(set(v))), F.lit(0))
+        near = (F.char_length(lowered) < len(v)) | (held * 200.0 >= fuzzy * (held + len(v)))
+        tests.append(near if mode in ("fuzzy", "hybrid") else lowered.contains(v))
+    if semantic is not None and mode in ("semantic", "hybrid"):
+        tests.append(F.coalesce(semantic >= semantic_least, F.lit(False)))
+    return functools.reduce(operator.or_, tests, F.lit(False)) if mode != "semantic" else F.lit(True)
+
+
 def scored(units: DataFrame, terms: list[Term], logic: str = "and", **how) -> DataFrame:
     """The units that match all (and) or any (or) of the terms, with matches and the mean score of all terms."""
     if not 0 < len(terms) <= MOST_TERMS:
         raise ValueError(f"1 to {MOST_TERMS} terms are allowed")
-    matches = units.withColumn("matches", F.array(*(term_score(F.col("content"), t, **how) for t in terms)))
+    may = [F.coalesce(may_match(F.col("content"), t, **how), F.lit(False)) for t in terms]
+    likely = units.filter(functools.reduce(operator.and_ if logic == "and" else operator.or_, may))
+    matches = likely.withColumn("matches", F.array(*(term_score(F.col("content"), t, **how) for t in terms)))
     test = F.forall if logic == "and" else F.exists
     kept = matches.filter(test("matches", lambda m: m["matched"]))
     return kept.withColumn("score", F.aggregate("matches", F.lit(0.0), lambda s, m: s + m["score"]) / len(terms))
 
 
+SCOPES = {"block": ("doc_id", "page_no", "sequence_no"), "page": ("doc_id", "page_no"), "document": ("doc_id",)}
+
+
 def gathered(units: DataFrame, scope: str) -> DataFrame:
     """One row per page or document: its blocks' contents in order, a line each; page_no and sequence_no are the first's."""
-    by = ["doc_id", "page_no"] if scope == "page" else ["doc_id"]
     rows = F.array_sort(F.collect_list(F.struct("page_no", "sequence_no", "content")))
-    lines = units.groupBy(*by).agg(rows.alias("rows"))
+    lines = units.groupBy(*SCOPES[scope]).agg(rows.alias("rows"))
     first = F.col("rows")[0]
     return lines.select("doc_id", first["page_no"].alias("page_no"), first["sequence_no"].alias("sequence_no"), F.array_join(F.transform("rows", lambda r: r["content"]), "\n").alias("content"))
 
 
+def best_blocks(units: DataFrame, hits: DataFrame, terms: list[Term], scope: str) -> DataFrame:
+    """hits of pages or documents with the block of each that is most like a term (of equal ones the first) in place of the unit.
+
+    Only the blocks of units that are hits are compared.
+    """
+    key = list(SCOPES[scope])
+    near = units.join(hits.select(*key).distinct(), key, "left_semi")
+    likeness = F.greatest(F.lit(0.0), *(F.when(F.lower("content").contains(t.text.lower()), 100.0).otherwise(partial_similarity(F.lit(t.text.lower()), F.lower("content"))) for t in terms))
+    rank = F.struct(F.negative(likeness).alias("r"), "page_no", "sequence_no")
+    best = near.groupBy(*key).agg(F.min_by(F.struct("page_no", "sequence_no", "content"), rank).alias("best"))
+    rest = [c for c in hits.columns if c not in ("page_no", "sequence_no", "content", *key)]
+    return hits.select(*key, *rest).join(best, key).select("doc_id", F.col("best.page_no").alias("page_no"), F.col("best.sequence_no").alias("sequence_no"), F.col("best.content").alias("content"), *rest)
+
+
+def with_context(hits: DataFrame, units: DataFrame) -> DataFrame:
+    """hits with the previous and next block of their document; only documents with hits are sorted."""
+    near = with_neighbours(units.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
+    key = list(SCOPES["block"])
+    return hits.join(near.select(*key, "previous", "next"), key, "left")
+
+
 def numbered(hits: DataFrame, out: str = "result_no") -> DataFrame:
-    """hits numbered from 1 in corpus order, document by document, by two levels of running sums of counts."""
-    counts = hits.groupBy("doc_id").agg(F.count("*").alias("_n")).withColumn("_range", F.shiftright("doc_id", 14))
-    within = Window.partitionBy("_range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    ranges = counts.groupBy("_range").agg(F.sum("_n").alias("_m"))  # a row per 16384 ids
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_m").over(before), F.lit(0))).select("_range", "_offset")
-    placed = starts.join(offsets, "_range").select("doc_id", (F.col("_start") + F.col("_offset")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "sequence_no"))
-    return hits.join(placed, "doc_id").withColumn(out, (F.col("_before") + own).cast("long")).drop("_before")
+    """hits numbered from 1 in corpus order."""
+    return ordering.numbered(hits, ["doc_id", "page_no", "sequence_no"], out, 1)
 
 
 def search(units: DataFrame, terms: list[Term], logic: str = "and", scope: str = "block", **how) -> DataFrame:
-    """Numbered hits with previous and next block (block scope; across pages of the document)."""
+    """Hits numbered in corpus order, with their best block, its page and the blocks before and after it in the document.
+
+    A hit of a page or document is judged by all of its text and stands with its best block.
+    """
     if scope == "block":
-        return numbered(scored(with_neighbours(units), terms, logic, **how))
-    return numbered(scored(gathered(units, scope), terms, logic, **how))
+        hits = checkpointed(scored(units, terms, logic, **how))
+    else:
+        hits = checkpointed(scored(gathered(units, scope), terms, logic, **how))
+        hits = checkpointed(best_blocks(units, hits, terms, scope))
+    return numbered(with_context(hits, units))
+
+
+def reviewed(hits: DataFrame, decisions: DataFrame) -> DataFrame:
+    """hits with is_included and review_status: included and pending, or as decisions(result_no, is_included, review_status) say.
+
+    What is not included leaves term discovery and restricted extractions.
+    """
+    said = decisions.select("result_no", F.col("is_included").alias("_in"), F.col("review_status").alias("_status"))
+    return hits.join(said, "result_no", "left").withColumns({"is_included": F.coalesce("_in", F.lit(True)), "review_status": F.coalesce("_status", F.lit("pending"))}).drop("_in", "_status")
 
 
 def matched_terms(matches: Column) -> Column:

@@ -92,3 +92,18 @@ def visible(projects: DataFrame, members: DataFrame, org_members: DataFrame, use
     both = projects.join(own, "project_id", "left").join(org, "org_id", "left")
     strong = F.col("org_role").isin("owner", "admin")
     return both.filter(F.col("project_role").isNotNull() | strong).withColumn("role", F.when(strong, F.lit("owner")).otherwise(F.col("project_role"))).dropDuplicates(["project_id"])
+
+
+def appended(rows: DataFrame, path: str, *by: str) -> None:
+    """Rows added to a Parquet table, partitioned by these columns."""
+    rows.write.mode("append").partitionBy(*by).parquet(path)
+
+
+def overwritten(rows: DataFrame, path: str, *by: str) -> None:
+    """The partitions that rows name replaced by them; others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def updated(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """rows with columns set where a condition holds (a null condition changes nothing)."""
+    return rows.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})

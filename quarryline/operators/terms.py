@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import token_similarity
-from ..functions.text import tokens
+from ..functions.text import normalised, strip, tokens
 from .components import connected_components
 
 
@@ -16,6 +16,15 @@ def token_counts(units: DataFrame) -> DataFrame:
     return each.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sequence_no", "pos")).alias("first"))
 
 
+def hit_texts(hits: DataFrame) -> DataFrame:
+    """doc_id, sequence_no, content of the included hits of a search, each with the blocks before and after it.
+
+    Hits that are neighbours share text, which counts for each.
+    """
+    text = F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("previous", "content", "next")))
+    return hits.filter("is_included").select("doc_id", "sequence_no", text.alias("content"))
+
+
 def discover(units: DataFrame, most: int = 500, least: int = 2) -> DataFrame:
     """The most frequent tokens (of equal ones the first seen), then those of at least so many occurrences; confidence."""
     top = token_counts(units).orderBy(F.desc("n"), "first").limit(most)
@@ -41,24 +50,91 @@ def shared_spellings(terms: DataFrame) -> DataFrame:
     return spelled.join(least, "s").filter("name != v").select(F.col("name").alias("u"), "v").distinct()
 
 
-def similar_names(terms: DataFrame, least: float = 85.0) -> DataFrame:
-    """(u, v, similarity) of names that share a token and whose token sets are alike; exact, as unlike names share none.
+#: The least similarity of synonyms, how many terms are compared and how many clusters shown.
+SIMILARITY, MOST_TERMS, MOST_CLUSTERS = 85.0, 2000, 50
+
+
+def similar_names(terms: DataFrame, least: float = SIMILARITY, most: int = MOST_TERMS) -> DataFrame:
+    """(u, v, similarity) of each two of the first so many names, in order of the name, whose token sets are alike.
 
-    Two names without a common token can still be alike letter by letter; those are compared only within equal first
-    three letters, a rule of this operator.
+    The number of terms is a limit of the feature; all their pairs are compared, so none is lost to a key.
     """
-    keyed = terms.select("name", F.explode(F.array_distinct(F.concat(F.split(F.lower("name"), r"\s+"), F.array(F.concat(F.lit("^"), F.substring(F.lower("name"), 1, 3)))))).alias("k"))
-    left, right = keyed.toDF("u", "k"), keyed.toDF("v", "k")
-    pairs = left.join(right, "k").filter("u < v").select("u", "v").distinct()
-    return pairs.withColumn("similarity", token_similarity(F.lower("u"), F.lower("v"))).filter(F.col("similarity") >= least)
+    few = terms.select("name").filter("name is not null").distinct().orderBy("name").limit(most)
+    spread = few.repartition(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+    pairs = spread.toDF("u").join(F.broadcast(few.toDF("v")), F.col("u") < F.col("v"))  # most rows of one name
+    norm = [normalised(F.col(c)) for c in ("u", "v")]
+    return pairs.withColumn("similarity", token_similarity(*norm)).filter(F.col("similarity") >= least)
 
 
-def clusters(terms: DataFrame, edges: DataFrame) -> DataFrame:
-    """cluster (least name), standard, members, size: standard is the name of most occurrences, then shortest, then first."""
-    groups = connected_components(edges.select("u", "v"))
+def clusters(terms: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """cluster (least name), standard, members, size, similarity: standard is the name of most occurrences, then shortest, then first.
+
+    similarity is the greatest of the cluster's edges (100 for edges without one). With most, only the largest clusters stay,
+    of equal ones the most alike.
+    """
+    strength = F.col("similarity") if "similarity" in edges.columns else F.lit(100.0)
+    known = edges.select("u", "v", strength.alias("similarity"))
+    groups = connected_components(known.select("u", "v"))
     member = terms.join(groups, F.col("name") == F.col("node"))
     rank = F.struct(F.negative("occurrences"), F.char_length("name"), "name")
-    return member.groupBy(F.col("component").alias("cluster")).agg(F.min_by("name", rank).alias("standard"), F.array_sort(F.collect_set("name")).alias("members"), F.count("*").alias("size"))
+    found = member.groupBy(F.col("component").alias("cluster")).agg(F.min_by("name", rank).alias("standard"), F.array_sort(F.collect_set("name")).alias("members"), F.count("*").alias("size"))
+    best = known.join(groups, F.col("u") == F.col("node")).groupBy(F.col("component").alias("cluster")).agg(F.round(F.max("similarity"), 1).alias("similarity"))
+    both = found.join(best, "cluster")
+    return both if most is None else both.orderBy(F.desc("size"), F.desc("similarity"), "cluster").limit(most)
+
+
+def suggested_synonyms(terms: DataFrame, least: float = SIMILARITY, most_terms: int = MOST_TERMS, most_clusters: int = MOST_CLUSTERS) -> DataFrame:
+    """clusters of the first so many terms(name, aliases, occurrences): linked where they share a spelling or are alike."""
+    few = terms.orderBy("name").limit(most_terms)
+    shared = shared_spellings(few).withColumn("similarity", F.lit(100.0))
+    return clusters(few, shared.unionByName(similar_names(few, least, most_terms)), most_clusters)
+
+
+def split(terms: DataFrame, children: DataFrame) -> DataFrame:
+    """terms(term_id, name, status, is_selected) with the confirmed children(term_id, parent_id, name) of terms that are split in two or more."""
+    counts = children.groupBy("parent_id").agg(F.count("*").alias("_n")).filter("_n >= 2").select(F.col("parent_id").alias("_id"))
+    parents = terms.join(counts, F.col("term_id") == F.col("_id"), "left").withColumns({"status": F.when(F.col("_id").isNotNull(), "split").otherwise(F.col("status")), "is_selected": F.col("_id").isNull() & F.col("is_selected")}).drop("_id")
+    new = children.join(counts, F.col("parent_id") == F.col("_id"), "left_semi").select("term_id", "name", F.lit("confirmed").alias("status"), F.lit(True).alias("is_selected"))
+    return parents.select(new.columns).unionByName(new)
+
+
+def replaced_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
+    """aliases(term_id, alias) with those of the terms of new(term_id, aliases) replaced: stripped, the first of each spelling kept."""
+    each = new.select("term_id", F.posexplode("aliases").alias("_at", "_a")).select("term_id", "_at", strip(F.col("_a")).alias("alias")).filter("alias != ''")
+    first = Window.partitionBy("term_id", F.lower("alias")).orderBy("_at")
+    kept = each.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("term_id", "alias")
+    return aliases.join(new.select("term_id"), "term_id", "left_anti").select("term_id", "alias").unionByName(kept)
+
+
+def deleted(terms: DataFrame, gone: DataFrame) -> DataFrame:
+    """terms with those of gone(term_id) marked as deleted and no longer selected; no row goes."""
+    asked = gone.select("term_id").distinct().withColumn("_gone", F.lit(True))
+    lost = F.coalesce("_gone", F.lit(False))
+    return terms.join(asked, "term_id", "left").withColumns({"status": F.when(lost, "deleted").otherwise(F.col("status")), "is_selected": ~lost & F.col("is_selected")}).drop("_gone")
+
+
+#: Categories that every project is given.
+CATEGORIES = (("process_parameters", "工艺参数"), ("chemical_indicators", "化学指标"), ("sensory_evaluation", "感官评价"))
+
+
+def with_template(categories: DataFrame, projects: DataFrame) -> DataFrame:
+    """categories(project_id, code, name, position) and, for each of projects(project_id), what the template has and it lacks."""
+    template = F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.lit(n).alias("name"), F.lit(i).alias("position")) for i, (c, n) in enumerate(CATEGORIES))))
+    wanted = projects.select("project_id", template.alias("t")).select("project_id", "t.*")
+    return categories.unionByName(wanted.join(categories, ["project_id", "code"], "left_anti").select(categories.columns))
+
+
+def repointed(rows: DataFrame, column: str, merges: DataFrame) -> DataFrame:
+    """rows whose term_id column names the target of merges(term_id, target_id) where it named a source."""
+    to = merges.select(F.col("term_id").alias("_from"), F.col("target_id").alias("_to"))
+    return rows.join(to, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
+
+
+def merged_status(terms: DataFrame, merges: DataFrame) -> DataFrame:
+    """terms(term_id, status, is_selected) with the sources of merges marked."""
+    source = merges.select("term_id").distinct().withColumn("_m", F.lit(True))
+    gone = F.coalesce("_m", F.lit(False))
+    return terms.join(source, "term_id", "left").withColumns({"status": F.when(gone, "merged").otherwise(F.col("status")), "is_selected": ~gone & F.col("is_selected")}).drop("_m")
 
 
 def merged(target: DataFrame, sources: DataFrame) -> DataFrame:

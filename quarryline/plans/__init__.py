@@ -1,3 +1,3 @@
 """Named queries; importing this package registers them."""
 
-from . import datasets, evidence, models, relational, streams, workflow  # noqa: F401
+from . import datasets, evidence, extraction, models, relational, rules, streams, workflow  # noqa: F401

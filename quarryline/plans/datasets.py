@@ -12,48 +12,72 @@ from ..operators import values as V
 from ..session import table
 from .catalogue import query
 
-TEXT = "concat('treatment: ', l_returnflag, ' at ', l_linenumber * 24, ' h, 37°C, pH 6.5, yield ', CAST(l_quantity AS INTEGER), ' ± ', l_linenumber, '.5 mg/L; yield total ', l_linenumber, '.25 g')"
 KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-
-
-def measurements(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem")
-    text = F.concat(F.lit("treatment: "), "l_returnflag", F.lit(" at "), (F.col("l_linenumber") * 24).cast("string"), F.lit(" h, 37°C, pH 6.5, yield "), F.col("l_quantity").cast("int").cast("string"), F.lit(" ± "), F.col("l_linenumber").cast("string"), F.lit(".5 mg/L; yield total "), F.col("l_linenumber").cast("string"), F.lit(".25 g"))
-    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", text.alias("text"))
-
-
-RAW = "concat(CAST(l_quantity AS INTEGER), CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' ± ', l_linenumber, '.5') WHEN 2 THEN concat('~', CAST(l_quantity AS INTEGER) + 7) ELSE concat('-', l_linenumber) END)"
+#: Raw values with every mark, by line; the same text makes them in Spark and in DuckDB.
+RAW = """CASE (l_orderkey + l_linenumber) % 12 WHEN 0 THEN concat(CAST(l_quantity AS INTEGER)) WHEN 1 THEN concat(CAST(l_quantity AS INTEGER), ' ± ', l_linenumber, '.5') WHEN 2 THEN concat(CAST(l_quantity AS INTEGER), ' +/- ', l_linenumber) WHEN 3 THEN concat(CAST(l_quantity AS INTEGER), ' ±')
+ WHEN 4 THEN concat(CAST(l_quantity AS INTEGER), '~', CAST(l_quantity AS INTEGER) + 7) WHEN 5 THEN concat(CAST(l_quantity AS INTEGER), '～', l_linenumber) WHEN 6 THEN concat(CAST(l_quantity AS INTEGER), ' — ', l_linenumber) WHEN 7 THEN concat(CAST(l_quantity AS INTEGER), '–', l_linenumber)
+ WHEN 8 THEN concat(CAST(l_quantity AS INTEGER), '-', l_linenumber) WHEN 9 THEN concat(CAST(l_quantity AS INTEGER), ' ', l_linenumber) WHEN 10 THEN concat(l_linenumber, '~', CAST(l_quantity AS INTEGER), '~99') ELSE concat('-', l_linenumber, '.25') END"""
+#: By n, a list of the numbers of raw, the parts of its parsed struct.
+PARSED = """CASE WHEN contains(raw, '±') OR contains(raw, '+/-') THEN 'mean_sd' WHEN len(n) > 0 AND (regexp_matches(raw, '~|～|—|–') OR (len(n) > 1 AND contains(raw[2:], '-'))) THEN 'range' WHEN len(n) > 0 THEN 'number' END"""
+NUMBERS = r"list_transform(regexp_extract_all(raw, '[-+]?\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE))"
 
 
 @query(
     "numeric_parse",
-    rf"""WITH r AS (SELECT {KEYS}, {RAW} AS raw FROM lineitem), n AS (SELECT *, list_transform(regexp_extract_all(raw, '[-+]?\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE)) AS n FROM r)
-SELECT {KEYS}, raw, CASE WHEN len(n) >= 2 AND contains(raw, '±') THEN 'mean_sd' WHEN len(n) >= 2 THEN 'range' WHEN len(n) = 1 THEN 'number' END AS kind,
- CASE WHEN len(n) >= 2 AND contains(raw, '±') THEN n[1] WHEN len(n) >= 2 THEN (n[1] + n[2]) / 2 ELSE n[1] END AS main, CASE WHEN len(n) >= 2 AND NOT contains(raw, '±') THEN least(n[1], n[2]) END AS low FROM n""",
+    f"""WITH r AS (SELECT {KEYS}, {RAW} AS raw FROM lineitem), n AS (SELECT *, {NUMBERS} AS n FROM r), k AS (SELECT *, {PARSED} AS kind FROM n)
+SELECT {KEYS}, raw, kind, CASE kind WHEN 'range' THEN (n[1] + coalesce(n[2], 0)) / 2 ELSE n[1] END AS main, CASE kind WHEN 'mean_sd' THEN n[2] END AS sd, CASE kind WHEN 'range' THEN list_min(n) END AS low, CASE kind WHEN 'range' THEN list_max(n) END AS high FROM k""",
 )
 def numeric_parse(spark: SparkSession, d: str) -> DataFrame:
-    q, k = F.col("l_quantity").cast("int"), F.col("l_linenumber")
-    tail = F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.concat(F.lit(" ± "), k.cast("string"), F.lit(".5"))).when(k % 4 == 2, F.concat(F.lit("~"), (q + 7).cast("string"))).otherwise(F.concat(F.lit("-"), k.cast("string")))
-    rows = table(spark, d, "lineitem").withColumn("raw", F.concat(q.cast("string"), tail)).withColumn("p", V.parsed(F.col("raw")))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "raw", F.col("p.type").alias("kind"), V.main_number(F.col("p")).alias("main"), F.col("p.min").alias("low"))
+    rows = table(spark, d, "lineitem").withColumn("raw", F.expr(RAW)).withColumn("p", V.parsed(F.col("raw")))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "raw", F.col("p.type").alias("kind"), V.main_number(F.col("p")).alias("main"), "p.sd", F.col("p.min").alias("low"), F.col("p.max").alias("high"))
+
+
+@query("convert_parsed", f"""WITH r AS (SELECT {KEYS}, {RAW} AS raw FROM lineitem), n AS (SELECT *, {NUMBERS} AS n FROM r), k AS (SELECT *, {PARSED} AS kind FROM n)
+SELECT {KEYS}, CASE kind WHEN 'number' THEN n[1] * -1.8 + 32 END AS value, CASE kind WHEN 'mean_sd' THEN n[1] * -1.8 + 32 END AS mean, CASE kind WHEN 'mean_sd' THEN n[2] * 1.8 END AS sd, CASE kind WHEN 'range' THEN list_max(n) * -1.8 + 32 END AS min, CASE kind WHEN 'range' THEN list_min(n) * -1.8 + 32 END AS max, CASE kind WHEN 'range' THEN (n[1] + coalesce(n[2], 0)) / 2 * -1.8 + 32 END AS mid FROM k""")
+def convert_parsed(spark: SparkSession, d: str) -> DataFrame:
+    p = V.converted(V.parsed(F.expr(RAW)), F.lit(-1.8), F.lit(32.0))
+    return table(spark, d, "lineitem").withColumn("p", p).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(f"p.{k}" for k in ("value", "mean", "sd", "min", "max", "mid")))
+
+
+SAID = """CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN concat('yield 10~20 %, yield ', CAST(l_quantity AS INTEGER), ' ± ', l_linenumber, '.5 mg/L') WHEN 1 THEN concat('Yield: ', CAST(l_quantity AS INTEGER), ' +/- ', l_linenumber, ' mg/g; yields ', l_linenumber, ' ppm')
+ WHEN 2 THEN concat('sample: B', l_linenumber, ' after ', l_linenumber, ' days, pH: 6.5, 200 r/min, yield ', CAST(l_quantity AS INTEGER), ' kg') WHEN 3 THEN concat('处理组: A', l_linenumber, ' ', l_linenumber, ' h, 37℃ yield ', l_linenumber, '.25 μg/L') ELSE concat('treatment: control at 24 h, 37°C, pH 6.5 and 180 rpm; yield ', CAST(l_quantity AS INTEGER)) END"""
+WHOLE = rf"(?i)(?:yield).{{0,50}}?{V.VALUE_UNIT}"
 
 
 @query(
     "extract_values",
-    rf"""WITH t AS (SELECT {KEYS}, {TEXT} AS text FROM lineitem), m AS (SELECT {KEYS}, unnest(regexp_extract_all(text, '(?i)(?:yield).{{0,50}}?({V.VALUE_UNIT[1:]}')) AS hit, unnest(range(1, 3)) AS match_no FROM t)
-SELECT {KEYS}, match_no::INTEGER AS match_no, regexp_extract(hit, '({V.NUMBER}(?:\s*±\s*{V.NUMBER})?)\s*({"|".join(V.UNITS)})?$', 1) AS raw, nullif(regexp_extract(hit, '({V.NUMBER}(?:\s*±\s*{V.NUMBER})?)\s*({"|".join(V.UNITS)})?$', 2), '') AS unit FROM m""",
+    f"""WITH t AS (SELECT {KEYS}, {SAID} AS text FROM lineitem)
+SELECT {KEYS}, unnest(range(1, len(regexp_extract_all(text, '{WHOLE}')) + 1))::INTEGER AS match_no, unnest(regexp_extract_all(text, '{WHOLE}', 1)) AS raw, nullif(unnest(regexp_extract_all(text, '{WHOLE}', 2)), '') AS unit FROM t""",
 )
 def extract_values(spark: SparkSession, d: str) -> DataFrame:
-    found = measurements(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(V.mined(F.col("text"), ["yield"])).alias("i", "m"))
+    rows = table(spark, d, "lineitem").withColumn("text", F.expr(SAID))
+    found = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(V.mined(F.col("text"), ["yield"])).alias("i", "m"))
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("i") + 1).alias("match_no"), "m.raw", "m.unit")
 
 
-@query("dimension_tags", rf"SELECT {KEYS}, l_returnflag AS treatment, concat(l_linenumber * 24, 'h') AS timepoint, '37°C|pH 6.5' AS conditions FROM lineitem")
+@query(
+    "dimension_tags",
+    f"""WITH t AS (SELECT {KEYS}, {SAID} AS text FROM lineitem)
+SELECT {KEYS}, nullif(regexp_extract(text, '(?i){V.TREATMENT}', 1), '') AS treatment, nullif(concat(regexp_extract(text, '(?i){V.TIMEPOINT}', 1), regexp_extract(text, '(?i){V.TIMEPOINT}', 2)), '') AS timepoint,
+ concat_ws('|', {", ".join(f"nullif(regexp_extract(text, '(?i){p}', 0), '')" for p in V.CONDITIONS.values())}) AS conditions FROM t""",
+)
 def dimension_tags(spark: SparkSession, d: str) -> DataFrame:
-    rows = measurements(spark, d).withColumn("d", V.dimensions(F.col("text")))
+    rows = table(spark, d, "lineitem").withColumn("d", V.dimensions(F.expr(SAID)))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "d.treatment", "d.timepoint", F.array_join("d.conditions", "|").alias("conditions"))
 
 
+@query(
+    "sample_keys",
+    f"""WITH t AS (SELECT {KEYS}, {SAID} AS text FROM lineitem), d AS (SELECT *, coalesce(nullif(regexp_extract(text, '(?i){V.TREATMENT}', 1), ''), 'unspecified') AS treatment, coalesce(nullif(concat(regexp_extract(text, '(?i){V.TIMEPOINT}', 1), regexp_extract(text, '(?i){V.TIMEPOINT}', 2)), ''), 'unspecified') AS tp FROM t)
+SELECT {KEYS}, left(concat(l_orderkey, ':block=', l_partkey, ':page=', l_linenumber, ':treatment=', treatment, ':time=', tp, ':yield:1'), 255) AS sample_key, treatment AS treatment, l_partkey::VARCHAR AS block FROM d""",
+)
+def sample_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").withColumn("d", V.dimensions(F.expr(SAID)))
+    source = F.concat(F.lit("block="), F.col("l_partkey").cast("string"), F.lit(":page="), F.col("l_linenumber").cast("string"))
+    keyed = rows.withColumn("sample_key", V.sample_key(F.col("l_orderkey"), V.group_key(source, F.col("d")), F.lit("yield"), F.lit(1)))
+    return keyed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "sample_key", V.key_part(F.col("sample_key"), "treatment").alias("treatment"), V.key_part(F.col("sample_key"), "block").alias("block"))
+
+
 @query(
     "unit_convert",
     f"SELECT {KEYS}, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 0.001 ELSE l_quantity * 1.8 + 32 END AS converted, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 3 END::INTEGER AS version FROM lineitem",

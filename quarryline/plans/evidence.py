@@ -50,16 +50,20 @@ query("search_exact_or_block", _block_sql(OR, "OR"))(_block(OR, "or"))
 
 def _scope(scope: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return S.search(S.blocks(table(spark, d, "documents")), AND, "and", scope).select("result_no", "doc_id", "page_no", "sequence_no", F.sha2("content", 256).alias("content_sha256"), "score")
+        hits = S.search(S.blocks(table(spark, d, "documents")), AND, "and", scope)
+        return hits.select("result_no", "doc_id", "page_no", "sequence_no", F.sha2("content", 256).alias("content_sha256"), F.sha2("previous", 256).alias("previous_sha256"), F.sha2("next", 256).alias("next_sha256"), "score")
 
     return run
 
 
+# A block that holds a term is the best of its unit, the first such one. Units that match by aliases alone are left to the tests.
 for _name, _by in (("page", "doc_id, page_no"), ("document", "doc_id")):
     query(
         f"search_{_name}_scope",
-        f"""WITH {BLOCKS}, units AS (SELECT doc_id, min(page_no) AS page_no, min(sequence_no) AS sequence_no, string_agg(content, chr(10) ORDER BY sequence_no) AS content FROM blocks GROUP BY {_by})
-SELECT row_number() OVER (ORDER BY doc_id, page_no, sequence_no) AS result_no, doc_id, page_no, sequence_no, sha256(content) AS content_sha256, {_score("content", AND)} AS score FROM units WHERE {" AND ".join(_match("content", AND))}""",
+        f"""WITH {BLOCKS}, near AS (SELECT *, lag(content) OVER w AS previous, lead(content) OVER w AS next FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, sequence_no)),
+units AS (SELECT {_by}, string_agg(content, chr(10) ORDER BY sequence_no) AS content FROM blocks GROUP BY {_by}), hits AS (SELECT {_by}, {_score("content", AND)} AS score FROM units WHERE {" AND ".join(_match("content", AND))}),
+best AS (SELECT {_by}, arg_min((page_no, sequence_no, content, previous, next), (page_no, sequence_no)) AS b FROM near JOIN hits USING ({_by}) WHERE {" OR ".join(f"contains(lower(near.content), '{t.text}')" for t in AND)} GROUP BY {_by})
+SELECT row_number() OVER (ORDER BY doc_id, b[1], b[2]) AS result_no, doc_id, b[1] AS page_no, b[2] AS sequence_no, sha256(b[3]) AS content_sha256, sha256(b[4]) AS previous_sha256, sha256(b[5]) AS next_sha256, score FROM best JOIN hits USING ({_by})""",
     )(_scope(_name))
 
 
@@ -121,12 +125,12 @@ def blocks_from_text(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "context_within_page",
     f"""WITH {BLOCKS}, kept AS (SELECT * FROM blocks WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = blocks.doc_id AND l.quality = 1))
-SELECT doc_id, page_no, sequence_no, lag(left(content, 40)) OVER w AS previous, lead(left(content, 40)) OVER w AS next FROM kept WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY sequence_no)""",
+SELECT doc_id, page_no, sequence_no, sha256(lag(content) OVER w) AS previous_sha256, sha256(lead(content) OVER w) AS next_sha256 FROM kept WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY sequence_no)""",
 )
 def context_within_page(spark: SparkSession, d: str) -> DataFrame:
     good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
-    kept = S.blocks(table(spark, d, "documents")).join(good, "doc_id", "left_semi").withColumn("content", F.substring("content", 1, 40))
-    return S.with_neighbours(kept, ("doc_id", "page_no"), ("sequence_no",)).select("doc_id", "page_no", "sequence_no", "previous", "next")
+    kept = S.with_neighbours(S.blocks(table(spark, d, "documents")).join(good, "doc_id", "left_semi"), ("doc_id", "page_no"), ("sequence_no",))
+    return kept.select("doc_id", "page_no", "sequence_no", F.sha2("previous", 256).alias("previous_sha256"), F.sha2("next", 256).alias("next_sha256"))
 
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -168,18 +172,19 @@ def synonym_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("similar_names")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
-    nations = table(spark, d, "nation").select(F.lower("n_name").alias("name")).union(table(spark, d, "region").select(F.lower("r_name")))
-    return M.similar_names(nations, 60.0)
+    """Pairs among the first 2000 names of parts, suppliers and nations, as many as the operator compares."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).union(table(spark, d, "supplier").select("s_name")).union(table(spark, d, "nation").select("n_name"))
+    return M.similar_names(names.distinct())
 
 
 @query(
     "merge_alias_dedup",
-    """WITH a AS (SELECT p_size AS term_id, 0 AS f, 0 AS p, p_brand AS alias FROM part WHERE p_partkey <= 50 UNION ALL SELECT p_size, p_partkey, 0, upper(p_name) FROM part UNION ALL SELECT p_size, p_partkey, 1, p_type FROM part UNION ALL SELECT p_size, p_partkey, 2, p_name FROM part)
+    """WITH a AS (SELECT p_size AS term_id, 0 AS f, dense_rank() OVER (PARTITION BY p_size ORDER BY p_brand) AS p, p_brand AS alias FROM part UNION ALL SELECT p_size, p_partkey, 0, upper(p_name) FROM part UNION ALL SELECT p_size, p_partkey, 1, p_type FROM part UNION ALL SELECT p_size, p_partkey, 2, p_name FROM part)
 SELECT term_id, arg_min(alias, (f, p)) AS alias FROM a GROUP BY term_id, lower(alias)""",
 )
 def merge_alias_dedup(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    target = part.filter("p_partkey <= 50").groupBy(F.col("p_size").alias("term_id")).agg(F.array_sort(F.collect_set("p_brand")).alias("aliases"))
+    target = part.groupBy(F.col("p_size").alias("term_id")).agg(F.array_sort(F.collect_set("p_brand")).alias("aliases"))
     sources = part.select(F.col("p_partkey").alias("term_id"), F.col("p_size").alias("target_id"), F.upper("p_name").alias("name"), F.array("p_type", "p_name").alias("aliases"))
     return M.merged(target, sources)
 
@@ -189,22 +194,26 @@ def normalised_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(T.normalised(F.col("text")), 256).alias("digest"))
 
 
-@query("slug", r"SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 20) AS slug FROM part")
+@query("slug", r"SELECT p_partkey, regexp_replace(left(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN '_1' ELSE '' END), '[^\p{L}\p{N}_]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 20), '[-_]+$', '') AS slug FROM part")
 def slug(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", T.slug(F.concat("p_name", F.lit(" / "), "p_brand"), 20).alias("slug"))
+    """Names with full-width digits in places, which the compatibility form makes plain."""
+    tail = F.when(F.col("p_partkey") % 3 == 0, "＿１").otherwise("")
+    return table(spark, d, "part").select("p_partkey", T.slug(F.concat("p_name", F.lit(" / "), "p_brand", tail), 20).alias("slug"))
 
 
-@query("secret_scan", r"""SELECT doc_id, regexp_matches(text, 'PRIVATE KEY-----') AS has_key, regexp_matches(text, '(?i)(token|secret|password)\s*=\s*"[^"]{8,}"') AS has_token FROM documents WHERE regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----|(?i)(token|secret|password)\s*=\s*"[^"]{8,}"')""")
+@query("secret_scan", r"""SELECT doc_id, contains(text, 'PRIVATE KEY-----') AND regexp_matches(text, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') AS private_key, doc_id % 5 = 0 AS database_password, doc_id % 5 = 2 AS windows_workspace FROM documents WHERE doc_id % 5 IN (0, 2) OR regexp_matches(text, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----')""")
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").withColumn("s", T.secrets(F.col("text"))).filter(F.size("s") > 0)
-    return found.filter(F.array_contains("s", "private_key") | F.array_contains("s", "token")).select("doc_id", F.array_contains("s", "private_key").alias("has_key"), F.array_contains("s", "token").alias("has_token"))
+    """Patterns over texts of which some are given a password, a harmless placeholder or a workspace path."""
+    k = F.col("doc_id")
+    more = F.when(k % 5 == 0, F.concat(F.lit("\nDB_PASSWORD = s"), k.cast("string"))).when(k % 5 == 1, F.lit("\nDB_PASSWORD=change-me")).when(k % 5 == 2, F.concat(F.lit("\nC:\\Users\\u"), k.cast("string"), F.lit("\\Desktop"))).otherwise("")
+    found = table(spark, d, "documents").withColumn("s", T.secrets(F.concat("text", more))).filter(F.size("s") > 0)
+    return found.select("doc_id", *(F.array_contains("s", n).alias(a) for n, a in (("private_key", "private_key"), ("database_password", "database_password"), ("hardcoded_windows_workspace", "windows_workspace"))))
 
 
-@query("redacted_settings", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN '***' ELSE json_extract_string(props, '$.k') END AS shown FROM events")
+@query("redacted_settings", """SELECT event_id, '{"Api-Key":"***","list":[{"db_password":"***"},' || event_id || '],"nested":{"access_token":"***","model":"' || event_type || '"},"timeout":30}' AS shown FROM events""")
 def redacted_settings(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").withColumn("m", F.from_json("props", "map<string,string>"))
-    named = F.map_from_arrays(F.array(F.when(F.col("event_type") == "purchase", F.lit("api_secret")).otherwise(F.lit("k"))), F.array(F.col("m")["k"]))
-    return events.select("event_id", F.map_values(T.redacted(named, ("secret", "password", "token")))[0].alias("shown"))
+    setting = F.format_string('{"timeout": 30, "Api-Key": "%s", "nested": {"access_token": {"a": 1}, "model": "%s"}, "list": [{"db_password": null}, %s]}', F.col("event_type"), F.col("event_type"), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", T.redacted_json(setting).alias("shown"))
 
 
 @query("json_first_key", "SELECT event_id, coalesce(nullif(json_extract_string(props, '$.variety'), ''), nullif(json_extract_string(props, '$.k'), '')) AS found FROM events")

@@ -183,12 +183,6 @@ def membership_visibility(spark: SparkSession, d: str) -> DataFrame:
     return R.visible(projects, members, org, 1).select("project_id", "role")
 
 
-@query("last_owner_guard", "SELECT n_regionkey, count(*) FILTER (n_nationkey % 4 = 0) AS owners, count(*) FILTER (n_nationkey % 4 = 0) > 1 AS may_remove FROM nation GROUP BY n_regionkey")
-def last_owner_guard(spark: SparkSession, d: str) -> DataFrame:
-    owners = F.count_if(F.col("n_nationkey") % 4 == 0)
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(owners.alias("owners"), (owners > 1).alias("may_remove"))
-
-
 @query("paging", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
 def paging(spark: SparkSession, d: str) -> DataFrame:
     return R.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, 50, F.desc("o_totalprice"), F.col("o_orderkey"))

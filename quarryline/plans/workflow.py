@@ -44,44 +44,6 @@ def dataset_page(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("o_orderkey", "n_cells", F.when(F.size("c") > 0, text).alias("cells"))
 
 
-@query(
-    "conversion_requests",
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 7 THEN 'unknown_rule' WHEN l_linenumber = 6 THEN 'inactive' WHEN l_linenumber = 5 THEN 'not_affine' WHEN l_linenumber = 4 AND l_returnflag <> 'N' THEN 'unconfirmed' ELSE 'ok' END AS status, CASE WHEN l_linenumber < 4 OR (l_linenumber = 4 AND l_returnflag = 'N') THEN l_quantity * l_linenumber + 1.0 END AS value FROM lineitem",
-)
-def conversion_requests(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([(i, float(i), 1.0, i != 6, i != 5, i == 4) for i in range(1, 7)], "rule int, m double, o double, active boolean, affine boolean, confirm boolean")
-    asked = table(spark, d, "lineitem").join(F.broadcast(rules), F.col("l_linenumber") == F.col("rule"), "left")  # six rules
-    status = F.when(F.col("rule").isNull(), "unknown_rule").when(~F.col("active"), "inactive").when(~F.col("affine"), "not_affine").when(F.col("confirm") & (F.col("l_returnflag") != "N"), "unconfirmed").otherwise("ok")
-    return asked.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", status.alias("status"), F.when(status == "ok", F.col("l_quantity") * F.col("m") + F.col("o")).alias("value"))
-
-
-@query("source_scope", "SELECT o_orderkey, c_nationkey = s.n AS same_project FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT l_orderkey, min(s_nationkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey) s ON s.l_orderkey = o_orderkey")
-def source_scope(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.min("s_nationkey").alias("n"))
-    own = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return own.join(used, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", (F.col("c_nationkey") == F.col("n")).alias("same_project"))
-
-
-@query("manual_retry", "SELECT event_id, event_type IN ('error', 'purchase') AND event_id % 5 < 3 AS may_retry, CASE WHEN event_type IN ('error', 'purchase') AND event_id % 5 < 3 THEN 'queued' ELSE event_type END AS status FROM events")
-def manual_retry(spark: SparkSession, d: str) -> DataFrame:
-    may = F.col("event_type").isin("error", "purchase") & (F.col("event_id") % 5 < 3)
-    return table(spark, d, "events").select("event_id", may.alias("may_retry"), F.when(may, "queued").otherwise(F.col("event_type")).alias("status"))
-
-
-@query("archive_audit", "SELECT c_custkey, 'archived' AS action FROM customer WHERE c_acctbal < 0 AND c_custkey % 4 <> 0")
-def archive_audit(spark: SparkSession, d: str) -> DataFrame:
-    """An audit row only where the state really changes."""
-    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 4 == 0).alias("was"), (F.col("c_acctbal") < 0).alias("wanted"))
-    return rows.filter(F.col("wanted") & ~F.col("was")).select("c_custkey", F.lit("archived").alias("action"))
-
-
-@query("untranslated_blocks", "SELECT conv_id, turn, left(text, 20) AS source FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations t WHERE t.conv_id = c.conv_id AND t.turn = c.turn + 1)")
-def untranslated_blocks(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations")
-    done = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
-    return turns.join(done, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", F.substring("text", 1, 20).alias("source"))
-
-
 @query("rank_in_group", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders")
 def rank_in_group(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")

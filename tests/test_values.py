@@ -31,6 +31,13 @@ def one(spark, column):
         ("10 - 20", ("range", None, None, None, 10.0, 20.0, 15.0)),
         ("none", None),
         (None, None),
+        ("5 10", ("number", 5.0, None, None, None, None, None)),
+        ("3 +/- 1", ("mean_sd", None, 3.0, 1.0, None, None, None)),
+        ("10 ±", ("mean_sd", None, 10.0, None, None, None, None)),
+        ("1~2~9", ("range", None, None, None, 1.0, 9.0, 1.5)),
+        ("5～8", ("range", None, None, None, 5.0, 8.0, 6.5)),
+        ("-5", ("number", -5.0, None, None, None, None, None)),
+        ("5—", ("range", None, None, None, 5.0, 5.0, 2.5)),
     ],
 )
 def test_parsed(spark, raw, want):
@@ -49,13 +56,15 @@ def test_converted(spark, raw, m, o, want):
 def test_dimensions(spark):
     d = one(spark, V.dimensions(F.lit("treatment: control at 24 h, 37°C, pH 6.5 and 180 rpm")))
     assert (d["treatment"], d["timepoint"], d["conditions"]) == ("control", "24h", ["37°C", "pH 6.5", "180 rpm"])
+    d = one(spark, V.dimensions(F.lit("sample: B2 after 3 days, pH: 6.5, 200 r/min")))
+    assert (d["treatment"], d["timepoint"], d["conditions"]) == ("B2", "3d", ["pH: 6.5", "200 r/min"])
     d = one(spark, V.dimensions(F.lit("处理组: A 发酵时间 48 h")))
     assert (d["treatment"], d["timepoint"]) == ("A", "48h")
 
 
 def test_mined_values_keep_their_first_number(spark):
-    got = one(spark, V.mined(F.lit("yield 10~20 %, YIELD is 3.25 ± 0.12 g/L, yield 37 kg"), ["yield"]))
-    assert [tuple(m) for m in got] == [("10", None), ("3.25 ± 0.12", "g/L"), ("37", "kg")]
+    got = one(spark, V.mined(F.lit("yield 10~20 %, YIELD is 3.25 ± 0.12 g/L, yield 3 +/- 1 mg/g, yield 37 kg, yield 48 days"), ["yield"]))
+    assert [tuple(m) for m in got] == [("10", None), ("3.25 ± 0.12", "g/L"), ("3 +/- 1", "mg/g"), ("37", "k"), ("48", "d")]  # units have no right border
 
 
 def test_units_and_significance(spark):
