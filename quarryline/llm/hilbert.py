@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, partitions
+from ..operators.ordering import numbered
+from .common import free_name
 
 DIMENSIONS = ("source", "lang", "n_chars", "doc_id")
 BITS = 5
@@ -88,23 +89,6 @@ def _ranks(values: DataFrame) -> DataFrame:
     return numbered(values, ["v"], "rank")
 
 
-def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """df with each row's number, from 0, in the given order."""
-    spread = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    placed = checkpointed(spread.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33).cast("int")
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    starts, total = {}, 0
-    for p in sorted(sizes):
-        starts[p] = total
-        total += sizes[p]
-    if not starts:
-        return placed.select(*df.columns, F.lit(0).cast("long").alias(out))
-    table = df.sparkSession.createDataFrame(list(starts.items()), "_p int, _start long")  # a row per partition
-    number = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("_p", part).join(F.broadcast(table), "_p").select(*df.columns, number.alias(out))
-
-
 def _cells(bounds: dict[str, list], dimensions: tuple[str, ...], bits: int):
     most = (1 << bits) - 1
 
