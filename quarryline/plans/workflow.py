@@ -55,20 +55,6 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return line.select("l_orderkey", "l_quantity", "l_discount", "l_tax", (3 * F.col("l_quantity") - 40 * F.col("l_discount") + F.col("l_linenumber")).alias("label"))
 
 
-@query("permutation_importance")
-def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    """feature and rise of the error when its values are shuffled among test rows, by a digest order: one pass a feature."""
-    inputs = ["l_quantity", "l_discount", "l_tax"]
-    split = ML.group_split(_measured(spark, d), "l_orderkey", 0.25, 1)
-    model, test = ML.trained(split.filter("not is_test"), inputs, "label", "ridge"), split.filter("is_test")
-    plain, out = ML.regression_metrics(model.transform(test), "label", "prediction").select(F.col("rmse").alias("plain")), None
-    for c in inputs:
-        shuffled = test.withColumn(c, F.coalesce(F.lead(c).over(Window.partitionBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(64))).orderBy(F.xxhash64("l_orderkey", "l_quantity", "l_discount", "l_tax"))), F.col(c)))
-        one = ML.regression_metrics(model.transform(shuffled), "label", "prediction").crossJoin(plain).select(F.lit(c).alias("feature"), F.round(F.col("rmse") - F.col("plain"), 6).alias("importance"))  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("cross_validated_grid")
 def cross_validated_grid(spark: SparkSession, d: str) -> DataFrame:
     """regularisation and mean error over folds of whole groups."""
