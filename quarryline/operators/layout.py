@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -52,6 +52,27 @@ def scaled(boxes: DataFrame, image: tuple[float, float], page: tuple[float, floa
     return boxes.withColumns({c: F.bround(F.col(c) * (fx if c[0] == "x" else fy), 3) for c in ("x0", "y0", "x1", "y1")})
 
 
+#: A label that is a value, with or without its deviation and unit; bounds of the classes as shares of the figure.
+VALUE_LABEL = r"(?i)^[-+]?\d+(?:\.\d+)?(?:\s*(?:±|\+/-)\s*\d+(?:\.\d+)?)?\s*(?:%|℃|°C|K|d|h|min|s|mg/L|g/L|ppm|pH)?$"
+DIRECT_LEFT, DIRECT_BOTTOM, X_TOP, Y_RIGHT, LEGEND_LEFT = 0.12, 0.82, 0.72, 0.22, 0.6
+
+
+def label_classes(text: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The sorted classes of a figure's label by its upper left corner: direct (a value off the axes), x_axis, y_axis, legend.
+
+    A label may have several or none; a legend is right of the middle and no axis label.
+    """
+    value = strip(text).rlike(VALUE_LABEL)
+    x_axis, y_axis = (y >= height * X_TOP) & ~value, (x <= width * Y_RIGHT) & ~value
+    classes = {"direct": value & (x > width * DIRECT_LEFT) & (y < height * DIRECT_BOTTOM), "legend": (x >= width * LEGEND_LEFT) & ~x_axis & ~y_axis, "x_axis": x_axis, "y_axis": y_axis}
+    return F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in classes.items())))
+
+
+def rounded(c: Column, places: int = 3) -> Column:
+    """A coordinate; halves go to the even neighbour."""
+    return F.bround(c, places)
+
+
 def numbered_blanks(rows: DataFrame, by: str, order: str) -> DataFrame:
     """A sequence number that counts blank rows too; blanks are dropped afterwards."""
     w = Window.partitionBy(by).orderBy(order)

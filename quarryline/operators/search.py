@@ -80,9 +80,11 @@ def scored(units: DataFrame, terms: list[Term], logic: str = "and", **how) -> Da
     """The units that match all (and) or any (or) of the terms, with matches and the mean score of all terms."""
     if not 0 < len(terms) <= MOST_TERMS:
         raise ValueError(f"1 to {MOST_TERMS} terms are allowed")
-    may = [F.coalesce(may_match(F.col("content"), t, **how), F.lit(False)) for t in terms]
+    each = how.pop("semantic", None)  # a column for one term, or the name of an array with a score for each
+    semantic = [F.col(each)[i] if isinstance(each, str) else each for i in range(len(terms))]
+    may = [F.coalesce(may_match(F.col("content"), t, semantic=m, **how), F.lit(False)) for t, m in zip(terms, semantic, strict=True)]
     likely = units.filter(functools.reduce(operator.and_ if logic == "and" else operator.or_, may))
-    matches = likely.withColumn("matches", F.array(*(term_score(F.col("content"), t, **how) for t in terms)))
+    matches = likely.withColumn("matches", F.array(*(term_score(F.col("content"), t, semantic=m, **how) for t, m in zip(terms, semantic, strict=True))))
     test = F.forall if logic == "and" else F.exists
     kept = matches.filter(test("matches", lambda m: m["matched"]))
     return kept.withColumn("score", F.aggregate("matches", F.lit(0.0), lambda s, m: s + m["score"]) / len(terms))

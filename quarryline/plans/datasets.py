@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import datasets as D
 from ..operators import evaluation as E
+from ..operators import layout as Y
 from ..operators import modelling as ML
 from ..operators import values as V
 from ..session import table
@@ -197,12 +198,55 @@ def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
     return ML.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).withColumn("r", F.round("r", 6))
 
 
-@query("bbox_scale", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 0.5, 3) AS x0, round(least(500.0, greatest(0.0, l_extendedprice * 0.01)), 4) AS y0 FROM lineitem")
+@query("bbox_scale", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(l_quantity * 0.5, 3) AS x0, round_even(l_extendedprice * (1000::DOUBLE / 3000), 3) AS y0, round_even((l_quantity + 10) * 0.5, 3) AS x1, round_even((l_extendedprice + 7) * (1000::DOUBLE / 3000), 3) AS y1 FROM lineitem")
 def bbox_scale(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_quantity") * 0.5, 3).alias("x0"), F.round(F.least(F.lit(500.0), F.greatest(F.lit(0.0), F.col("l_extendedprice") * 0.01)), 4).alias("y0"))
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    boxes = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("x0"), p.alias("y0"), (q + 10).alias("x1"), (p + 7).alias("y1"))
+    return Y.scaled(boxes, (2000.0, 3000.0), (1000.0, 1000.0))
 
 
-@query("figure_labels", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity / 50 <= 0.22 AND l_discount * 10 < 0.72 THEN 'y_axis' WHEN l_discount * 10 >= 0.72 THEN 'x_axis' WHEN l_quantity / 50 >= 0.6 THEN 'legend' ELSE 'direct' END AS label FROM lineitem")
+LABEL = "CASE l_linenumber % 4 WHEN 0 THEN 'Yield' WHEN 1 THEN concat(' ', CAST(l_quantity AS INTEGER), ' ') WHEN 2 THEN concat(CAST(l_quantity AS INTEGER), '.5 +/- 2 mg/L') ELSE concat(CAST(l_quantity AS INTEGER), ' apples') END"
+IS_VALUE = f"regexp_matches(trim({LABEL}), '{Y.VALUE_LABEL}')"
+
+
+@query(
+    "figure_labels",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN {IS_VALUE} AND l_quantity > 6 AND l_discount < 0.082 THEN 'direct' END, CASE WHEN l_quantity >= 30 AND ({IS_VALUE} OR (l_discount < 0.072 AND l_quantity > 11)) THEN 'legend' END, CASE WHEN l_discount >= 0.072 AND NOT {IS_VALUE} THEN 'x_axis' END, CASE WHEN l_quantity <= 11 AND NOT {IS_VALUE} THEN 'y_axis' END) AS labels FROM lineitem""",
+)
 def figure_labels(spark: SparkSession, d: str) -> DataFrame:
-    x, y = F.col("l_quantity") / 50, F.col("l_discount") * 10
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when((x <= 0.22) & (y < 0.72), "y_axis").when(y >= 0.72, "x_axis").when(x >= 0.6, "legend").otherwise("direct").alias("label"))
+    found = Y.label_classes(F.expr(LABEL), F.col("l_quantity"), F.col("l_discount"), F.lit(50.0), F.lit(0.1))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(found, ",").alias("labels"))
+
+
+GRID = "SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS table_id, CAST(p_partkey % 8 AS INTEGER) AS row, {c} AS column_no, {t} AS text FROM part"
+GRIDS = " UNION ALL ".join(GRID.format(c=c, t=t) for c, t in ((0, "CASE WHEN p_partkey % 8 < 1 + p_size % 3 THEN 'Group' ELSE p_brand END"), (1, "CASE WHEN p_partkey % 8 = 0 THEN 'Acid (g/L)' WHEN p_partkey % 8 < 1 + p_size % 3 THEN '' ELSE concat(p_size, '.5') END"), (2, "CASE WHEN p_partkey % 8 < 1 + p_size % 3 THEN concat('H', p_partkey % 8) ELSE concat(p_size, ' h') END")))
+
+
+@query(
+    "table_headers",
+    f"""WITH l AS (SELECT table_id, row, count(*) FILTER (trim(text) <> '') AS n, count(*) FILTER (regexp_matches(text, '\\d')) AS k FROM ({GRIDS}) GROUP BY table_id, row)
+SELECT table_id, least(coalesce(min(row) FILTER (row > 0 AND row < 5 AND n > 0 AND k >= 0.6 * n), 5), max(row) + 1)::INTEGER AS header_rows FROM l GROUP BY table_id""",
+)
+def table_headers(spark: SparkSession, d: str) -> DataFrame:
+    return Y.header_rows(_grids(spark, d)).select("table_id", F.col("header_rows").cast("int").alias("header_rows"))
+
+
+def _grids(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "part").createOrReplaceTempView("_part")
+    return spark.sql(GRIDS.replace("FROM part", "FROM _part")).withColumnRenamed("column_no", "column")
+
+
+HEADS = f"""g AS ({GRIDS}), l AS (SELECT table_id, row, count(*) FILTER (trim(text) <> '') AS n, count(*) FILTER (regexp_matches(text, '\\d')) AS k FROM g GROUP BY table_id, row),
+h AS (SELECT table_id, least(coalesce(min(row) FILTER (row > 0 AND row < 5 AND n > 0 AND k >= 0.6 * n), 5), max(row) + 1) AS header_rows FROM l GROUP BY table_id),
+f AS (SELECT table_id, column_no, row, last_value(nullif(trim(text), '') IGNORE NULLS) OVER (PARTITION BY table_id, column_no ORDER BY row) AS t FROM g JOIN h USING (table_id) WHERE row < header_rows),
+p AS (SELECT table_id, column_no, string_agg(t, ' / ' ORDER BY first) AS path FROM (SELECT table_id, column_no, t, min(row) AS first FROM f WHERE t IS NOT NULL GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("header_paths", f"WITH {HEADS} SELECT table_id, column_no, coalesce(path, '') AS path, nullif(regexp_extract(coalesce(path, ''), '{Y.HEADER_UNIT}', 1), '') AS unit FROM (SELECT DISTINCT table_id, column_no FROM f) LEFT JOIN p USING (table_id, column_no)")
+def header_paths(spark: SparkSession, d: str) -> DataFrame:
+    return Y.header_paths(_grids(spark, d)).select("table_id", F.col("column").alias("column_no"), F.array_join("path", " / ").alias("path"), "unit")
+
+
+@query("table_row_texts", f"WITH {HEADS} SELECT table_id, row, coalesce(string_agg(CASE WHEN trim(text) <> '' THEN concat_ws(': ', nullif(path, ''), trim(text)) END, ' | ' ORDER BY column_no), '') AS text FROM g JOIN h USING (table_id) LEFT JOIN p USING (table_id, column_no) WHERE row >= header_rows GROUP BY table_id, row")
+def table_row_texts(spark: SparkSession, d: str) -> DataFrame:
+    return Y.row_texts(_grids(spark, d))

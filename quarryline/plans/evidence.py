@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.similarity import matcher_similarity, partial_similarity
 from ..operators import search as S
 from ..operators import terms as M
+from ..operators.semantics import semantic_scores
 from ..session import table
 from .catalogue import query
 
@@ -83,6 +84,16 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("doc_id", "page_no", "sequence_no", F.round("score", 6).alias("score"))
 
 
+@query("search_semantic")
+def search_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items by blended meaning for two terms; either may match."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    terms = [S.Term("water and air"), S.Term("history of the nation")]
+    units = items.join(semantic_scores(items, [t.text for t in terms]), "id").select(F.col("id").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("sequence_no"), F.col("text").alias("content"), "scores")
+    hits = S.scored(units, terms, "or", mode="semantic", semantic="scores", semantic_least=0.05)
+    return hits.select("doc_id", F.round("score", 6).alias("score"), S.matched_terms(F.col("matches")).alias("matched"))
+
+
 QUERY = "the nation of water"
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tables as R
+from ..operators.datasets import numbered
+from ..operators.ordering import at_share
 from ..session import table
 from .catalogue import query
 
@@ -141,9 +143,9 @@ def file_dedup_tally(spark: SparkSession, d: str) -> DataFrame:
     return R.file_tally(docs, docs.filter("source = 'src1'"))
 
 
-@query("version_chain", "SELECT doc_id, row_number() OVER (PARTITION BY source, lower(lang) ORDER BY n_chars, doc_id) AS version_no FROM documents")
+@query("version_chain", "SELECT doc_id, row_number() OVER (PARTITION BY source, lower(lang || '-' || doc_id % 97) ORDER BY n_chars, doc_id) AS version_no FROM documents")
 def version_chain(spark: SparkSession, d: str) -> DataFrame:
-    return R.version_chain(table(spark, d, "documents"), ["source"], F.col("lang"), F.col("n_chars"), F.col("doc_id")).select("doc_id", F.col("version_no").cast("long").alias("version_no"))
+    return R.version_chain(table(spark, d, "documents"), ["source"], F.concat("lang", F.lit("-"), (F.col("doc_id") % 97).cast("string")), F.col("n_chars"), F.col("doc_id")).select("doc_id", F.col("version_no").cast("long").alias("version_no"))
 
 
 @query("batch_tally", "SELECT count(*) FILTER (n = 1) AS created, count(*) FILTER (n > 1) AS repeated, sum(n)::BIGINT AS files FROM (SELECT text, count(*) AS n FROM documents GROUP BY text)")
@@ -155,9 +157,8 @@ def batch_tally(spark: SparkSession, d: str) -> DataFrame:
 @query("p95_by_index", "SELECT event_type, v[greatest(1, CAST(floor(len(v) * 0.95) AS INTEGER) - 1 + 1)] AS p95, round(m, 6) AS mean FROM (SELECT event_type, list(value ORDER BY value) AS v, avg(value) AS m FROM events WHERE value IS NOT NULL GROUP BY event_type)")
 def p95_by_index(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").filter("value is not null")
-    w = Window.partitionBy("event_type")
-    ranked = rows.select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"), F.avg("value").over(w).alias("m"))
-    return ranked.filter(F.col("k") == F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))).select("event_type", F.col("value").alias("p95"), F.round("m", 6).alias("mean"))
+    means = rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return at_share(rows, "event_type", "value", 0.95).withColumnRenamed("value", "p95").join(means, "event_type")
 
 
 @query("spatial_nearest", """WITH i AS (SELECT l_orderkey AS page, l_partkey AS item_id, l_quantity AS x0, l_quantity + 10 AS x1, l_linenumber * 100.0 AS y0 FROM lineitem WHERE l_linenumber % 2 = 0), t AS (SELECT l_orderkey AS page, l_suppkey AS text_id, l_quantity - 5 AS x0, l_quantity + 5 AS x1, l_linenumber * 100.0 + 20 + l_suppkey % 50 AS y1 FROM lineitem WHERE l_linenumber % 2 = 1)
@@ -245,7 +246,5 @@ def cube_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("group_row_numbers", "SELECT o_custkey, row_number() OVER (ORDER BY first_key) AS row_no FROM (SELECT o_custkey, min(o_orderkey) AS first_key FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey)")
 def group_row_numbers(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.datasets import numbered
-
     firsts = table(spark, d, "orders").filter("o_totalprice > 300000").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_key"))
     return numbered(firsts, "first_key").select("o_custkey", "row_no")

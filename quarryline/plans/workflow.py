@@ -9,7 +9,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import missing_as
+from ..operators import exports as P
 from ..operators import modelling as ML
 from ..session import table
 from .catalogue import query
@@ -18,16 +18,14 @@ from .catalogue import query
 @query("publication_time", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, CASE WHEN o_orderkey % 3 = 1 THEN year(o_orderdate)::VARCHAR END, '——') AS published FROM orders")
 def publication_time(spark: SparkSession, d: str) -> DataFrame:
     k, at = F.col("o_orderkey"), F.col("o_orderdate")
-    stated = F.coalesce(F.when(k % 3 == 0, F.date_format(at, "yyyy-MM-dd")), F.when(k % 3 == 1, F.year(at).cast("string")))
-    return table(spark, d, "orders").select("o_orderkey", missing_as(stated).alias("published"))
+    return table(spark, d, "orders").select("o_orderkey", P.publication_time(F.when(k % 3 == 0, at.cast("date")), F.when(k % 3 == 1, F.year(at)).otherwise(F.when(k % 2 == 0, 0))).alias("published"))
 
 
-@query("export_precedence", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 4 = 0 THEN p_name WHEN p_size % 4 = 1 THEN '' END, ''), CASE WHEN p_size % 2 = 1 THEN p_size::VARCHAR END, nullif(p_type, ''), '——') AS raw, coalesce(CASE WHEN p_size % 2 = 1 THEN p_size::VARCHAR END, CASE WHEN p_size % 3 = 0 THEN 'true' END, '') AS ml FROM part")
+@query("export_precedence", "SELECT p_partkey, coalesce(CASE WHEN p_size % 4 = 0 THEN p_name WHEN p_size % 4 = 1 THEN '' END, CASE WHEN p_size % 2 = 1 THEN p_size::VARCHAR END, nullif(p_type, ''), '——') AS raw, coalesce(CASE WHEN p_size % 2 = 1 THEN p_size::VARCHAR END, CASE WHEN p_size % 3 = 0 THEN 'true' END, '') AS ml FROM part")
 def export_precedence(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("p_size")
-    raw = F.nullif(F.when(s % 4 == 0, F.col("p_name")).when(s % 4 == 1, ""), F.lit(""))
-    number = F.when(s % 2 == 1, s.cast("string"))
-    return table(spark, d, "part").select("p_partkey", F.coalesce(raw, number, F.nullif("p_type", F.lit("")), F.lit("——")).alias("raw"), F.coalesce(number, F.when(s % 3 == 0, "true"), F.lit("")).alias("ml"))
+    s, none = F.col("p_size"), F.lit(None).cast("string")
+    raw, number = F.when(s % 4 == 0, F.col("p_name")).when(s % 4 == 1, ""), F.when(s % 2 == 1, s.cast("string"))
+    return table(spark, d, "part").select("p_partkey", P.raw_cell(F.lit(True), raw, number, F.col("p_type")).alias("raw"), P.ml_cell(number, F.when(s % 3 == 0, F.lit(True)), none, none, none, none).alias("ml"))
 
 
 @query(
