@@ -8,7 +8,7 @@ word is removed if a window over it has a word sequence that also starts in a do
    two documents have are the only ones whose windows can recur. They are kept as a bitmap of ``SEED_SHARE`` bits a seed,
    between bounds: a false hit costs a few shuffled rows, never a result, and beyond the upper bound the next step
    shuffles more windows, not fewer.
-2. Windows with such a seed are sorted by two hashes of 64 bits, so that windows that meet are equal; of equal ones the
+2. Windows with such a seed are sorted by two hashes, 96 bits, so that windows that meet are equal; of equal ones the
    least (doc_id, position) is the source, and every window of a larger doc_id learns it. Their rows are streamed, never
    gathered, however many they are.
 3. Neighbouring windows of a document with neighbouring sources join to passages. Each passage is cut from its source
@@ -105,11 +105,11 @@ def seeds_and_windows(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, .
     """For every window: the index of its text, its position there, its seed and its two hashes."""
     h, of = word_hashes(texts, powers)
     if len(h) < WINDOW:
-        return (*(np.zeros(0, np.int64) for _ in range(2)), *(np.zeros(0, np.uint64) for _ in range(3)))
+        return (*(np.zeros(0, np.int64) for _ in range(2)), *(np.zeros(0, np.uint64) for _ in range(2)), np.zeros(0, np.uint32))
     seed = least_of(runs_of(h, SEED), WINDOW - SEED + 1)
     inside = np.nonzero(of[: len(seed)] == of[WINDOW - 1 :])[0]
     first = np.searchsorted(of, np.arange(len(texts)))
-    return of[inside], inside - first[of[inside]], seed[inside], runs_of(h, WINDOW)[inside], runs_of(mixed(h), WINDOW, OTHER_STEP)[inside]
+    return of[inside], inside - first[of[inside]], seed[inside], runs_of(h, WINDOW)[inside], (runs_of(mixed(h), WINDOW, OTHER_STEP)[inside] >> np.uint64(32)).astype(np.uint32)
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def recurring_windows(docs: DataFrame) -> DataFrame:
                 alone = np.r_[again, False] | np.r_[False, again]
                 first = ~np.r_[False, again]
                 at, ids = keep[first], batch.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(window[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(ids[of[at]], pa.int64()), pa.array(pos[at].astype(np.int32)), pa.array(alone[first])], ["h", "g", "doc", "pos", "alone"])
+                yield pa.RecordBatch.from_arrays([pa.array(window[at].view(np.int64)), pa.array(other[at].view(np.int32)), pa.array(ids[of[at]], pa.int64()), pa.array(pos[at].astype(np.int32)), pa.array(alone[first])], ["h", "g", "doc", "pos", "alone"])
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_doc, last_pos = None, -1, -1
@@ -182,7 +182,7 @@ def recurring_windows(docs: DataFrame) -> DataFrame:
             if later.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[later], t) for x, t in ((doc, pa.int64()), (pos, pa.int32()), (src_doc, pa.int64()), (src_pos, pa.int32()), (alone, pa.bool_()))], ["doc", "pos", "src_doc", "src_pos", "alone"])
 
-    found = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(candidates, "h long, g long, doc long, pos int, alone boolean")
+    found = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(candidates, "h long, g int, doc long, pos int, alone boolean")
     ordered = found.repartition(partitions(spark), "h", "g").sortWithinPartitions("h", "g", "doc", "pos")
     return ordered.mapInArrow(sources, "doc long, pos int, src_doc long, src_pos int, alone boolean")
 
