@@ -209,12 +209,12 @@ def shard_of(shards: int, *key):
     return F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int")
 
 
-def automata(patterns: dict[tuple[bytes, ...], int]) -> Iterator[tuple[dict[bytes, str], ahocorasick.Automaton]]:
+def automata(patterns: dict[tuple[bytes, ...], int], vocabulary: int = VOCABULARY) -> Iterator[tuple[dict[bytes, str], ahocorasick.Automaton]]:
     """Automata over patterns (word sequences and their sources), each with the characters of its words."""
     names: dict[bytes, str] = {}
     automaton = ahocorasick.Automaton()
     for words, source in patterns.items():
-        if len(names) + len(words) > VOCABULARY and names:
+        if len(names) + len(words) > vocabulary and names:
             automaton.make_automaton()
             yield names, automaton
             names, automaton = {}, ahocorasick.Automaton()
@@ -242,7 +242,7 @@ def removed(words: list[bytes], doc: int, compiled: list) -> np.ndarray:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by a space; null for a null text) of every row."""
-    spark = docs.sparkSession
+    spark, longest, vocabulary = docs.sparkSession, PASSAGE, VOCABULARY
     shards = max(partitions(spark), SHARDS_EACH * docs.select("text").rdd.getNumPartitions())
     found = checkpointed(passages(recurring_windows(docs), shards))
     targets = bitmap(found.select(F.xxhash64("doc").alias("h")).distinct())
@@ -276,10 +276,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         least: dict[tuple[bytes, ...], int] = {}
         for src, passage in zip(shard_passages.column("src_doc").to_pylist(), utf8(shard_passages.column("passage").combine_chunks()), strict=True):
             whole = tuple(passage.split(b" "))
-            for begin in range(0, len(whole) - WINDOW + 1, PASSAGE - WINDOW + 1):
-                words = whole[begin : begin + PASSAGE]
+            for begin in range(0, len(whole) - WINDOW + 1, longest - WINDOW + 1):
+                words = whole[begin : begin + longest]
                 least[words] = min(src, least.get(words, src))
-        compiled = list(automata(least))
+        compiled = list(automata(least, vocabulary))
         rows = []
         for i, t in zip(shard_docs.column("id").to_pylist(), utf8(shard_docs.column("text").combine_chunks()), strict=True):
             words = (t or b"").split()

@@ -144,10 +144,10 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit integers."""
-        return b"".join([self.units[u] for u in self.unit.findall(MARK + text.replace(" ", MARK))]) if text else b""
+        return b"".join(map(self.units.__getitem__, self.unit.findall(MARK + text.replace(" ", MARK)))) if text else b""
 
     def decode(self, ids: np.ndarray) -> str:
-        whole = b"".join([self.bytes_of[i] for i in ids.tolist()])
+        whole = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
         return whole.removeprefix(b" ").decode("utf-8", "replace")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate, hilbert, langid, neardup_vectors, phrases, pieces, pii, quality, simhash, toxicity
 
-CLASH = ("h", "words", "_id", "_a", "_b", "ids", "fp", "shard", "label", "kept", "items", "hits", "component", "node", "u", "v", "x", "at")
-LONG = "lorem ipsum dolor sit amet " * 4000 + "x" * 50_000
+CLASH = ("h", "words", "_id", "_a", "_b", "ids", "fp", "shard", "label", "kept", "items", "hits", "component", "node", "u", "v", "x", "at", "toxic_score", "pii_kinds", "_shard", "lang_pred", "lang_score", "quality_score", "n_words", "parts", "_fold", "_label", "word")
+LONG = "lorem ipsum dolor sit amet " * 4000 + "x" * 50_000 + "1@" + "y" * 50_000
 ROWS = [
     (1, "The quick brown fox jumps over the lazy dog near the river bank today.", "en", "a", 70),
     (1, "The quick brown fox jumps over the lazy dog near the river bank today.", "en", "a", 70),
@@ -52,7 +52,7 @@ def test_decontaminate(docs, benchmark):
     if got:
         assert by[1].n_hit == by[1].n_words == 14 and by[1].items == ["1"] and by[1].contaminated
         assert by[3].n_words == by[4].n_words == 0 and not by[4].contaminated
-        assert by[6].items == ["4"] and by[6].n_hit == 8000 and by[6].contaminated
+        assert by[6].items == ["4"] and by[6].n_hit == 8000 and by[6].contaminated and by[6].n_words == 20_002
     left = decontaminate.clean(docs, benchmark)
     assert left.columns == docs.columns and size(left) == (0 if not got else 6)
 
@@ -72,10 +72,11 @@ def test_hilbert(docs, tmp_path):
     assert sum(counts) == size(docs) and max(counts) - min(counts) <= 1
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in enumerate(counts))
     if got:
-        plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-        hilbert.write_shards(plain, str(tmp_path / "out"), 4)
+        hilbert.write_shards(docs, str(tmp_path / "out"), 4)
         back = docs.sparkSession.read.parquet(str(tmp_path / "out"))
-        assert sorted(map(str, back.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+        assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+        same = [(r.shard, r.slot) for r in got if r.doc_id == 1]  # repeated rows keep apart slots
+        assert len(set(same)) == 2
 
 
 def test_toxicity(docs, labels):
@@ -83,12 +84,21 @@ def test_toxicity(docs, labels):
         model = toxicity.fit(docs, known)
         got = toxicity.score(docs, model)
         assert size(got.filter("toxic_score between 0 and 1")) == size(docs)
-        assert toxicity.keep_civil(docs, model).columns == docs.columns
+        civil = toxicity.keep_civil(docs, model)
+        assert civil.columns == docs.columns and size(civil) == size(got.filter("toxic_score < 0.5"))
+        if "toxic_score" in docs.columns:
+            assert size(civil.filter("toxic_score != 'toxic_score'")) == 0  # the input's own column
+        by = {}
+        for r in got.select("doc_id", "text", "toxic_score").collect():
+            by.setdefault(r.text, set()).add(r.toxic_score)
+        assert all(len(s) == 1 for s in by.values()) and by.get(None, set()) == by.get("", set())  # equal texts score alike
 
 
 def test_quality(docs, labels):
     for known in (labels, labels.limit(0)):
-        assert size(quality.score(docs, known).filter("quality_score between 0 and 1")) == size(docs)
+        got = quality.score(docs, known)
+        assert size(got.filter("quality_score between 0 and 1")) == size(docs)
+        assert len({r.quality_score for r in got.filter("doc_id = 1 or doc_id = 2").collect()}) <= 1  # one text, three rows
 
 
 def test_phrases(docs):
