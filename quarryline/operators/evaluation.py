@@ -131,7 +131,7 @@ def report_lines(metrics: DataFrame, issues: DataFrame) -> DataFrame:
     spark = metrics.sparkSession
     head = ["# Gold standard evaluation", "", "The figures hold for the records given and claim no accuracy elsewhere.", "", "| metric | matched | total | score |", "|-|-|-|-|"]
     lines = spark.createDataFrame([(0, f"{i:02d}", "", t) for i, t in enumerate(head)], "part int, category string, id string, line string")
-    score = F.coalesce(F.format_number("score", "0.0000"), F.lit("-"))
+    score = F.when(F.col("score").isNull(), "-").otherwise(F.format_string("%.4f", F.col("score")))
     table = metrics.select(F.lit(1).alias("part"), F.col("metric").alias("category"), F.lit("").alias("id"), F.concat(F.lit("| "), F.concat_ws(" | ", "metric", F.col("matched").cast("string"), F.col("total").cast("string"), score), F.lit(" |")).alias("line"))
     each = F.concat(F.lit("* "), F.concat_ws(" ", "category", "section", "id", "status"), F.lit(": expected "), F.coalesce("expected", F.lit("nothing")), F.lit(", found "), F.coalesce("actual", F.lit("nothing")))
     return lines.unionByName(table).unionByName(issues.select(F.lit(2).alias("part"), "category", "id", each.alias("line")))
