@@ -20,9 +20,9 @@ BOUNDS = {
     "search_semantic": (1, "score >= 2.5"),
     "similar_names": (1, "u < v and similarity >= 85"),
     "text_similarity": (1, "ratio between 0 and 1 and partial between 0 and 100"),
-    "train_ridge": (1, "r2 > 0.8"),
-    "train_random_forest": (1, "r2 > 0.8"),
-    "train_gradient_boosting": (1, "r2 > 0.8"),
+    "train_ridge": (1, "r2 > 0.9"),
+    "train_random_forest": (1, "r2 > 0.9"),
+    "train_gradient_boosting": (1, "r2 > 0.9"),
     "train_logistic": (1, "accuracy > 0.9"),
     "train_random_forest_classifier": (1, "accuracy > 0.9"),
     "train_gradient_boosting_classifier": (1, "accuracy > 0.9"),
