@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, utf8
+from .common import checkpointed, crc_mod, sized, slices, utf8
 
 FOLDS, HELD_OUT = 5, 0
 TEXTS_EACH, WINDOWS_EACH = 600, 2500
@@ -137,7 +137,8 @@ def fit(docs: DataFrame, texts_each: int = TEXTS_EACH, windows_each: int = WINDO
     """A model from docs' own languages; None without any."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select(F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("_lang"), "text")
     of_lang = Window.partitionBy("_lang")
-    chosen = known.select("_id", "_lang").distinct().withColumn("_n", F.row_number().over(of_lang.orderBy(F.xxhash64("_id"), "_id"))).filter(F.col("_n") <= texts_each).drop("_n")
+    first = known.select("_id", "_lang").distinct().withColumn("_n", F.row_number().over(of_lang.orderBy(F.xxhash64("_id"), "_id"))).filter(F.col("_n") <= texts_each)
+    chosen = sized(checkpointed(first.drop("_n")))
     rows = known.join(chosen, ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
