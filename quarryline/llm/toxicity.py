@@ -187,7 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> Model:
     known = docs.sparkSession.createDataFrame(pa.table({"word": pa.array(index, pa.binary()), "at": pa.array(range(len(index)), pa.int64())}))
     bag = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.col("n").cast("long").alias("n")))))
     texts = counted.join(known, "word", "left").groupBy("_id", "_label").agg(bag.alias("bag"), F.sum("n").alias("size")).orderBy("_id", "_label").select("_label", "bag", "size").toArrow()
-    bags = [np.array([(e["at"], e["n"]) for e in b], dtype=np.int64).reshape(-1, 2) for b in texts.column("bag").to_pylist()]
+    bag, ends = texts.column("bag").combine_chunks(), [0]
+    if len(bag):
+        ends = bag.offsets.to_numpy().tolist()
+    pairs = np.stack([bag.values.field(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1).astype(np.int64)
+    bags = [pairs[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return fitted(index, bags, texts.column("size").to_numpy(), texts.column("_label").to_numpy())
 
 
