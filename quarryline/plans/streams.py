@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..streaming import jobs as J
+from ..streaming import stateful as K
 from .catalogue import query
 
 JOBS = "SELECT event_id AS job_id, CASE WHEN event_type IN ('click', 'view') THEN 'running' ELSE 'completed' END AS status, ts AS started_at, CASE WHEN event_id % 3 > 0 THEN ts + to_seconds(event_id % 90) END AS heartbeat_at, (event_id % 5)::INTEGER AS retry_count FROM events"
@@ -53,3 +54,23 @@ def login_throttle(spark: SparkSession, d: str) -> DataFrame:
 def idempotent_jobs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.col("user_id").alias("project_id"), (F.col("event_id") % 100).alias("idempotency_key"), F.col("event_id").alias("job_id"), F.col("ts").alias("queued_at"))
     return J.first_of_key(rows).select("project_id", "idempotency_key", "job_id")
+
+
+HOURS = 3600 * K.SECOND
+#: A user's signups start a job, views and clicks are its heartbeats, a purchase ends it; time has gone to the last event.
+WATCHED = "CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'ended' ELSE 'heartbeat' END"
+
+
+@query(
+    "job_timeouts",
+    f"""WITH n AS (SELECT max(epoch_us(ts)) AS now FROM events), e AS (SELECT user_id, epoch_us(ts) AS at, event_id, {WATCHED} AS kind FROM events WHERE event_type <> 'error'),
+w AS (SELECT *, sum((kind <> 'heartbeat')::INTEGER) OVER o AS run, sum((kind = 'ended')::INTEGER) OVER o AS life, coalesce(lead(at) OVER o, now) AS next FROM e, n WINDOW o AS (PARTITION BY user_id ORDER BY at, event_id)),
+r AS (SELECT user_id, life, min(CASE WHEN next - at > {12 * HOURS} THEN at END) + {12 * HOURS} AS at FROM w GROUP BY user_id, life, run HAVING bool_or(kind = 'started')),
+k AS (SELECT *, (row_number() OVER (PARTITION BY user_id, life ORDER BY at) - 1) % 4 AS k FROM r WHERE at IS NOT NULL)
+SELECT user_id, at, CASE WHEN k < 3 THEN 'queued' ELSE 'failed' END AS status, least(k + 1, 3)::BIGINT AS retry_count, 'worker_heartbeat_timeout' AS error FROM k""",
+)
+def job_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    now = events.agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0]
+    watched = events.filter("event_type <> 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("number"), "ts", F.expr(WATCHED).alias("kind"))
+    return K.over_batch(watched, K.LostJobs(timeout=12 * HOURS), now).withColumnRenamed("key", "user_id")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stateful import Throttle, over_batch, over_stream
+
 TIMEOUT_S, MOST_RETRIES = 60, 3
-WINDOW_MIN, BLOCK_MIN, MOST_FAILURES = 15, 15, 5
 
 
 def recovered(jobs: DataFrame, now: Column) -> DataFrame:
@@ -35,67 +31,37 @@ def sessions(events: DataFrame, gap: str, lateness: str | None = None) -> DataFr
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
 
 
-THROTTLE = "key long, event_id long, failures int, blocked boolean"
-
+def _attempts(attempts: DataFrame) -> DataFrame:
+    kind = F.when(F.coalesce("failed", F.lit(False)), "failed").otherwise("succeeded")
+    return attempts.select(F.col("key").cast("long").alias("key"), F.col("event_id").alias("number"), "ts", kind.alias("kind"))
 
-def _step(state: tuple[int, pd.Timestamp | None, pd.Timestamp | None], at: pd.Timestamp, failed: bool):
-    """A window opens at the first failure; enough failures in it block for a while; success or expiry clears."""
-    n, opened, until = state
-    if until is not None and at < until:
-        return state, True
-    if not failed:
-        return (0, None, None), False
-    if until is not None or opened is None or at - opened > timedelta(minutes=WINDOW_MIN):
-        n, opened = 0, at
-    n += 1
-    return ((n, opened, at + timedelta(minutes=BLOCK_MIN)) if n >= MOST_FAILURES else (n, opened, None)), False
 
-
-def _judged(key, rows: pd.DataFrame, state):
-    out = []
-    for r in rows.sort_values(["ts", "event_id"]).itertuples():
-        state, blocked = _step(state, r.ts, bool(r.failed))
-        out.append((key, r.event_id, state[0], blocked))
-    return pd.DataFrame(out, columns=["key", "event_id", "failures", "blocked"]), state
+def _answers(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.col("number").alias("event_id"), F.col("failures").cast("int").alias("failures"), "blocked")
 
 
 def throttle(attempts: DataFrame) -> DataFrame:
     """attempts(key, event_id, ts, failed) with the failures counted and whether the attempt met a block; batch form.
 
-    A key's attempts are one person's or one address's; they are judged in order, a batch at a time, with the key's state
-    carried on, so a task holds no more than a batch however many attempts a key has.
+    A key's attempts are one person's or one address's. Those without a key or time are not judged.
     """
+    return _answers(over_batch(_attempts(attempts), Throttle()))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, (0, None, None)
-        for batch in batches:
-            keys, failures, blocks = batch.column("key").to_pylist(), [], []
-            for key, at, failed in zip(keys, batch.column("ts").to_pandas(), batch.column("failed").to_pylist(), strict=True):
-                if key != last:
-                    last, state = key, (0, None, None)
-                state, blocked = _step(state, at, bool(failed))
-                failures.append(state[0])
-                blocks.append(blocked)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("event_id"), pa.array(failures, pa.int32()), pa.array(blocks, pa.bool_())], ["key", "event_id", "failures", "blocked"])
-
-    rows = attempts.select(F.col("key").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), "ts", "failed")
-    return rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")).mapInArrow(work, THROTTLE)
 
+def throttle_stream(attempts: DataFrame, clock: str = "arrival", lateness: str = "10 minutes") -> DataFrame:
+    """The same over a stream: at once as attempts arrive, or by the clock event in order of their time.
 
-def throttle_stream(attempts: DataFrame) -> DataFrame:
-    """The same over a stream, a key's state (a count and two times) kept between batches."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, opened, until = state.get if state.exists else (0, None, None)
-        rows = pd.concat(list(batches))
-        out, (n, opened, until) = _judged(key[0], rows, (n, pd.Timestamp(opened) if opened else None, pd.Timestamp(until) if until else None))
-        state.update((n, str(opened) if opened is not None else None, str(until) if until is not None else None))
-        yield out
-
-    return attempts.groupBy("key").applyInPandasWithState(step, THROTTLE, "n int, opened string, until string", "append", "NoTimeout")
+    A key's state goes when its window and block are over.
+    """
+    return _answers(over_stream(_attempts(attempts), Throttle(), clock, lateness))
 
 
 def first_of_key(jobs: DataFrame, key: str = "idempotency_key", order: str = "queued_at") -> DataFrame:
     """Of jobs with one idempotency key the first; batch form of dropDuplicates on a stream."""
     w = Window.partitionBy("project_id", key).orderBy(order, "job_id")
     return jobs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def first_of_key_stream(jobs: DataFrame, lateness: str, key: str = "idempotency_key", order: str = "queued_at") -> DataFrame:
+    """Of a stream of jobs the first to arrive of each key; a key is forgotten when the watermark has passed it."""
+    return jobs.withWatermark(order, lateness).dropDuplicatesWithinWatermark(["project_id", key])
