@@ -8,9 +8,9 @@ word is removed if a window over it has a word sequence that also starts in a do
    two documents have are the only ones whose windows can recur. They are kept as a bitmap of ``SEED_SHARE`` bits a seed,
    between bounds: a false hit costs a few shuffled rows, never a result, and beyond the upper bound the next step
    shuffles more windows, not fewer.
-2. Windows with such a seed are sorted by two hashes, 96 bits, so that windows that meet are equal; of equal ones the
-   least (doc_id, position) is the source, and every window of a larger doc_id learns it. Their rows are streamed, never
-   gathered, however many they are.
+2. Windows with such a seed are sorted by two hashes of 64 and 32 bits, made of two independent hashes of each word, so
+   that windows that meet are equal; of equal ones the least (doc_id, position) is the source, and every window of a larger
+   doc_id learns it. Their rows are streamed, never gathered, however many they are.
 3. Neighbouring windows of a document with neighbouring sources join to passages. Each passage is cut from its source
    document once, whatever the number of shards of documents that repeat it; a document from which many passages are cut
    is dealt over several tasks.
@@ -21,7 +21,7 @@ word is removed if a window over it has a word sequence that also starts in a do
 
 Shards grow in number with the input and hold documents and the passages these repeat, so their memory is bounded by
 their own text. Null texts have no words; documents without id are kept whole and are no source; rows that share an id
-are one document whose rows do not shorten each other. Empty tables give no rows; extra columns are ignored.
+are one document whose rows do not shorten each other. Ids must cast to long. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,12 +72,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts, and the index of its text: a polynomial over the bytes, by prefix sums."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each word starts and ends in them."""
     whole = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     white = WHITE[whole]
-    start = np.nonzero(white[:-1] & ~white[1:])[0] + 1
-    end = np.nonzero(~white[:-1] & white[1:])[0] + 1
+    return whole, np.nonzero(white[:-1] & ~white[1:])[0] + 1, np.nonzero(~white[:-1] & white[1:])[0] + 1
+
+
+def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts, and the index of its text: a polynomial over the bytes, by prefix sums.
+
+    Long words made of alternating halves can share it, as modulo 2**64 any such polynomial allows.
+    """
+    whole, start, end = words_of(texts)
     up, down = powers.upto(len(whole))
     sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate((whole.astype(np.uint64) + np.uint64(1)) * up)])
     hashes = mixed((sums[end] - sums[start]) * down[start])
@@ -85,6 +92,17 @@ def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndar
     return hashes, np.searchsorted(begins, start, side="right") - 1
 
 
+def other_hashes(texts: list[bytes]) -> np.ndarray:
+    """An independent hash of every word: the sum of its mixed pairs of byte and place."""
+    whole, start, end = words_of(texts)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    lengths = end - start
+    firsts = np.cumsum(lengths) - lengths
+    place = (np.arange(lengths.sum()) - np.repeat(firsts, lengths)).astype(np.uint64)
+    return mixed(np.add.reduceat(mixed((place << np.uint64(8)) + whole[~WHITE[whole]] + OTHER_STEP), firsts))
+
+
 def runs_of(h: np.ndarray, n: int, step: np.uint64 = STEP) -> np.ndarray:
     """By start, the hash of n neighbouring words."""
     out = np.zeros(len(h) - n + 1, np.uint64)
@@ -109,7 +127,7 @@ def seeds_and_windows(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, .
     seed = least_of(runs_of(h, SEED), WINDOW - SEED + 1)
     inside = np.nonzero(of[: len(seed)] == of[WINDOW - 1 :])[0]
     first = np.searchsorted(of, np.arange(len(texts)))
-    return of[inside], inside - first[of[inside]], seed[inside], runs_of(h, WINDOW)[inside], (runs_of(mixed(h), WINDOW, OTHER_STEP)[inside] >> np.uint64(32)).astype(np.uint32)
+    return of[inside], inside - first[of[inside]], seed[inside], runs_of(h, WINDOW)[inside], (runs_of(other_hashes(texts), WINDOW, OTHER_STEP)[inside] >> np.uint64(32)).astype(np.uint32)
 
 
 def seeds(docs: DataFrame) -> DataFrame:

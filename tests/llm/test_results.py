@@ -313,6 +313,25 @@ def test_word_hashes_follow_words():
     assert of.tolist() == [0, 0, 0, 2, 2, 2] and h[0] == h[2] == h[5] and h[1] == h[3] and len(set(h.tolist())) == 3
 
 
+def halves(first, second, n):
+    """Two words of 2**n letters, alternating as the parity of a place's bits, that a polynomial modulo 2**64 confuses."""
+    return tuple("".join((a, b)[i.bit_count() % 2] for i in range(1 << n)) for a, b in ((first, second), (second, first)))
+
+
+@pytest.mark.parametrize("n", [10, 11, 13])
+def test_phrases_with_words_of_one_hash(spark, n):
+    x, y = halves("a", "b", n)
+    powers = phrases.Powers()
+    h, _ = phrases.word_hashes([f"{x} {y}".encode()], powers)
+    g = phrases.other_hashes([f"{x} {y} {x}".encode()])
+    assert h[0] == h[1] and g[0] == g[2] != g[1]
+    start = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{start} {x}"), (2, f"{start} {y}"), (3, f"{start} {y}")]
+    got = phrases.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(shortened(rows))
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 13}
+
+
 # 9 SimHash
 
 
