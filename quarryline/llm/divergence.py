@@ -8,8 +8,8 @@ kept terms of the difference of the shares; ``term``, the ``TOP`` terms that a g
 language does, by the excess.
 
 1. Tasks count terms of whole texts, by group, and the documents of each term; what a task holds at once is bounded by
-   ``HELD`` terms, so a hot source is counted by many tasks and arrives as a few sums. Counts are summed by language, source
-   and term and written once (a lost executor costs one pass).
+   ``HELD`` terms, so a hot source is counted by many tasks and arrives as a few sums. Partial counts are shuffled once, by
+   language and term; there they are summed by source, the rare terms fall out, and what is kept is written.
 2. Kept terms are dealt by hash to blocks of about ``BLOCK_TERMS``, groups in order of their source to blocks of
    ``BLOCK_GROUPS``. A tile is a term block with two group blocks: two dense int64 matrices of bounded size, whatever the
    number of terms and sources. A tile also gets one row for each of its groups, so that groups without its terms count.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sized, slices, utf8
+from .common import checkpointed, partitions, sized, slices, utf8
 
 LEAST_DOCUMENTS = 30
 SCALE = 1_000_000_000
@@ -44,7 +44,7 @@ TOP = 50
 BLOCK_TERMS = 512
 BLOCK_GROUPS = 128
 #: Different terms that a task holds before it hands them on.
-HELD = 400_000
+HELD = 100_000
 
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 32 for b in range(256)).lower()
 
@@ -55,7 +55,7 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences) and documents; of each group also one row with a null term."""
+    """lang, source, term, n (occurrences), overall and documents (of the language) of kept terms; of each group also one row with a null term."""
     names = ["lang", "source", "term", "n", "documents"]
 
     def emitted(held: dict[tuple[bytes, bytes], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +81,13 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
                 held, size = {}, 0
         yield from emitted(held)
 
+    # A single shuffle, by language and term, serves the sums of a group's term, those of the term, and the filter.
+    spark = docs.sparkSession
     partial = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source")).mapInArrow(work, "lang string, source string, term string, n long, documents long")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    summed = partial.repartition(partitions(spark), "lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    of_term = Window.partitionBy("lang", "term")
+    summed = summed.withColumns({"overall": F.sum("n").over(of_term), "documents": F.sum("documents").over(of_term)})
+    return summed.filter((F.col("documents") >= LEAST_DOCUMENTS) | F.col("term").isNull())
 
 
 def shares(n: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
@@ -96,16 +101,18 @@ def shares(n: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
     return 1 + whole
 
 
-def _tile(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def tile(key: tuple[pa.Scalar, ...], rows: pa.Table, block_groups: int, top: int) -> pa.Table:
     """Of a tile's rows the partial pair matrix as rows (g, h, null, value) and each group's best terms (g, null, term, value).
 
-    A row with a term has its count in a group, one without names a group and its total.
+    A row with a term has its count in a group and in all; one without names a group, its total and the block's number of terms.
+    Terms of the block that none of the tile's groups has differ by the shares of a count of 0.
     """
     lang, _, left, right = (k.as_py() for k in key)
     g, n = rows.column("g").to_numpy(), rows.column("n").to_numpy()
     term, overall = rows.column("term").combine_chunks(), rows.column("overall").to_numpy()
     named = term.is_null().to_numpy(zero_copy_only=False)
     kept, language = rows.column("kept")[0].as_py(), rows.column("language")[0].as_py()
+    of_block = overall[named].max(initial=0)
     columns = term.filter(pa.array(~named)).dictionary_encode()
     at, words = columns.indices.to_numpy(), columns.dictionary
     values = {k: [] for k in ("g", "h", "term", "value")}
@@ -116,13 +123,14 @@ def _tile(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     matrix = np.zeros((len(groups), len(words)), np.int64)
     matrix[np.searchsorted(groups, g[~named]), at] = n[~named]
     p = shares(matrix, totals[:, None], kept) if len(words) else matrix
-    blocks = groups // BLOCK_GROUPS
+    absent, none = of_block - len(words), shares(np.zeros(len(groups), np.int64), totals, kept) if kept else np.zeros(len(groups), np.int64)
+    blocks = groups // block_groups
     one, two = np.nonzero(blocks == left)[0], np.nonzero(blocks == right)[0]
     for i in one.tolist():
         other = two[groups[two] > groups[i]]
         values["g"].append(np.full(len(other), groups[i]))
         values["h"].append(groups[other])
-        values["value"].append(np.abs(p[i][None, :] - p[other]).sum(axis=1))
+        values["value"].append(np.abs(p[i][None, :] - p[other]).sum(axis=1) + absent * np.abs(none[i] - none[other]))
         values["term"].append(np.full(len(other), None, object))
     if left == right and len(words):
         in_all = np.zeros(len(words), np.int64)
@@ -133,7 +141,7 @@ def _tile(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         place = np.empty(len(words), np.int64)
         place[np.argsort(np.array(words.cast(pa.binary()).to_pylist(), object))] = np.arange(len(words))
         for i in one.tolist():
-            best = np.lexsort((place, -excess[i]))[:TOP]
+            best = np.lexsort((place, -excess[i]))[:top]
             best = best[excess[i][best] > 0]
             values["g"].append(np.full(len(best), groups[i]))
             values["h"].append(np.full(len(best), -1))
@@ -157,12 +165,11 @@ def _block(group: Column) -> Column:
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, part (pair or term), item, value, rank of every group."""
     counted = checkpointed(counts(docs, text, lang, source))
-    known = counted.filter("term is not null")
-    kept = known.groupBy("lang", "term").agg(F.sum("n").alias("overall"), F.sum("documents").alias("documents")).filter(F.col("documents") >= LEAST_DOCUMENTS)
-    occurring = checkpointed(known.join(kept.select("lang", "term", "overall"), ["lang", "term"]).select("lang", "source", "term", "n", "overall"))
+    occurring = counted.filter("term is not null").drop("documents")
 
     # One row a group: its number within the language, its total, and the language's terms and total.
-    languages = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("overall").alias("language"))
+    terms_of = occurring.groupBy("lang", "term").agg(F.first("overall").alias("overall"))
+    languages = terms_of.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("overall").alias("language"))
     totals = occurring.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counted.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(languages, "lang", "left").fillna(0, ["total", "kept", "language"])
     groups = groups.withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
@@ -170,11 +177,15 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
     # A row goes to the tiles of its block of terms with every other block of groups; a group's own row to all blocks of terms.
     numbers = groups.select("lang", "source", "g", "kept", "language", "blocks", "sides")
-    cells = occurring.join(sized(numbers), ["lang", "source"]).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
-    names = groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.col("total").alias("n"), F.lit(0).cast("long").alias("overall"), "g", "kept", "language", "blocks", "sides", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    both = cells.select(names.columns).union(names).withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), "sides")))
+    block = F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block")
+    cells = occurring.join(sized(numbers), ["lang", "source"]).withColumn("block", block)
+    dealt = terms_of.join(sized(groups.select("lang", "blocks").distinct()), "lang").groupBy("lang", block).agg(F.count("*").alias("overall"))
+    names = groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.col("total").alias("n"), "g", "kept", "language", "blocks", "sides", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    names = names.join(dealt, ["lang", "block"], "left").fillna(0, ["overall"])
+    both = cells.unionByName(names).withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), "sides")))
     tiles = both.withColumn("left", F.least("side", _block(F.col("g")))).withColumn("right", F.greatest("side", _block(F.col("g"))))
-    sums = tiles.select("lang", "block", "left", "right", "g", "term", "n", "overall", "kept", "language").groupBy("lang", "block", "left", "right").applyInArrow(_tile, "lang string, g long, h long, term string, value long")
+    sizes = BLOCK_GROUPS, TOP
+    sums = tiles.select("lang", "block", "left", "right", "g", "term", "n", "overall", "kept", "language").groupBy("lang", "block", "left", "right").applyInArrow(lambda key, rows: tile(key, rows, *sizes), "lang string, g long, h long, term string, value long")
     sums = checkpointed(sums)
 
     half = sums.filter("h >= 0").groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
