@@ -100,8 +100,8 @@ def op13_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The checksum of the decimal id bit by bit; runs as islands of places whose words are equal a period apart.
 PERIODIC_SQL = r"""
-WITH h AS (SELECT doc_id, text, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
-  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h FROM documents),
+WITH h AS (SELECT doc_id, text, CASE WHEN doc_id IS NOT NULL THEN xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) END AS h FROM documents),
 v AS (SELECT row_number() OVER () AS rid, doc_id, h // 10 AS g, h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM h),
 a AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN g % len(w) END AS a FROM v),
 p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, hilbert, langid, neardup_vectors, phrases, pieces, pii, quality, simhash, toxicity
+from quarryline.llm import decontaminate, divergence, hilbert, langid, neardup_vectors, periodic, phrases, pieces, pii, quality, simhash, syncmers, toxicity
 
 CLASH = ("h", "words", "_id", "_a", "_b", "ids", "fp", "shard", "label", "kept", "items", "hits", "component", "node", "u", "v", "x", "at", "toxic_score", "pii_kinds", "_shard", "lang_pred", "lang_score", "quality_score", "n_words", "parts", "_fold", "_label", "word")
 LONG = "lorem ipsum dolor sit amet " * 4000 + "x" * 50_000 + "1@" + "y" * 50_000
@@ -139,6 +139,29 @@ def test_pieces(docs):
     assert pieces.encode(docs).columns[-1] == "ids"
 
 
+def test_periodic_runs(docs):
+    got = periodic.periodic_runs(docs).collect()
+    assert len(got) == size(docs)
+    by = {r.doc_id: r for r in got}
+    if got:
+        assert by[3].n_words == by[4].n_words == by[5].n_words == 0 and by[3].collapsed is None and by[4].collapsed == ""
+        assert [tuple(r) for r in by[6].runs] == [(0, 20_000, 5)] and by[6].n_words == 20_001 and by[1].runs == []
+
+
+def test_divergence(docs):
+    got = divergence.audit(docs).collect()
+    pairs = [("en", s, t, 0) for s in ("", "a", "c") for t in ("", "a", "c") if s != t]  # too few documents for a term
+    assert sorted((r.lang, r.source, r.item, r.value) for r in got) == (sorted(pairs) if size(docs) else [])
+
+
+def test_syncmers(docs):
+    got = syncmers.edited_likeness(docs).collect()
+    assert len(got) == size(docs) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    if got:
+        by = {r.doc_id: r for r in got}
+        assert by[1].fingerprint == by[2].fingerprint != by[6].fingerprint and by[2].near_next == 1 and by[6].n_chars == len(LONG)
+
+
 @pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
 def test_stage(spark, tmp_path, docs, labels, benchmark, name, stage):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
