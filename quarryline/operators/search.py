@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import partial_similarity
+from ..functions.similarity import partial_similarity, reaching_similarity
 from ..functions.text import strip
 from ..session import checkpointed
 from . import ordering
@@ -33,8 +33,9 @@ class Term:
 
 def blocks(docs: DataFrame, pattern: str = r"\n", page_blocks: int = 5) -> DataFrame:
     """doc_id, page_no, sequence_no, content of each non-blank part of a text; numbers count the blank ones too."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", pattern)).alias("sequence_no", "part"))
-    return parts.select("doc_id", F.floor(F.col("sequence_no") / page_blocks).cast("int").alias("page_no"), "sequence_no", strip(F.col("part")).alias("content")).filter("content != ''")
+    # Stripped before they are exploded, so that content is a column: conditions on it do not repeat the stripping.
+    parts = docs.select("doc_id", F.posexplode(F.transform(F.split("text", pattern), strip)).alias("sequence_no", "content")).filter("content != ''")
+    return parts.select("doc_id", F.floor(F.col("sequence_no") / page_blocks).cast("int").alias("page_no"), "sequence_no", "content")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -48,11 +49,15 @@ def with_neighbours(units: DataFrame, within: tuple[str, ...] = ("doc_id",), ord
     return units.withColumns({"previous": F.lag("content").over(w), "next": F.lead("content").over(w)})
 
 
-def term_score(text: Column, term: Term, mode: str = "exact", fuzzy: float = 82.0, semantic: Column | None = None, semantic_least: float = 0.18) -> Column:
-    """struct(term, matched, score): a contained variant scores 100; fuzzy modes take the best window of each variant."""
+def term_score(text: Column, term: Term, mode: str = "exact", fuzzy: float = 82.0, semantic: Column | None = None, semantic_least: float = 0.18, near: Column | None = None) -> Column:
+    """struct(term, matched, score): a contained variant scores 100; fuzzy modes take the best window of each variant.
+
+    near is that window's ratio if it is known already.
+    """
     lowered = F.lower(text)
     contained = functools.reduce(operator.or_, (lowered.contains(v) for v in term.variants), F.lit(False))
-    near = F.greatest(F.lit(0.0), *(partial_similarity(F.lit(v), lowered) for v in term.variants)) if mode in ("fuzzy", "hybrid") else F.lit(0.0)
+    if near is None:
+        near = F.greatest(F.lit(0.0), *(partial_similarity(F.lit(v), lowered) for v in term.variants)) if mode in ("fuzzy", "hybrid") else F.lit(0.0)
     meaning = F.coalesce(semantic, F.lit(0.0)) if semantic is not None else F.lit(0.0)
     if mode == "semantic":
         matched, score = meaning >= semantic_least, meaning * 100
@@ -83,10 +88,23 @@ def scored(units: DataFrame, terms: list[Term], logic: str = "and", **how) -> Da
     each = how.pop("semantic", None)  # a column for one term, or the name of an array with a score for each
     semantic = [F.col(each)[i] if isinstance(each, str) else each for i in range(len(terms))]
     may = [F.coalesce(may_match(F.col("content"), t, semantic=m, **how), F.lit(False)) for t, m in zip(terms, semantic, strict=True)]
-    likely = units.filter(functools.reduce(operator.and_ if logic == "and" else operator.or_, may))
-    matches = likely.withColumn("matches", F.array(*(term_score(F.col("content"), t, semantic=m, **how) for t, m in zip(terms, semantic, strict=True))))
+    units = units.filter(functools.reduce(operator.and_ if logic == "and" else operator.or_, may))
     test = F.forall if logic == "and" else F.exists
-    kept = matches.filter(test("matches", lambda m: m["matched"]))
+    nears, added = [None] * len(terms), []
+
+    def matches() -> Column:
+        return F.array(*(term_score(F.col("content"), t, semantic=m, near=n, **how) for t, m, n in zip(terms, semantic, nears, strict=True)))
+
+    if how.get("mode") in ("fuzzy", "hybrid"):
+        # Which windows can match is told by their grams, and only those are compared; then what matches too few terms goes.
+        text, added = F.lower("content"), [f"_near{i}" for i in range(len(terms))]
+        units = units.withColumns({n: reaching_similarity(t.variants, how.get("fuzzy", 82.0))(text) for n, t in zip(added, terms, strict=True)})
+        nears = [F.coalesce(n, F.lit(0.0)) for n in added]
+        units = units.filter(test(matches(), lambda m: m["matched"]))
+        if logic == "or" or how["mode"] == "hybrid":  # a hit's terms may be below the threshold: they score by all windows
+            open_ = [F.when(F.col(n).isNull() & ~functools.reduce(operator.or_, (text.contains(v) for v in t.variants), F.lit(False)), text) for n, t in zip(added, terms, strict=True)]
+            nears = [F.coalesce(n, F.greatest(F.lit(0.0), *(partial_similarity(F.lit(v), o) for v in t.variants))) for n, o, t in zip(added, open_, terms, strict=True)]
+    kept = units.withColumn("matches", matches()).filter(test("matches", lambda m: m["matched"])).drop(*added)
     return kept.withColumn("score", F.aggregate("matches", F.lit(0.0), lambda s, m: s + m["score"]) / len(terms))
 
 

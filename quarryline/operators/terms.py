@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import token_similarity
 from ..functions.text import normalised, strip, tokens
+from ..session import checkpointed
 from .components import connected_components
 
 
@@ -54,16 +55,101 @@ def shared_spellings(terms: DataFrame) -> DataFrame:
 SIMILARITY, MOST_TERMS, MOST_CLUSTERS = 85.0, 2000, 50
 
 
-def similar_names(terms: DataFrame, least: float = SIMILARITY, most: int = MOST_TERMS) -> DataFrame:
-    """(u, v, similarity) of each two of the first so many names, in order of the name, whose token sets are alike.
+#: Rows of a key that one task joins on one side at most, about.
+KEY_ROWS = 2048
 
-    The number of terms is a limit of the feature; all their pairs are compared, so none is lost to a key.
+
+def _salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The join of left and right on a key; a key with many rows on the right is split, its left rows going to every part."""
+    counts = right.groupBy(key).agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("_parts"))
+    dealt = right.join(counts, key).withColumn("_part", F.pmod(F.xxhash64("v"), F.col("_parts")).cast("int")).drop("_parts")
+    every = left.join(counts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return every.join(dealt, [key, "_part"])
+
+
+def candidate_pairs(names: DataFrame, least: float) -> DataFrame:
+    """(u, v), u < v, of distinct names among which are all whose token_set_ratio is at least ``least``.
+
+    Of two names let s be the common tokens, x and y all tokens of either, each joined by blanks, in letters n and m. The ratio
+    is the greatest of three (or 100 where a name has no other tokens, which the first condition covers):
+
+    * s against x or y. s begins x, so the ratio reaches ``least`` if and only if s has at least r = least / (200 - least) of
+      the letters of x. A name's tokens are ordered by rarity; the last ones, together shorter than that, cannot do alone. So one
+      of the first ones is shared: these are looked up among all tokens, and the letters of s are then counted.
+    * x against y, common tokens first. It reaches ``least`` if their common subsequence has L >= least (n + m) / 200 letters.
+      With a blank at either end, the pairs of neighbouring letters of a text are those of its tokens between blanks, in
+      whatever order, n + 1 of them. Each of the n - L letters left out breaks two of x, each of the m - L between breaks
+      one, so at least O = 3 L + 1 - n - m of them are common (for a low ``least`` letters are taken instead: O = L). Of k
+      features ordered by rarity, rarest first, two texts with O in common share j among the first k - O + j of each, for any
+      j up to O; and after the j-th that they share there are at least O - j on both sides. A key is a combination of j = 3 such
+      features for short names, of two or one for long ones, that would have too many.
+
+    Features and tokens of many names are split over tasks. Nothing is compared that shares no rare part.
+    """
+    c, r = least / 200.0, least / (200.0 - least)
+    norm = names.select(F.col("name").alias("v"), F.filter(F.array_sort(F.array_distinct(F.split(normalised(F.col("name")), " "))), lambda t: t != "").alias("tokens")).filter(F.size("tokens") > 0)
+    norm = checkpointed(norm.withColumn("n", F.char_length(F.array_join("tokens", " "))))
+
+    def ordered(part: DataFrame, key: str) -> DataFrame:
+        """part(v, key, ...) with each one's place at among its name's, the rarest first."""
+        rarity = part.groupBy(key).agg(F.count("*").alias("_df"))
+        return part.join(rarity, key).withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("_df", key))).drop("_df")
+
+    def letters(tokens: Column) -> Column:
+        return F.char_length(F.array_join(tokens, " "))
+
+    tokens = norm.select("v", "n", "tokens", F.explode("tokens").alias("token"))
+    rest = Window.partitionBy("v").orderBy(F.desc("at"))
+    needed = ordered(tokens, "token").withColumn("_rest", F.sum(F.char_length("token") + 1).over(rest) - 1).filter(F.col("_rest") >= r * F.col("n") - 1e-9)
+    needed = needed.select("token", F.col("v").alias("u"), F.col("tokens").alias("_own"), F.col("n").alias("_n"))
+    sharing = _salted(needed, tokens.select("token", "v", "tokens"), "token").filter((F.col("u") != F.col("v")) & (letters(F.array_intersect("_own", "tokens")) >= r * F.col("_n") - 1e-9)).select("u", "v")
+
+    if 3 * c > 1:
+        grams = F.flatten(F.transform("tokens", lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t) + 1), lambda i: F.substring(F.concat(F.lit(" "), t, F.lit(" ")), i, F.lit(2)))))
+        size, common = F.col("n") + 1, lambda total: 3 * F.ceil(c * total - 1e-9) + 1 - total
+        fewest = F.ceil((3 * c - 1) * (F.col("n") + F.ceil(r * F.col("n") - 1e-9)) + 1 - 1e-9)
+    else:
+        grams = F.split(F.array_join("tokens", " "), "")
+        size, common = F.col("n"), lambda total: F.ceil(c * total - 1e-9)
+        fewest = F.ceil(c * (F.col("n") + F.ceil(r * F.col("n") - 1e-9)) - 1e-9)
+    counted = F.transform("_grams", lambda g, i: F.concat(g, F.size(F.filter(F.slice("_grams", F.lit(1), i), lambda x: x == g)).cast("string")))  # the second of a kind is another feature
+    features = norm.withColumn("_grams", grams).select("v", "n", size.alias("size"), fewest.alias("_fewest"), F.explode(counted).alias("feature"))
+    rare = F.transform(F.array_sort(F.collect_list(F.struct("at", "feature"))), lambda x: x["feature"])
+    first = checkpointed(ordered(features, "feature").filter(F.col("at") <= F.col("size") - F.col("_fewest") + 3).groupBy("v", "n", "size", "_fewest").agg(rare.alias("rare")))
+
+    def level(total: Column) -> Column:
+        """How many shared features a key names, by the letters of a pair: as many as leave a name hundreds of keys."""
+        return F.when((total <= 48) & (common(total) >= 3), 3).when((total <= 120) & (common(total) >= 2), 2).otherwise(1)
+
+    def keyed(k: int) -> DataFrame:
+        """v, n, size, key, at of every combination of k of a name's first features; at is the place of the last one."""
+        most = {1: (F.col("n") * (1 + 1 / r) > 120) | (F.col("_fewest") < 3), 2: (F.col("n") * (1 + r) <= 120), 3: F.col("n") * (1 + r) <= 48}[k]
+        few = F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.greatest("_fewest", F.lit(k)) + k).cast("int"))
+        keys = F.transform("rare", lambda x, i: F.struct((i + 1).alias("at"), F.xxhash64(x).alias("key")))
+        for _ in range(k - 1):
+            more = lambda e: F.transform(F.filter(F.transform("rare", lambda x, i: F.struct((i + 1).alias("at"), x.alias("x"))), lambda o: o["at"] > e["at"]), lambda o: F.struct(o["at"].alias("at"), F.xxhash64(e["key"], o["x"]).alias("key")))
+            keys = F.flatten(F.transform(keys, more))
+        return first.filter(most).withColumn("rare", few).select("v", "n", "size", F.explode(keys).alias("k")).select("v", "n", "size", "k.key", "k.at")
+
+    total = F.col("n") + F.col("_n")
+    for k in (1, 2, 3):
+        one = keyed(k)
+        other = one.select("key", F.col("v").alias("u"), F.col("n").alias("_n"), F.col("size").alias("_size"), F.col("at").alias("_at"))
+        enough = k + F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) >= common(total)
+        alike = _salted(other, one, "key").filter((F.col("u") < F.col("v")) & (F.least("n", "_n") >= r * F.greatest("n", "_n") - 1e-9) & (level(total) == k) & enough)
+        sharing = sharing.union(alike.select("u", "v"))
+    return sharing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def similar_names(terms: DataFrame, least: float = SIMILARITY, most: int | None = MOST_TERMS) -> DataFrame:
+    """(u, v, similarity) of each two names, or of the first so many in order of the name, whose token sets are alike.
+
+    The number of terms is a limit of the feature; without it all names are joined. No pair is lost to a key.
     """
-    few = terms.select("name").filter("name is not null").distinct().orderBy("name").limit(most)
-    spread = few.repartition(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
-    pairs = spread.toDF("u").join(F.broadcast(few.toDF("v")), F.col("u") < F.col("v"))  # most rows of one name
+    names = terms.select("name").filter("name is not null").distinct()
+    names = names.orderBy("name").limit(most) if most else names
     norm = [normalised(F.col(c)) for c in ("u", "v")]
-    return pairs.withColumn("similarity", token_similarity(*norm)).filter(F.col("similarity") >= least)
+    return candidate_pairs(names, least).withColumn("similarity", token_similarity(*norm)).filter(F.col("similarity") >= least)
 
 
 def clusters(terms: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -83,9 +169,9 @@ def clusters(terms: DataFrame, edges: DataFrame, most: int | None = None) -> Dat
     return both if most is None else both.orderBy(F.desc("size"), F.desc("similarity"), "cluster").limit(most)
 
 
-def suggested_synonyms(terms: DataFrame, least: float = SIMILARITY, most_terms: int = MOST_TERMS, most_clusters: int = MOST_CLUSTERS) -> DataFrame:
-    """clusters of the first so many terms(name, aliases, occurrences): linked where they share a spelling or are alike."""
-    few = terms.orderBy("name").limit(most_terms)
+def suggested_synonyms(terms: DataFrame, least: float = SIMILARITY, most_terms: int | None = MOST_TERMS, most_clusters: int | None = MOST_CLUSTERS) -> DataFrame:
+    """clusters of the first so many terms(name, aliases, occurrences), or of all: linked where they share a spelling or are alike."""
+    few = terms.orderBy("name").limit(most_terms) if most_terms else terms
     shared = shared_spellings(few).withColumn("similarity", F.lit(100.0))
     return clusters(few, shared.unionByName(similar_names(few, least, most_terms)), most_clusters)
 

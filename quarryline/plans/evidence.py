@@ -188,6 +188,15 @@ def similar_names(spark: SparkSession, d: str) -> DataFrame:
     return M.similar_names(names.distinct())
 
 
+@query("suggested_synonyms")
+def suggested_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of all names of parts, nations and regions that are alike, the largest first; a name's rows are its occurrences."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).unionAll(table(spark, d, "nation").select("n_name")).unionAll(table(spark, d, "region").select("r_name"))
+    terms = names.groupBy("name").agg(F.count("*").alias("occurrences")).withColumn("aliases", F.array(F.lower("name")))
+    found = M.suggested_synonyms(terms, most_terms=None)
+    return found.select("cluster", "standard", F.array_join("members", "|").alias("members"), "size", "similarity")
+
+
 @query(
     "merge_alias_dedup",
     """WITH a AS (SELECT p_size AS term_id, 0 AS f, dense_rank() OVER (PARTITION BY p_size ORDER BY p_brand) AS p, p_brand AS alias FROM part UNION ALL SELECT p_size, p_partkey, 0, upper(p_name) FROM part UNION ALL SELECT p_size, p_partkey, 1, p_type FROM part UNION ALL SELECT p_size, p_partkey, 2, p_name FROM part)

@@ -18,6 +18,7 @@ BOUNDS = {
     "search_fuzzy": (1, "score >= 82"),
     "search_hybrid": (0, "score >= 40"),
     "search_semantic": (1, "score >= 2.5"),
+    "suggested_synonyms": (1, "size >= 2 and similarity >= 85 and contains(members, standard)"),
     "similar_names": (1, "u < v and similarity >= 85"),
     "text_similarity": (1, "ratio between 0 and 1 and partial between 0 and 100"),
     "train_ridge": (1, "r2 > 0.9"),
