@@ -7,7 +7,7 @@ substring stands at its first or last one: that depends on the k-mer alone, not
 the same anchors wherever it stands, and of ``K - S`` k-mers in a row at least one is an anchor. A text of fewer than ``K``
 tokens has one anchor, all its tokens.
 
-A fingerprint is the number of tokens and the ``KEPT`` anchors of least hash, each packed as 36 bits of hash and 27 bits of
+A fingerprint is the number of tokens and the ``KEPT`` anchors of least hash, each packed as 36 bits of hash and 26 bits of
 its first place (greater places count as the greatest). As text it is the number and the packed anchors in hexadecimal.
 
 ``likeness`` takes the anchors of least hash in the union of two fingerprints, at most ``KEPT``, and the share of them that
@@ -35,11 +35,12 @@ TOKEN = r"[0-9A-Za-z\x{80}-\x{2FFF}]{1,24}|[^\x00-\x20]"
 K, S = 5, 2
 KEPT = 64
 SLACK, BAND = 8, 8
-PLACE_BITS = 27
+#: With 36 bits of hash and one for the side of a comparison they fit 63 bits.
+PLACE_BITS = 26
 
 
 def _packed(digest: Column, place: Column) -> Column:
-    """36 bits of a hash above 27 of a place: never negative."""
+    """36 bits of a hash above 26 of a place: never negative."""
     return F.shiftleft(F.shiftrightunsigned(digest, 64 - 36), PLACE_BITS).bitwiseOR(F.least(place.cast("long"), F.lit((1 << PLACE_BITS) - 1)))
 
 
@@ -122,16 +123,17 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumns({"_i": F.xxhash64("doc_id"), "_a": F.xxhash64("text")})
     order = followers(texts.select("doc_id", "_i", "_a", F.length("text").alias("_n")).distinct())
-    known = fingerprinted(texts, "text", "own")
-
-    # Texts are never broadcast, however small their files; both joins read one shuffle of them.
-    following = known.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("_i").alias("next_i"), F.col("_a").alias("next_a"), F.col("own").alias("next"))
-    begun = order.join(following.hint("merge"), ["next_i", "next_a"])
-    begun = begun.select("_i", "_a", F.substring("_text", F.lit(1), F.floor(F.col("_n") / 3).cast("int")).alias("_begin"), "next").dropDuplicates(["_i", "_a"])
+    # Texts are never broadcast, however small their files; both joins read one shuffle of the same columns. Fingerprints come
+    # after it, as they would make it larger, and plans with lambda functions are not found equal.
+    known = texts.select("text", "_i", "_a").repartition(partitions(docs.sparkSession), "_i", "_a")
+    begun = order.join(known.withColumnsRenamed({"text": "_text", "_i": "next_i", "_a": "next_a"}).hint("merge"), ["next_i", "next_a"])
+    begun = fingerprinted(begun.select("doc_id", "_i", "_a", "_n", "_text"), "_text", "next")
+    begun = begun.select("doc_id", "_i", "_a", F.substring("_text", F.lit(1), F.floor(F.col("_n") / 3).cast("int")).alias("_begin"), "next").dropDuplicates(["_i", "_a"])
 
     both = known.join(begun.hint("merge"), ["_i", "_a"])
     n = F.length("text")
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "own", "next", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("_begin")).alias("_edited"))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("_begin")).alias("_edited"))
+    both = fingerprinted(both, "text", "own").drop("text")
     both = fingerprinted(both, "_edited", "edited")
     both = with_likeness(with_likeness(both, "own", "edited", "near_edited"), "own", "next", "near_next")
     return both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"), "near_edited", "near_next")
