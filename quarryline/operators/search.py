@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import partial_similarity, reaching_similarity
 from ..functions.text import strip
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from . import ordering
 
 MOST_TERMS = 30
+#: Rows of three numbers that are broadcast at most.
+MOST_GRAMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -98,7 +103,7 @@ def scored(units: DataFrame, terms: list[Term], logic: str = "and", **how) -> Da
     if how.get("mode") in ("fuzzy", "hybrid"):
         # Which windows can match is told by their grams, and only those are compared; then what matches too few terms goes.
         text, added = F.lower("content"), [f"_near{i}" for i in range(len(terms))]
-        units = units.withColumns({n: reaching_similarity(t.variants, how.get("fuzzy", 82.0))(text) for n, t in zip(added, terms, strict=True)})
+        units = spread(units).withColumns({n: reaching_similarity(t.variants, how.get("fuzzy", 82.0))(text) for n, t in zip(added, terms, strict=True)})
         nears = [F.coalesce(n, F.lit(0.0)) for n in added]
         units = units.filter(test(matches(), lambda m: m["matched"]))
         if logic == "or" or how["mode"] == "hybrid":  # a hit's terms may be below the threshold: they score by all windows
@@ -173,24 +178,45 @@ def matched_terms(matches: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(F.when(F.size(hit) > 0, hit).otherwise(matches), lambda m: m["term"])), "、")
 
 
+def _gram_counts(texts: list[str], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its different n-grams, as numbers, and their counts."""
+    for t in texts:
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        k = max(0, len(codes) - n + 1)
+        grams = np.zeros(k, np.int64)
+        for i in range(n):
+            grams = grams << 21 | codes[i : i + k]
+        yield np.unique(grams, return_counts=True)
+
+
 def gram_tfidf(texts: DataFrame, query: str, n: int = 3) -> DataFrame:
     """id and cosine of each text(id, text) with a query: character n-grams, idf ln((1 + N) / (1 + df)) + 1, unit length.
 
-    The query is one more text of the corpus. Only texts that share a gram are returned.
+    The query is one more text of the corpus. Only texts that share a gram are returned. Grams are counted inside their text (up
+    to three letters fit a number), so that what is summed by gram is a row for each text and gram, once for each task; the
+    frequencies are broadcast if they are few, and a text's sums are complete in its task.
     """
-    spark = texts.sparkSession
-    asked = spark.range(1).select(F.lit(None).cast(dict(texts.dtypes)["id"]).alias("id"), F.lit(query).alias("text"))
-    corpus = texts.select("id", "text").unionByName(asked)
-    chars = corpus.filter(F.char_length("text") >= n).select("id", F.split(F.lower("text"), "").alias("_c"))
-    grams = F.col("_c")
-    for k in range(1, n):  # pairwise, as cutting each gram out of a long text would walk the text for each
-        left = F.size("_c") - k
-        grams = F.zip_with(F.slice(grams, F.lit(1), left), F.slice("_c", F.lit(k + 1), left), lambda a, b: F.concat(a, b))
-    tf = chars.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df"))
-    total = corpus.count()
-    weighed = tf.join(df, "gram").select("id", "gram", (F.col("tf") * (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1)).alias("w"))
-    asked = weighed.filter("id is null").select("gram", F.col("w").alias("qw"))  # the grams of one query
-    length = F.sqrt(F.lit(asked.agg(F.sum(F.col("qw") * F.col("qw"))).first()[0] or 0.0))
-    joined = weighed.filter("id is not null").join(F.broadcast(asked), "gram", "left")
-    return joined.groupBy("id").agg(F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len")).filter("dot > 0").select("id", (F.col("dot") / (F.col("len") * length)).alias("cosine"))
+    if n > 3:
+        raise ValueError("grams of at most 3 letters")
+    spark, kind = texts.sparkSession, dict(texts.dtypes)["id"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
+                found = list(_gram_counts(part.column("text").to_pylist(), n))
+                at = np.repeat(np.arange(part.num_rows), [len(g) for g, _ in found])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(np.concatenate([g for g, _ in found])), pa.array(np.concatenate([c for _, c in found]))], ["id", "gram", "tf"])
+
+    tf = texts.filter(F.col("text").isNotNull()).select("id", F.lower("text").alias("text")).mapInArrow(work, f"id {kind}, gram long, tf long")
+    (grams, counts), total = next(_gram_counts([query.lower()], n)), texts.count() + 1
+    own = spark.createDataFrame(list(zip(grams.tolist(), counts.tolist(), strict=True)), "gram long, qf long")  # the grams of one query
+    df = checkpointed(tf.groupBy("gram").agg(F.count("*").alias("df")))
+    idf = F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.coalesce("df", F.lit(0)) + F.when(F.col("qf").isNotNull(), 1).otherwise(0))) + 1
+    known = df.join(F.broadcast(own), "gram", "left").select("gram", idf.alias("idf"), (F.coalesce("qf", F.lit(0)) * idf).alias("qw"))
+    asked = own.join(df, "gram", "left").select((F.col("qf") * idf).alias("qw"))
+    length = (asked.agg(F.sum(F.col("qw") * F.col("qw"))).first()[0] or 0.0) ** 0.5
+    known = F.broadcast(known) if df.count() <= MOST_GRAMS else known
+    w = F.col("tf") * F.col("idf")
+    sums = tf.join(known, "gram").groupBy("id").agg(F.sum(w * F.col("qw")).alias("dot"), F.sqrt(F.sum(w * w)).alias("len"))
+    return sums.filter("dot > 0").select("id", (F.col("dot") / (F.col("len") * F.lit(length))).alias("cosine"))

@@ -1,116 +1,259 @@
 """Meaning of texts for terms: cosines of weighted character n-grams, blended with those of a latent space of words.
 
-The texts and the terms are one corpus. Character n-grams of 2 to 5 lie within a word with a blank on either side; words are
-of two letters or more, singly and in pairs. A weight is the count times ln((1 + N) / (1 + n)) + 1, rows have unit length,
-and of each kind the most frequent features are kept. The latent space is that of the largest singular values of the word
-matrix, whose right vectors (features by components, a bound of the feature) are all the driver holds.
+Character n-grams of 2 to 5 lie within a word with a blank on either side; words are of two letters or more, singly and in
+pairs. A weight is the count times ln((1 + N) / (1 + n)) + 1, rows have unit length, and of each kind the most frequent
+``FEATURES`` are kept. The latent space is that of the largest singular values of the word matrix.
+
+A ``Space`` holds what is fitted: the features of both kinds with their weights and the right singular vectors, features by
+components, a size that is fixed by the feature and not by the corpus. ``fit`` finds it, ``Space.save`` and ``load`` keep it, and
+``scores`` is one pass over the texts that shuffles nothing. A space may be fitted on a corpus once and used for many
+searches, or, as ``semantic_scores`` does, on the texts and the terms of one search together.
+
+Singular vectors come from subspace iteration: a pass multiplies the sparse rows of its task with a block of
+``components + EXTRA`` vectors and back, tasks' products are added in two steps by blocks of features, and the driver
+orthogonalises the sum, until the leading components stand still. Where the block is as wide as the rows or the features are
+many, that is after the first pass.
 """
 
 from __future__ import annotations
 
+import math
+import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .ordering import numbered
+from ..session import checkpointed, spread
 
 #: Sizes of n-grams, features, components, shares of the two cosines.
 SIZES, FEATURES, COMPONENTS, BY_CHARS, BY_WORDS = (2, 5), 30_000, 128, 0.45, 0.55
+#: Vectors beyond the components, passes at most, and how little the components' energy may still grow.
+EXTRA, PASSES, STILL = 16, 6, 1e-9
+#: Features of a product that is added at once; grams that a task counts, or words it remembers, before it lets them go.
+BLOCK, HELD = 1024, 300_000
+WORD = re.compile(r"\b\w\w+\b")
+
+
+class Numbers:
+    """The numbers of a text's grams, repeats included; grams that are not known get the next number, or none if known is given.
+
+    A word's n-grams are numbered once, as texts repeat their words.
+    """
+
+    def __init__(self, kind: str, known: dict[str, int] | None = None):
+        self.kind, self.grows = kind, known is None
+        self.number = {} if known is None else known
+        self.words: dict[str, np.ndarray] = {}
+
+    def _of(self, grams: list[str]) -> np.ndarray:
+        if self.grows:
+            return np.fromiter((self.number.setdefault(g, len(self.number)) for g in grams), np.int64, len(grams))
+        return np.array([k for g in grams if (k := self.number.get(g)) is not None], np.int64)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.kind == "word":
+            words = WORD.findall(text.lower())
+            return self._of(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])
+        parts = []
+        for word in text.lower().split():
+            found = self.words.get(word)
+            if found is None:
+                if len(self.words) > HELD:
+                    self.words.clear()
+                w = f" {word} "
+                found = self.words[word] = self._of([w[i : i + n] for n in range(SIZES[0], min(SIZES[1], len(w)) + 1) for i in range(len(w) - n + 1)])
+            parts.append(found)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def features(texts: DataFrame, kind: str, most: int = FEATURES) -> dict[str, int]:
+    """The most frequent grams of texts(text), of equally frequent ones the first, with the number of texts that have them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, every, having = Numbers(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def emitted() -> pa.RecordBatch:
+            k = len(numbers.number)
+            return pa.RecordBatch.from_arrays([pa.array(list(numbers.number), pa.string()), pa.array(every[:k]), pa.array(having[:k])], ["gram", "n", "df"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found, n = np.unique(numbers(text or ""), return_counts=True)
+                if len(numbers.number) > len(every):
+                    every, having = (np.r_[x, np.zeros(len(numbers.number), np.int64)] for x in (every, having))
+                every[found] += n
+                having[found] += 1
+                if len(numbers.number) > HELD:
+                    yield emitted()
+                    numbers, every, having = Numbers(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield emitted()
+
+    counted = texts.select("text").mapInArrow(work, "gram string, n long, df long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    rows = counted.orderBy(F.desc("n"), "gram").limit(most).collect()  # a bounded number of features
+    return {r["gram"]: r["df"] for r in sorted(rows, key=lambda r: r["gram"])}
+
 
+@dataclass
+class Side:
+    """The features of one kind: their numbers and inverse document frequencies."""
 
-def char_grams(text: Column) -> Column:
-    """The n-grams of each word between blanks; a word shorter than n gives itself once."""
-    words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    kind: str
+    number: dict[str, int]
+    idf: np.ndarray
 
-    def of(w: Column) -> Column:
-        sizes = F.sequence(F.lit(SIZES[0]), F.least(F.lit(SIZES[1]), F.char_length(w)))
-        return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.char_length(w) - n + 1), lambda i: F.substring(w, i, n))))
+    def rows(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Feature numbers and weights of each text's unit row."""
+        numbers = Numbers(self.kind, self.number)
+        for text in texts:
+            at, n = np.unique(numbers(text), return_counts=True)
+            w = n * self.idf[at]
+            yield at, w / max(math.sqrt(float(w @ w)), 1e-300)
 
-    return F.flatten(F.transform(words, of))
+    def products(self, texts: list[str], right: np.ndarray) -> np.ndarray:
+        """Each text's row times right (features by columns)."""
+        out = np.zeros((len(texts), right.shape[1]))
+        for k, (at, w) in enumerate(self.rows(texts)):
+            out[k] = w @ right[at]
+        return out
 
 
-def word_grams(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(\w\w+)\b"))
-    rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.concat(words, F.zip_with(firsts, rest, lambda a, b: F.concat(a, F.lit(" "), b)))
+def side(texts: DataFrame, kind: str, total: int, most: int = FEATURES) -> Side:
+    found = features(texts, kind, most)
+    idf = np.log((1.0 + total) / (1.0 + np.array(list(found.values()), float))) + 1
+    return Side(kind, {g: k for k, g in enumerate(found)}, idf)
 
 
-def weighted(corpus: DataFrame, grams: Column, most: int = FEATURES) -> DataFrame:
-    """key, gram, w of corpus(key, text): unit rows over the most frequent features, of equally frequent ones the first."""
-    total = corpus.count()
-    tf = checkpointed(corpus.select("key", F.explode(grams).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("tf")))
-    features = tf.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "gram").limit(most).select("gram", "df")
-    w = tf.join(features, "gram").select("key", "gram", (F.col("tf") * (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1)).alias("w"))
-    length = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return w.join(length, "key").select("key", "gram", (F.col("w") / F.col("length")).alias("w"))
+def _multiplied(rows: DataFrame, vectors: np.ndarray) -> np.ndarray:
+    """A' A V over rows(at, w), the sparse rows of A: tasks' products, added by blocks of features in two steps."""
+    spark, width = rows.sparkSession, vectors.shape[1]
+    shared = spark.sparkContext.broadcast(vectors)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        out = np.zeros_like(v)
+        for batch in batches:
+            ends = batch.column("at").offsets.to_numpy()
+            at, w = batch.column("at").values.to_numpy(), batch.column("w").values.to_numpy()
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                mine = v[at[a:b]]  # a row's features differ, so they are added to at once
+                out[at[a:b]] += w[a:b, None] * (w[a:b] @ mine)
+        task = TaskContext.get().partitionId() % 64
+        for k in range(0, len(out), BLOCK):
+            if out[k : k + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([out[k : k + BLOCK].tobytes()], pa.binary())], ["block", "task", "sum"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, key = None, None
+        for batch in batches:
+            key = (batch.column("block")[0], batch.column("task")[0]) if key is None else key
+            for cell in batch.column("sum"):
+                part = np.frombuffer(cell.as_py())
+                total = part.copy() if total is None else total + part
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "task", "sum"])
+
+    schema = "block int, task int, sum binary"
+    sums = rows.mapInArrow(work, schema).groupBy("block", "task").applyInArrow(added, schema)
+    sums = sums.groupBy("block").applyInArrow(added, schema)
+    out = np.zeros_like(vectors)
+    for r in sums.collect():  # features by vectors, whatever the number of texts
+        part = np.frombuffer(r["sum"]).reshape(-1, width)
+        out[r["block"] : r["block"] + len(part)] = part
+    return out
+
+
+def right_vectors(rows: DataFrame, n: int, components: int, seed: int = 42) -> np.ndarray:
+    """The right singular vectors (n by components) of the largest singular values of the sparse rows(at, w)."""
+    width = min(n, components + EXTRA)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
+    energy = 0.0
+    for _ in range(PASSES):
+        product = _multiplied(rows, basis)
+        values, turn = np.linalg.eigh(basis.T @ product)
+        now = float(values[::-1][:components].sum())
+        vectors = (basis @ turn)[:, ::-1][:, :components]
+        basis = np.linalg.qr(product @ turn[:, ::-1])[0]
+        if now - energy <= STILL * now:
+            break
+        energy = now
+    return vectors
+
+
+@dataclass
+class Space:
+    """Fitted features and the latent space; vectors is None where the words span fewer than two components."""
 
-def _corpus(units: DataFrame, terms: list[str]) -> DataFrame:
-    """key (a struct of the unit's id, or of a term's place) and text."""
-    kind = dict(units.dtypes)["id"]
-    asked = units.sparkSession.createDataFrame(list(enumerate(terms)), "t int, text string")
-    own = units.select(F.struct(F.col("id"), F.lit(None).cast("int").alias("t")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.unionByName(asked.select(F.struct(F.lit(None).cast(kind).alias("id"), F.col("t")).alias("key"), "text"))
+    char: Side
+    word: Side
+    vectors: np.ndarray | None
 
+    def placed(self, texts: list[str]) -> np.ndarray | None:
+        return None if self.vectors is None else self.word.products(texts, self.vectors)
 
-def char_cosines(corpus: DataFrame, most: int = FEATURES) -> DataFrame:
-    """id, t, char of units and terms that share an n-gram."""
-    w = checkpointed(weighted(corpus, char_grams(F.col("text")), most))
-    asked = w.filter("key.t is not null").select("gram", F.col("key.t").alias("t"), F.col("w").alias("qw"))
-    return w.filter("key.t is null").join(asked, "gram").groupBy(F.col("key.id").alias("id"), "t").agg(F.sum(F.col("w") * F.col("qw")).alias("char"))
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """As Parquet: a row for each feature."""
+        rows = [(s.kind, g, k, float(s.idf[k]), None if s.kind == "char" or self.vectors is None else self.vectors[k].tolist()) for s in (self.char, self.word) for g, k in s.number.items()]
+        spark.createDataFrame(rows, "kind string, gram string, number int, idf double, vector array<double>").repartition(8, "kind", "number").write.mode("overwrite").parquet(os.path.join(folder, "features"))
 
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Space:
+        rows = spark.read.parquet(os.path.join(folder, "features")).orderBy("kind", "number").toArrow().to_pylist()
+        sides = [Side(k, {r["gram"]: r["number"] for r in rows if r["kind"] == k}, np.array([r["idf"] for r in rows if r["kind"] == k])) for k in ("char", "word")]
+        vectors = [r["vector"] for r in rows if r["kind"] == "word"]
+        return Space(*sides, np.array(vectors) if vectors and vectors[0] is not None else None)
 
-def latent_rows(corpus: DataFrame, components: int = COMPONENTS, most: int = FEATURES) -> DataFrame | None:
-    """key and v, the text's place in the latent space; None where the words span fewer than two components."""
-    w = weighted(corpus, word_grams(F.col("text")), most)
-    index = checkpointed(numbered(w.select("gram").distinct(), ["gram"], "at"))
-    n = index.count()
-    k = min(components, corpus.count() - 1, n - 1)
+
+def fit(texts: DataFrame, components: int = COMPONENTS, most: int = FEATURES) -> Space:
+    """The space of texts(text); a null text counts as an empty one."""
+    spark, texts = texts.sparkSession, spread(texts.select("text"))
+    total = texts.count()
+    char, word = side(texts, "char", total, most), side(texts, "word", total, most)
+    n = len(word.number)
+    k = min(components, total - 1, n - 1)
     if k < 2:
-        return None
-    sparse = checkpointed(w.join(index, "gram").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("row")))
-    rows = sparse.select("row").rdd.map(lambda r: Vectors.sparse(n, [e["at"] for e in r["row"]], [e["w"] for e in r["row"]]))
-    svd = RowMatrix(rows, numCols=n).computeSVD(k)
-    shared = corpus.sparkSession.sparkContext.broadcast(svd.V.toArray())
+        return Space(char, word, None)
+    shared = spark.sparkContext.broadcast(word)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(shared.value.rows([t or "" for t in batch.column(0).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.float64()))], ["at", "w"])
+
+    rows = texts.select("text").mapInArrow(work, "at array<long>, w array<double>").filter(F.size("at") > 0)
+    rows = checkpointed(rows)
+    return Space(char, word, right_vectors(rows, n, k))
+
+
+def scores(units: DataFrame, terms: list[str], space: Space) -> DataFrame:
+    """id and scores, one for each term, of every unit(id, text): one pass, nothing is shuffled."""
+    char = np.zeros((len(space.char.number), len(terms)))
+    for j, (at, w) in enumerate(space.char.rows(terms)):
+        char[at, j] = w
+    asked = space.placed(terms)
+    shared = units.sparkSession.sparkContext.broadcast((space, char, asked))
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, length, out=np.zeros_like(x), where=length > 1e-12)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right = shared.value
+        space, char, asked = shared.value
         for batch in batches:
-            out = []
-            for row in batch.column("row").to_pylist():
-                out.append((np.array([e["w"] for e in row]) @ right[[e["at"] for e in row]]).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.float64()))], ["key", "v"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            out = space.char.products(texts, char)
+            if asked is not None:
+                out = BY_CHARS * out + BY_WORDS * np.maximum(0.0, unit(space.placed(texts)) @ unit(asked).T)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(out), pa.list_(pa.float64()))], ["id", "scores"])
 
-    return sparse.mapInArrow(work, f"key {dict(sparse.dtypes)['key']}, v array<double>")
+    return spread(units.select("id", "text")).mapInArrow(work, f"id {dict(units.dtypes)['id']}, scores array<double>")
 
 
 def semantic_scores(units: DataFrame, terms: list[str], components: int = COMPONENTS, most: int = FEATURES) -> DataFrame:
-    """id and scores, one for each term, of every unit(id, text)."""
-    corpus = checkpointed(_corpus(units, terms))
-    char = char_cosines(corpus, most)
-    latent = latent_rows(corpus, components, most)
-    zero = F.array(*(F.lit(0.0) for _ in terms))
-    by_char = char.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "char"))).alias("m")).select("id", F.array(*(F.coalesce(F.col("m")[i], F.lit(0.0)) for i in range(len(terms)))).alias("char"))
-    out = units.select("id").distinct().join(by_char, "id", "left").withColumn("char", F.coalesce("char", zero))
-    if latent is None:
-        return out.select("id", F.col("char").alias("scores"))
-    placed = checkpointed(latent)
-    asked = {r["key"]["t"]: r["v"] for r in placed.filter("key.t is not null").collect()}  # a vector for each term
-
-    def cosine(v: Column, q: list[float] | None) -> Column:
-        if q is None or not any(q):
-            return F.lit(0.0)
-        dot = F.aggregate(F.zip_with(v, F.array(*map(F.lit, q)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return F.when(own > 0, F.greatest(F.lit(0.0), dot / (own * float(np.linalg.norm(q))))).otherwise(0.0)
-
-    by_word = placed.filter("key.t is null").select(F.col("key.id").alias("id"), F.array(*(cosine(F.col("v"), asked.get(i)) for i in range(len(terms)))).alias("word"))
-    both = out.join(by_word, "id", "left").withColumn("word", F.coalesce("word", zero))
-    return both.select("id", F.zip_with("char", "word", lambda c, w: BY_CHARS * c + BY_WORDS * w).alias("scores"))
+    """The same by the space of the units and the terms together."""
+    asked = units.sparkSession.createDataFrame([(t,) for t in terms], "text string")
+    return scores(units, terms, fit(units.select("text").unionByName(asked), components, most))

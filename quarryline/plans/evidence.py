@@ -74,24 +74,26 @@ def search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("doc_id", "page_no", "sequence_no", F.round("score", 6).alias("score"))
 
 
+def _meant(units: DataFrame, terms: list[S.Term]) -> DataFrame:
+    """units with the scores of the terms' meaning, by the space of the units and the terms."""
+    named = units.withColumn("id", F.concat_ws(":", "doc_id", "sequence_no"))
+    return named.join(semantic_scores(named.select("id", F.col("content").alias("text")), [t.text for t in terms]), "id").drop("id")
+
+
 @query("search_hybrid")
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    units = S.blocks(table(spark, d, "documents"))
-    named = units.withColumn("id", F.concat_ws(":", "doc_id", "sequence_no"))
-    meaning = S.gram_tfidf(named.select("id", F.col("content").alias("text")), "gnu general public license")
-    near = named.join(meaning, "id", "left")
-    hits = S.scored(near, [S.Term("gnu general public license")], mode="hybrid", semantic=F.col("cosine"), semantic_least=0.4)
+    """Blocks that hold a term, or are like it in letters or in meaning."""
+    terms = [S.Term("gnu general public license")]
+    hits = S.scored(_meant(S.blocks(table(spark, d, "documents")), terms), terms, mode="hybrid", semantic="scores", semantic_least=0.4)
     return hits.select("doc_id", "page_no", "sequence_no", F.round("score", 6).alias("score"))
 
 
 @query("search_semantic")
 def search_semantic(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items by blended meaning for two terms; either may match."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    """Blocks by blended meaning for two terms; either may match."""
     terms = [S.Term("water and air"), S.Term("history of the nation")]
-    units = items.join(semantic_scores(items, [t.text for t in terms]), "id").select(F.col("id").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("sequence_no"), F.col("text").alias("content"), "scores")
-    hits = S.scored(units, terms, "or", mode="semantic", semantic="scores", semantic_least=0.05)
-    return hits.select("doc_id", F.round("score", 6).alias("score"), S.matched_terms(F.col("matches")).alias("matched"))
+    hits = S.scored(_meant(S.blocks(table(spark, d, "documents")), terms), terms, "or", mode="semantic", semantic="scores")
+    return hits.select("doc_id", "page_no", "sequence_no", F.round("score", 6).alias("score"), S.matched_terms(F.col("matches")).alias("matched"))
 
 
 QUERY = "the nation of water"
