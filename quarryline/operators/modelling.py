@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians: one aggregation, one row to the driver."""
@@ -106,9 +110,20 @@ ESTIMATORS = {
 }
 
 
+#: Classifiers that want inputs of one scale; the second one also the number of inputs and of classes.
+SCALED = {
+    "linear_svc": lambda y, seed, n, classes: OneVsRest(labelCol=y, classifier=LinearSVC(maxIter=50, regParam=0.001)),
+    "neural_classifier": lambda y, seed, n, classes: MultilayerPerceptronClassifier(labelCol=y, layers=[n, 16, classes], maxIter=150, seed=seed),
+}
+
+
 def trained(rows: DataFrame, inputs: list[str], y: str, code: str, seed: int = 42):
-    """A fitted pipeline of an assembler and an estimator."""
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), ESTIMATORS[code](y, seed)]).fit(rows)
+    """A fitted pipeline of an assembler and an estimator, with a scaler between them where the estimator wants one."""
+    if code not in SCALED:
+        return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), ESTIMATORS[code](y, seed)]).fit(rows)
+    classes = int(rows.agg(F.max(y)).first()[0]) + 1
+    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
+    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="raw_features"), scaler, SCALED[code](y, seed, len(inputs), classes)]).fit(rows)
 
 
 def candidates(spark, ranges: dict[str, tuple[float, float] | list], n: int, seed: int) -> DataFrame:
@@ -126,13 +141,31 @@ def best_candidates(predicted: DataFrame, score: Column, most: int) -> DataFrame
     return few.withColumn("rank", F.row_number().over(Window.orderBy("score", "candidate")))
 
 
+def _uniform(*parts: Column) -> Column:
+    """A number above 0 and at most 1 by a digest of the parts, the same on every run."""
+    key = F.md5(F.concat_ws("/", *(p.cast("string") for p in parts)))
+    return (F.conv(F.substring(key, 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)
+
+
 def augmented(rows: DataFrame, numeric: list[str], share: float, noise: float, seed: int) -> DataFrame:
-    """rows and a share of them again, picked by digest, numbers moved by a few hundredths of the column's deviation."""
-    sd = rows.agg(*(F.stddev_samp(c).alias(c) for c in numeric)).first()
-    key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.to_json(F.struct(*rows.columns))))
-    more = rows.withColumn("_u", F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)).filter(F.col("_u") < share)
-    moved = {c: F.col(c) + (F.col("_u") / share - 0.5) * 2 * noise * (sd[c] or 0.0) for c in numeric}
-    return rows.withColumn("is_augmented", F.lit(False)).unionByName(more.withColumns(moved).drop("_u").withColumn("is_augmented", F.lit(True)))
+    """rows and, marked, max(1, int(n * share)) of them drawn with replacement, numbers moved by normal noise.
+
+    The noise of a column has ``noise`` of its sample deviation; null numbers stay null, other columns are those of the row
+    drawn. Draws are digests of the seed and the draw's number over rows numbered by all their columns, so they are the same
+    on every run; one join of draws with row numbers, whatever the share.
+    """
+    found = rows.agg(F.count("*").alias("_n"), *(F.stddev_samp(c).alias(c) for c in numeric)).first()
+    n, spark = found["_n"], rows.sparkSession
+    marked = rows.withColumn("is_augmented", F.lit(False))
+    if not n:
+        return marked
+    draws = spark.range(max(1, int(n * share))).withColumn("_at", F.least(F.lit(n - 1), F.floor(_uniform(F.lit(seed), F.col("id")) * n)))
+    more = numbered(rows, [F.col(c) for c in rows.columns], "_at").join(draws, "_at")
+    for c in numeric:
+        wide = noise * (found[c] or 0.0)
+        normal = F.sqrt(-2 * F.log(_uniform(F.lit(f"{seed}/{c}/r"), F.col("id")))) * F.cos(2 * math.pi * _uniform(F.lit(f"{seed}/{c}/a"), F.col("id")))
+        more = more.withColumn(c, F.col(c) + wide * normal)
+    return marked.unionByName(more.select(*rows.columns, F.lit(True).alias("is_augmented")))
 
 
 def histogram(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -108,7 +108,7 @@ def augmented_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _fitted(code: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        classify = code in ("logistic", "random_forest_classifier", "gradient_boosting_classifier")
+        classify = code in ("logistic", "random_forest_classifier", "gradient_boosting_classifier", *ML.SCALED)
         rows = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", ((F.col("l_quantity") * F.col("l_discount") > 1.2).cast("double") if classify else 3 * F.col("l_quantity") - 40 * F.col("l_discount") + F.col("l_linenumber")).alias("label"))
         split = ML.group_split(rows, "l_orderkey", 0.25, 1)
         model = ML.trained(split.filter("not is_test"), ["l_quantity", "l_discount", "l_tax"], "label", code)
@@ -118,5 +118,5 @@ def _fitted(code: str):
     return run
 
 
-for _code in ML.ESTIMATORS:
+for _code in (*ML.ESTIMATORS, *ML.SCALED):
     query(f"train_{_code}")(_fitted(_code))

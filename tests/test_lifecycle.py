@@ -83,6 +83,25 @@ def test_augmentation_moves_numbers_a_little(spark, rows):
     assert more.agg(F.min("a").alias("x")).first().x > -0.02 and more.select("g").distinct().count() == 40
 
 
+def test_augmentation_draws_with_replacement_and_normal_noise(spark):
+    import hashlib
+    import math
+
+    rows = spark.createDataFrame([(i, float(i % 7), None if i == 3 else float(i), "k") for i in range(50)], "id_ long, a double, b double, c string")
+    got = M.augmented(rows.repartition(5), ["a", "b"], 1.5, 0.02, 9)
+    u = lambda *p: (int(hashlib.md5("/".join(map(str, p)).encode()).hexdigest()[:8], 16) + 1) / (1 << 32)
+    plain = sorted(map(tuple, rows.collect()), key=lambda r: r[0])
+    sd = {c: rows.agg(F.stddev_samp(c)).first()[0] for c in "ab"}
+    normal = lambda c, k: math.sqrt(-2 * math.log(u(f"9/{c}/r", k))) * math.cos(2 * math.pi * u(f"9/{c}/a", k))
+    want = []
+    for k in range(75):
+        i, a, b, c = plain[min(49, math.floor(u(9, k) * 50))]
+        want.append((i, round(a + 0.02 * sd["a"] * normal("a", k), 9), None if b is None else round(b + 0.02 * sd["b"] * normal("b", k), 9), c))
+    more = [(r.id_, round(r.a, 9), None if r.b is None else round(r.b, 9), r.c) for r in got.filter("is_augmented").collect()]
+    assert sorted(more, key=str) == sorted(want, key=str) and len({r[0] for r in more}) < 50
+    assert M.augmented(rows.limit(1), ["a"], 0.1, 0.02, 1).count() == 2 and M.augmented(rows.limit(0), ["a"], 0.1, 0.02, 1).count() == 0
+
+
 def test_reports_and_sheets_are_written(spark, tmp_path):
     e = {"numbers": spark.createDataFrame([("n1", 100.0, "g", None, 0.02), ("n2", 5.0, "g", None, None)], "id string, value double, unit string, tolerance double, relative_tolerance double"), "translations": spark.createDataFrame([("t1", "abcd", 0.5)], "id string, reference string, min_score double").limit(0)}
     a = {"numbers": spark.createDataFrame([("n1", 101.9, " G "), ("x", 1.0, "g")], "id string, value double, unit string"), "translations": spark.createDataFrame([], "id string, translation string")}

@@ -27,6 +27,8 @@ BOUNDS = {
     "train_logistic": (1, "accuracy > 0.9"),
     "train_random_forest_classifier": (1, "accuracy > 0.9"),
     "train_gradient_boosting_classifier": (1, "accuracy > 0.9"),
+    "train_linear_svc": (1, "accuracy > 0.9"),
+    "train_neural_classifier": (1, "accuracy > 0.95"),
 }
 
 
