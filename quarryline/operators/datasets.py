@@ -65,3 +65,72 @@ def content_hash(rows: DataFrame, by: list[str], *columns: Column) -> DataFrame:
 def cloned(table: DataFrame, ids: list[str], version: str, new_version: str) -> DataFrame:
     """A version's rows under a new version, ids derived from the old ones; references cloned alike still meet."""
     return table.withColumns({version: F.lit(new_version)} | {c: F.sha2(F.concat_ws("/", F.lit(new_version), F.col(c).cast("string")), 256) for c in ids})
+
+
+#: Review states of records that a dataset is built from, and the state of a version that may be changed.
+BUILT_FROM, DRAFT = ("pending", "confirmed", "modified"), "draft"
+
+
+def reviewed(records: DataFrame, statuses: tuple[str, ...] = BUILT_FROM) -> DataFrame:
+    """The records(review_status, ...) that a dataset is built from; those of no state are left out."""
+    return records.filter(F.col("review_status").isin(*statuses))
+
+
+def judged(edits: DataFrame, versions: DataFrame, rows: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
+    """edits(version_id, ...) with code: null if allowed, else why not.
+
+    Only drafts of versions(version_id, status) may be changed. With rows(version_id, row_id) and fields(version_id, field) an
+    edit's row and field must be the version's own.
+    """
+    known = versions.select("version_id", F.col("status").alias("_status"))
+    out = edits.join(known, "version_id", "left")
+    code = F.when(F.col("_status").isNull(), "dataset_version_not_found").when(F.col("_status") != DRAFT, "dataset_immutable")
+    for name, table_, missing in (("row_id", rows, "dataset_row_not_found"), ("field", fields, "dataset_field_not_found")):
+        if table_ is not None:
+            own = table_.select("version_id", name).distinct().withColumn(f"_{name}", F.lit(True))
+            out = out.join(own, ["version_id", name], "left")
+            code = code.when(F.col(f"_{name}").isNull(), missing)
+    return out.withColumn("code", code).drop("_status", "_row_id", "_field")
+
+
+def with_added_rows(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """rows(version_id, row_id, row_no, review_status, is_deleted) and the allowed ones of new(version_id, row_id, code), numbered on.
+
+    Numbers go on from the version's greatest, deleted rows included, in order of row_id.
+    """
+    last = rows.groupBy("version_id").agg(F.max("row_no").alias("_last"))
+    order = Window.partitionBy("version_id").orderBy("row_id")  # what one person adds to a draft
+    added = new.filter("code is null").join(last, "version_id", "left").withColumn("row_no", F.coalesce("_last", F.lit(0)) + F.row_number().over(order))
+    return rows.unionByName(added.select("version_id", "row_id", F.col("row_no").cast(dict(rows.dtypes)["row_no"]).alias("row_no"), F.lit("pending").alias("review_status"), F.lit(False).alias("is_deleted")))
+
+
+def with_deleted_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows with the allowed ones of gone(version_id, row_id, code) marked as deleted; no row goes."""
+    asked = gone.filter("code is null").select("version_id", "row_id").distinct().withColumn("_gone", F.lit(True))
+    lost = F.coalesce("_gone", F.lit(False))
+    return rows.join(asked, ["version_id", "row_id"], "left").withColumns({"review_status": F.when(lost, "deleted").otherwise(F.col("review_status")), "is_deleted": lost | F.col("is_deleted")}).drop("_gone")
+
+
+def frozen(versions: DataFrame, rows: DataFrame, fields: DataFrame, cells: DataFrame) -> DataFrame:
+    """version_id, status, code, issue_count, row_count, field_count, content_hash: every version asked to be frozen.
+
+    Only a draft is, and only without issues: no required cell of a row that is not deleted may be missing, none of its cells
+    doubtful. A refused version keeps its status and has a code and no hash. Inputs are versions(version_id, status),
+    rows(version_id, row_id, is_deleted), fields(version_id, field, is_required) and cells(version_id, row_id, field,
+    value_text, value_number, is_missing, review_status).
+    """
+    live = rows.filter("not is_deleted").select("version_id", "row_id")
+    own = cells.join(live, ["version_id", "row_id"], "left_semi")
+    required = live.join(fields.filter("is_required").select("version_id", "field"), "version_id")  # a row for each required field
+    has = ~F.coalesce("is_missing", F.lit(False)) & (present("string", F.col("value_text")) | present("number", F.col("value_number")))
+    lacking = required.join(own, ["version_id", "row_id", "field"], "left").filter(~has).select("version_id")
+    issues = lacking.unionByName(own.filter("review_status = 'doubtful'").select("version_id")).groupBy("version_id").agg(F.count("*").alias("issue_count"))
+    hashes = content_hash(own, ["version_id"], F.col("row_id"), F.col("field"), F.col("value_text"), F.col("value_number").cast("decimal(38, 6)"))
+    counts = live.groupBy("version_id").agg(F.count("*").alias("row_count")), fields.groupBy("version_id").agg(F.count("*").alias("field_count"))
+    out = versions.select("version_id", "status")
+    for part in (issues, *counts, hashes):
+        out = out.join(part, "version_id", "left")
+    out = out.fillna(0, ["issue_count", "row_count", "field_count"])
+    code = F.when(F.col("status") != DRAFT, "dataset_not_freezable").when(F.col("issue_count") > 0, "dataset_freeze_validation_failed")
+    free = code.isNull()
+    return out.select("version_id", F.when(free, "frozen").otherwise(F.col("status")).alias("status"), code.alias("code"), "issue_count", "row_count", "field_count", F.when(free, F.coalesce("content_hash", F.sha2(F.lit(""), 256))).alias("content_hash"))

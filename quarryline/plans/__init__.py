@@ -1,3 +1,3 @@
 """Named queries; importing this package registers them."""
 
-from . import datasets, evidence, exports, extraction, lifecycle, models, relational, rules, streams, workflow  # noqa: F401
+from . import datasets, drafts, evidence, exports, extraction, lifecycle, models, relational, rules, streams, workflow  # noqa: F401
