@@ -5,7 +5,7 @@ from __future__ import annotations
 import hmac
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import ClassificationModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -14,7 +14,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .modelling import ESTIMATORS, entropy, fold, interval, objective, regression_metrics, weighted_metrics
+from ..session import checkpointed
+from .modelling import ESTIMATORS, balanced_folds, entropy, fold, interval, objective, regression_metrics, weighted_metrics
 from .ordering import numbered
 
 #: The grids that a search goes through.
@@ -51,16 +52,26 @@ def group_shuffle_split(rows: DataFrame, group: str, test_share: float, seed: in
 
 
 def searched(rows: DataFrame, inputs: list[str], y: str, code: str, group: str | None = None, folds: int = 3, seed: int = 42) -> tuple[PipelineModel, float]:
-    """The best pipeline of an estimator's grid by folds of whole groups, and its mean metric (RMSE, or weighted F1 of a classifier)."""
+    """The best pipeline of an estimator's grid by folds of whole groups, and its mean metric (RMSE, or weighted F1 of a classifier).
+
+    Folds are balanced by their rows; with fewer than two groups, or none named, rows are dealt by digest. Vectors and folds are
+    materialised once for all fits.
+    """
     estimator = ESTIMATORS[code](y, seed)
     grid = ParamGridBuilder()
     for name, values in GRIDS.get(code, {}).items():
         grid = grid.addGrid(estimator.getParam(name), values)
     measure = MulticlassClassificationEvaluator(labelCol=y, metricName="f1") if "class" in code or code == "logistic" else RegressionEvaluator(labelCol=y, metricName="rmse")
-    whole = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), estimator])
-    placed = rows.withColumn("_fold", fold(group or inputs[0], folds, seed))
-    found = CrossValidator(estimator=whole, estimatorParamMaps=grid.build(), evaluator=measure, numFolds=folds, foldCol="_fold", parallelism=2).fit(placed)
-    return found.bestModel, float(min(found.avgMetrics) if measure.getMetricName() == "rmse" else max(found.avgMetrics))
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    groups = rows.select(group).distinct().limit(folds).count() if group else 0
+    if groups >= 2:
+        folds, placed = min(folds, groups), balanced_folds(rows, group, min(folds, groups), "_fold")
+    else:
+        key = F.to_json(F.struct(*inputs, y))
+        placed = rows.withColumn("_key", key).withColumn("_fold", fold("_key", folds, seed))
+    placed = checkpointed(assembler.transform(placed).select("features", y, "_fold"))
+    found = CrossValidator(estimator=estimator, estimatorParamMaps=grid.build(), evaluator=measure, numFolds=folds, foldCol="_fold", parallelism=2).fit(placed)
+    return PipelineModel(stages=[assembler, found.bestModel]), float(min(found.avgMetrics) if measure.getMetricName() == "rmse" else max(found.avgMetrics))
 
 
 def selected(models: dict[str, PipelineModel], test: DataFrame, y: str, classify: bool) -> tuple[str, DataFrame]:

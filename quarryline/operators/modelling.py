@@ -62,6 +62,49 @@ def fold(group: str, folds: int, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(group).cast("string"))), 1, 8), 16, 10).cast("long") % folds).cast("int")
 
 
+def dealt(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of count groups of one size each fold gets if every group goes to the lightest fold, of equal ones the first.
+
+    These are the count least of the loads + j * size, so nothing is done group by group.
+    """
+    low, high = min(loads), max(loads) + size * (count + 1)
+
+    def given(level: int) -> list[int]:
+        return [max(0, -(-(level - load) // size)) for load in loads]  # groups that start below the level
+
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(given(middle)) <= count else (low, middle)
+    out = given(low)
+    for k in sorted(range(len(loads)), key=lambda k: (loads[k] + out[k] * size, k))[: count - sum(out)]:
+        out[k] += 1
+    return out
+
+
+def balanced_folds(rows: DataFrame, group: str, folds: int, out: str = "fold") -> DataFrame:
+    """rows with the fold of their group: groups go, largest first, to the fold with the fewest rows so far.
+
+    Groups of one size are alike, so the driver only deals a histogram of sizes (there are fewer sizes than the root of twice
+    the rows); a group finds its fold by its number in the order of size and name. A null group is a group.
+    """
+    spark = rows.sparkSession
+    groups = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    placed = numbered(groups, [F.desc("_size"), F.col(group)], "_number")
+    sizes = placed.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()
+    loads, parts, at = [0] * folds, [], 0
+    for s in sizes:
+        for k, n in enumerate(dealt(loads, s["_size"], s["n"])):
+            if n:
+                parts.append((s["_size"], at, at + n, k))
+                loads[k], at = loads[k] + n * s["_size"], at + n
+    if not parts:
+        return rows.withColumn(out, F.lit(0))
+    table = spark.createDataFrame(parts, "_size long, _from long, _to long, _fold int")
+    found = placed.join(F.broadcast(table), "_size").filter((F.col("_number") >= F.col("_from")) & (F.col("_number") < F.col("_to")))  # a row for each size and fold
+    found = found.select(F.col(group).alias("_group"), F.col("_fold").alias(out))
+    return rows.join(found, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def ridge(rows: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
     """Slope and intercept of one-feature ridge regression, from centred sums."""
     n, sx, sy = F.count("*"), F.sum(x), F.sum(y)

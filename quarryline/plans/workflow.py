@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import exports as P
 from ..operators import modelling as ML
-from ..session import table
+from ..session import checkpointed, table
 from .catalogue import query
 
 
@@ -53,10 +53,18 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return line.select("l_orderkey", "l_quantity", "l_discount", "l_tax", (3 * F.col("l_quantity") - 40 * F.col("l_discount") + F.col("l_linenumber")).alias("label"))
 
 
+@query("group_folds")
+def group_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's fold of five, whole, and how many events it has; SQL has no step by step dealing, the tests do it."""
+    placed = ML.balanced_folds(table(spark, d, "events").select("user_id", "event_id"), "user_id", 5)
+    return placed.groupBy("user_id", "fold").agg(F.count("*").alias("n"))
+
+
 @query("cross_validated_grid")
 def cross_validated_grid(spark: SparkSession, d: str) -> DataFrame:
     """regularisation and mean error over folds of whole groups."""
-    rows = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(_measured(spark, d)).withColumn("fold", ML.fold("l_orderkey", 3, 2))
+    rows = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(_measured(spark, d))
+    rows = checkpointed(ML.balanced_folds(rows, "l_orderkey", 3).select("features", "label", "fold"))
     lr = LinearRegression(solver="normal")
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1, 10.0]).build()
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=3, foldCol="fold").fit(rows)

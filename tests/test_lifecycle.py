@@ -83,6 +83,27 @@ def test_augmentation_moves_numbers_a_little(spark, rows):
     assert more.agg(F.min("a").alias("x")).first().x > -0.02 and more.select("g").distinct().count() == 40
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_folds_are_dealt_to_the_lightest(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    sizes = [r.choice([1, 1, 1, 2, 3, 5, 8, 40]) for _ in range(60)]
+    rows = spark.createDataFrame([(None if g == 7 else g, k) for g, n in enumerate(sizes) for k in range(n)], "g int, k int")
+    got = M.balanced_folds(rows, "g", 4, "f").groupBy("g", "f").count().collect()
+    assert sorted((r.g if r.g is not None else 7, r["count"]) for r in got) == sorted(enumerate(sizes))  # whole groups, no row lost
+    loads, each = [0] * 4, {}
+    for n in sorted(sizes, reverse=True):
+        k = loads.index(min(loads))
+        loads[k] += n
+        each[n, k] = each.get((n, k), 0) + 1
+    mine = {}
+    for r in got:
+        mine[r["count"], r.f] = mine.get((r["count"], r.f), 0) + 1
+    assert mine == each and max(loads) - min(loads) < max(sizes)
+    assert M.balanced_folds(rows.limit(0), "g", 4, "f").count() == 0
+
+
 def test_augmentation_draws_with_replacement_and_normal_noise(spark):
     import hashlib
     import math

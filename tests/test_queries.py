@@ -13,6 +13,7 @@ def test_agrees_with_sql(spark, data, name):
 BOUNDS = {
     "augmented_rows": (200, "size is not null"),
     "cross_validated_grid": (3, "rmse > 0 and rmse < 50"),
+    "group_folds": (10, "fold between 0 and 4 and n > 0"),
     "login_throttle": (1000, "failures between 0 and 5"),
     "predict_regression": (1000, "low <= prediction and prediction <= high"),
     "search_fuzzy": (1, "score >= 82"),
