@@ -63,14 +63,14 @@ WATCHED = "CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'en
 
 @query(
     "job_timeouts",
-    f"""WITH n AS (SELECT max(epoch_us(ts)) AS now FROM events), e AS (SELECT user_id, epoch_us(ts) AS at, event_id, {WATCHED} AS kind FROM events WHERE event_type <> 'error'),
-w AS (SELECT *, sum((kind <> 'heartbeat')::INTEGER) OVER o AS run, sum((kind = 'ended')::INTEGER) OVER o AS life, coalesce(lead(at) OVER o, now) AS next FROM e, n WINDOW o AS (PARTITION BY user_id ORDER BY at, event_id)),
-r AS (SELECT user_id, life, min(CASE WHEN next - at > {12 * HOURS} THEN at END) + {12 * HOURS} AS at FROM w GROUP BY user_id, life, run HAVING bool_or(kind = 'started')),
-k AS (SELECT *, (row_number() OVER (PARTITION BY user_id, life ORDER BY at) - 1) % 4 AS k FROM r WHERE at IS NOT NULL)
-SELECT user_id, at, CASE WHEN k < 3 THEN 'queued' ELSE 'failed' END AS status, least(k + 1, 3)::BIGINT AS retry_count, 'worker_heartbeat_timeout' AS error FROM k""",
+    f"""WITH n AS (SELECT max(epoch_us(ts)) AS now FROM events), e AS (SELECT user_id, epoch_us(ts) AS us, event_id, {WATCHED} AS kind FROM events WHERE event_type <> 'error'),
+w AS (SELECT *, sum((kind <> 'heartbeat')::INTEGER) OVER o AS run, sum((kind = 'ended')::INTEGER) OVER o AS life, coalesce(lead(us) OVER o, now) AS next FROM e, n WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id)),
+r AS (SELECT user_id, life, min(CASE WHEN next - us > {12 * HOURS} THEN us END) + {12 * HOURS} AS lost_at FROM w GROUP BY user_id, life, run HAVING bool_or(kind = 'started')),
+k AS (SELECT *, (row_number() OVER (PARTITION BY user_id, life ORDER BY lost_at) - 1) % 4 AS k FROM r WHERE lost_at IS NOT NULL)
+SELECT user_id, lost_at, CASE WHEN k < 3 THEN 'queued' ELSE 'failed' END AS status, least(k + 1, 3)::BIGINT AS retry_count, 'worker_heartbeat_timeout' AS error FROM k""",
 )
 def job_timeouts(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     now = events.agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0]
     watched = events.filter("event_type <> 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("number"), "ts", F.expr(WATCHED).alias("kind"))
-    return K.over_batch(watched, K.LostJobs(timeout=12 * HOURS), now).withColumnRenamed("key", "user_id")
+    return K.over_batch(watched, K.LostJobs(timeout=12 * HOURS), now).withColumnsRenamed({"key": "user_id", "at": "lost_at"})
