@@ -72,12 +72,13 @@ def _planted(docs: DataFrame) -> DataFrame:
     """doc_id and text, a tenth of the texts made periodic from a word on, as the id's checksum h says.
 
     With h % 10 = 0, g = h // 10, a = g % n and p = 1 + (n - a) // (3 + g % 8), word i >= a becomes word a + (i - a) % p.
+    A text without words has no a and stays as it is.
     """
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     drawn = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("w"))
     n = F.size("w")
-    placed = drawn.withColumn("a", (F.col("g") % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    placed = drawn.withColumn("a", F.try_mod("g", n.cast("long")).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
     words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("w", 1 + F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i)))
     return placed.select("doc_id", F.when(n > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
 

@@ -96,6 +96,15 @@ def test_planted_texts_are_periodic(spark, data):
     assert seen > 5
 
 
+@pytest.mark.parametrize("text", ["", " \n\t", None, "one", "a b " * 40])
+def test_drawn_ids_of_any_text(spark, tmp_path, text):
+    """Ids drawn for planting may have texts without words."""
+    rows = [(i, text) for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "out"))
+    next((tmp_path / "out").glob("part-*")).rename(tmp_path / "documents.parquet")
+    agree(spark, queries.op11_periodic_runs, queries.PERIODIC_SQL, str(tmp_path))
+
+
 # 12 source divergence
 
 
