@@ -4,15 +4,17 @@
 the vocabulary's, a constant) is read on the driver and broadcast, so executors need no vocabulary file.
 
 Text becomes one dummy space plus the text, spaces written as U+2581, as the identity normaliser of the model does.
-Pieces hold that mark only at their front, so the text falls apart exactly into units ``mark* other*``; a unit's ids
-depend on nothing else and are kept in a bounded per-worker memo. A vocabulary with marks elsewhere makes the whole
-text one unit.
+Pieces hold that mark only at their front, and no piece joins two characters of different kinds (those that pieces
+link by standing side by side in them: letters, punctuation, a digit alone), so the text falls apart exactly into units
+``mark* kind*``; a unit's ids depend on nothing else and are kept in a bounded per-worker memo. A vocabulary with marks
+elsewhere makes the whole text one unit.
 
-For each position the automaton reports every piece that ends there, by its output links, and each relaxes the best
-score of the prefix. In a unigram model any path counts and the best sum of scores wins (of equal sums the longest last
+For each position the automaton reports every piece of two characters or more that ends there, by its output links, and
+each relaxes the best score of the prefix, last the character alone. In a unigram model any path counts and the best sum of scores wins (of equal sums the longest last
 piece). In a BPE model (``bpe=True``) a piece relaxes a prefix only if it and the piece before it are what merging would
-leave of their joined text, so the path is that of the merge algorithm. A character that no piece covers becomes its
-UTF-8 byte pieces, or the unknown id in a vocabulary without them.
+leave of their joined text, so the path is that of the merge algorithm; merging has one result, so only one
+piece can relax each prefix, and the others need no look. A character that no piece covers becomes its UTF-8 byte pieces, or the
+unknown id in a vocabulary without them.
 
 Null texts have null ids; an empty text has none. Repeated rows each get their ids; a table without rows gives none.
 Other columns, whatever their names, are kept, except that the output column is replaced.
@@ -22,7 +24,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
@@ -52,6 +55,17 @@ def read_table(model_file: str = MODEL) -> list[tuple[str, float, int]]:
     return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
 
 
+def kinds(pieces: Iterable[str]) -> list[str]:
+    """The characters but the mark that pieces link by holding them side by side, the largest set first."""
+    of: dict[str, set[str]] = {}
+    for a, b in {pair for p in pieces for pair in pairwise(p) if MARK not in pair}:
+        one, two = sorted((of.setdefault(a, {a}), of.setdefault(b, {b})), key=len)
+        if one is not two:
+            two |= one
+            of.update(dict.fromkeys(one, two))
+    return sorted(("".join(sorted(x)) for x in {id(x): x for x in of.values()}.values()), key=len, reverse=True)
+
+
 class Memo(dict):
     """A dict that computes what it lacks. When full it keeps one older generation, from which used entries return."""
 
@@ -85,28 +99,33 @@ class Codec:
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k == NORMAL else " ⁇ ".encode() if k == UNKNOWN else b"" for p, _, k in pieces]
         self.unknown_score = min((s for _, s in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         split = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.unit = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if split else "(?s:.+)")
+        self.unit = re.compile("".join([f"{MARK}*(?:", *(f"[{re.escape(x)}]+|" for x in kinds(self.ids)), f"[^{MARK}])|{MARK}+"]) if split else "(?s:.+)")
         self.names = [p for p, _, _ in pieces]
         #: Pieces that merging makes of their own characters; only those occur in a BPE text.
         self.whole = [k == NORMAL and self.merged(p) == [p] for p, _, k in pieces] if bpe else []
         self.apart = Memo(self._stay_apart, PAIR_MEMO)
         self.scores = [s for _, s, _ in pieces]
+        self.lengths = [len(p) for p, _, _ in pieces]
+        self.single = Memo(lambda char: self.ids.get(char, (-1, self.unknown_score)))
         self.automaton = ahocorasick.Automaton()
         for p, (i, _) in self.ids.items():
-            if not bpe or self.whole[i]:
-                self.automaton.add_word(p, (len(p), i))
+            if len(p) > 1 and (not bpe or self.whole[i]):
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.units = Memo(lambda u: pack(self.path(u)), too_long=lambda u: len(u) > MEMO_CHARS)
 
     def merged(self, text: str) -> list[str]:
         """What merging the best pair again and again (of equal ones the first) leaves of a short text."""
+        none = (-1, float("-inf"))
         parts = list(text)
-        while True:
-            best = max(((self.ids[p][1], -k) for k in range(len(parts) - 1) if (p := parts[k] + parts[k + 1]) in self.ids), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
+        gains = [self.ids.get(a + b, none)[1] for a, b in pairwise(parts)]
+        while gains and (best := max(gains)) > none[1]:
+            k = gains.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del gains[k]
+            for j in range(max(0, k - 1), min(k + 1, len(gains))):
+                gains[j] = self.ids.get(parts[j] + parts[j + 1], none)[1]
+        return parts
 
     def _stay_apart(self, pair: int) -> bool:
         """Whether merging the joined text of two pieces leaves the two."""
@@ -118,27 +137,30 @@ class Codec:
 
     def path(self, unit: str) -> list[int]:
         """Viterbi: by end, the best score of the prefix and its last piece (-1: its last character has none)."""
-        apart, count, scores, bpe, unknown = self.apart, len(self.names), self.scores, self.bpe, self.unknown_score
-        last_id, length, score = [-1] * (len(unit) + 1), [1] * (len(unit) + 1), [0.0] + [float("-inf")] * len(unit)
+        apart, count, scores, lengths, bpe, single = self.apart, len(self.names), self.scores, self.lengths, self.bpe, self.single
+        last_id, score = [-1] * (len(unit) + 1), [0.0] + [float("-inf")] * len(unit)
         settled = 0
-        for last, (n, i) in self.automaton.iter(unit):
-            while settled < last:  # all pieces up to here are seen: positions that none reached follow one unknown character
+        for last, i in chain(self.automaton.iter(unit), ((len(unit), -1),)):
+            while settled < last:  # all longer pieces up to here are seen: the character alone is what remains to relax
+                alone, one = single[unit[settled]]
                 settled += 1
-                if last_id[settled] < 0:
-                    score[settled] = score[settled - 1] + unknown
-            begin, end = last + 1 - n, last + 1
-            found = score[begin] + scores[i]
-            if found > score[end] and (not bpe or (before := last_id[begin]) < 0 or apart[before * count + i]):
-                score[end], last_id[end], length[end] = found, i, n
+                if last_id[settled] < 0 or not bpe and alone >= 0 and score[settled - 1] + one > score[settled]:
+                    score[settled], last_id[settled] = score[settled - 1] + one, alone
+            if i >= 0 and not (bpe and last_id[last + 1] >= 0):
+                begin = last + 1 - lengths[i]
+                found = score[begin] + scores[i]
+                if found > score[last + 1] and (not bpe or (before := last_id[begin]) < 0 or apart[before * count + i]):
+                    score[last + 1], last_id[last + 1] = found, i
         ids: list[int] = []
         end = len(unit)
         while end:
             i = last_id[end]
             if i >= 0:
                 ids.append(i)
+                end -= lengths[i]
             else:
                 ids += self._unknown(unit[end - 1])[::-1]
-            end -= length[end]
+                end -= 1
         ids.reverse()
         return ids
 

@@ -426,6 +426,24 @@ def test_pieces_equal_the_library_on_odd_texts(text):
     assert ids(c, text) == p.encode(text) and c.decode(np.array(ids(c, text), np.int32)) == text
 
 
+def test_units_end_where_no_piece_goes_on(codec, library):
+    """A word is remembered once, whatever follows it, and the library's ids do not change."""
+    c = pieces.Codec(pieces.read_table(), True)
+    ends = ["", ".", ",", "!!", ".\n", "\n\n", "&&&", ")", "7", "\U0001f600", "...", "▁▁"]
+    texts = [" ".join(w + e for w in ("ciónmenteuega", "etxFe", "größe")) + e for e in ends] + [e + "one" + e + "two " + e for e in ends[1:]]
+    assert [ids(c, t) for t in texts] == library.encode(texts, num_threads=1)
+    words = [u for u in c.units if any(x.isalpha() for x in u)]
+    assert {u.strip("▁") for u in words} == {"ciónmenteuega", "etxFe", "größe", "one", "two"}
+    assert "".join(pieces.kinds(["▁ab", "bc", "xx", "..", ".)", "q"])) == "abc).x"
+
+
+def test_characters_alone_relax_last():
+    """Pieces of one character compete by score in a unigram model, and are what remains in a BPE model."""
+    table = [("<unk>", 0.0, pieces.UNKNOWN), ("▁", -1.0, 0), ("a", -1.0, 0), ("b", -1.0, 0), ("ab", -3.0, 0), ("ba", -1.5, 0)]
+    assert ids(pieces.Codec(table, False), "ab") == [1, 2, 3] and ids(pieces.Codec(table, False), "ba?b") == [1, 5, 0, 3]
+    assert ids(pieces.Codec(table, True), "ab") == [1, 4] and ids(pieces.Codec(table, True), "aba?") == [1, 2, 5, 0]
+
+
 def test_unigram_path_is_the_best_of_all():
     table = [("<unk>", 0.0, pieces.UNKNOWN), ("▁a", -2.0, 0), ("b", -1.5, 0), ("▁ab", -4.0, 0), ("bc", -2.5, 0), ("c", -3.0, 0), ("abc", -1.0, 0), ("▁", -0.5, 0)]
     c = pieces.Codec(table, False)
