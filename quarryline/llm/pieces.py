@@ -39,7 +39,7 @@ from .common import slices
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct units, none longer than so many characters, and piece pairs that a worker remembers in each of two generations.
-MEMO, MEMO_CHARS, PAIR_MEMO = 100_000, 64, 400_000
+MEMO, MEMO_CHARS, PAIR_MEMO = 200_000, 64, 400_000
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 #: A character without a piece scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
