@@ -82,14 +82,19 @@ def dealt(loads: list[int], size: int, count: int) -> list[int]:
 
 
 def balanced_folds(rows: DataFrame, group: str, folds: int, out: str = "fold") -> DataFrame:
-    """rows with the fold of their group: groups go, largest first, to the fold with the fewest rows so far.
+    """rows with the fold of their group: groups go, largest first, to the fold with the fewest rows so far. A null group is a group."""
+    found = folded(rows.groupBy(group).agg(F.count("*").alias("_size")), group, folds, out).withColumnRenamed(group, "_group")
+    return rows.join(found, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def folded(groups: DataFrame, group: str, folds: int, out: str) -> DataFrame:
+    """The groups of groups(group, _size) with their fold.
 
     Groups of one size are alike, so the driver only deals a histogram of sizes (there are fewer sizes than the root of twice
-    the rows); a group finds its fold by its number in the order of size and name. A null group is a group.
+    the rows); a group finds its fold by its number in the order of size and name.
     """
-    spark = rows.sparkSession
-    groups = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    placed = numbered(groups, [F.desc("_size"), F.col(group)], "_number")
+    spark = groups.sparkSession
+    placed = numbered(groups.select(group, "_size"), [F.desc("_size"), F.col(group)], "_number")
     sizes = placed.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()
     loads, parts, at = [0] * folds, [], 0
     for s in sizes:
@@ -98,11 +103,10 @@ def balanced_folds(rows: DataFrame, group: str, folds: int, out: str = "fold") -
                 parts.append((s["_size"], at, at + n, k))
                 loads[k], at = loads[k] + n * s["_size"], at + n
     if not parts:
-        return rows.withColumn(out, F.lit(0))
+        return groups.select(group, F.lit(0).alias(out))
     table = spark.createDataFrame(parts, "_size long, _from long, _to long, _fold int")
     found = placed.join(F.broadcast(table), "_size").filter((F.col("_number") >= F.col("_from")) & (F.col("_number") < F.col("_to")))  # a row for each size and fold
-    found = found.select(F.col(group).alias("_group"), F.col("_fold").alias(out))
-    return rows.join(found, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    return found.select(group, F.col("_fold").alias(out))
 
 
 def ridge(rows: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
@@ -113,9 +117,20 @@ def ridge(rows: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
     return sums.select(slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
 
 
-def regression_metrics(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """r2 (0 for one row), mae, rmse and the sample deviation of the residuals, in one pass."""
+def regression_metrics(rows: DataFrame, actual: str, predicted: str, times: str | None = None) -> DataFrame:
+    """r2 (0 for one row), mae, rmse and the sample deviation of the residuals, in one pass.
+
+    times says how many equal rows a row stands for; a first pass then finds the means that squares are taken from.
+    """
     e, y = F.col(actual) - F.col(predicted), F.col(actual)
+    if times is not None:
+        n, of = F.sum(times), lambda x: F.sum(F.when(x.isNotNull(), F.col(times)))
+        mean = lambda x: F.sum(F.col(times) * x) / of(x)
+        at = rows.agg(mean(y).alias("y"), mean(e).alias("e")).first()  # one row of means
+        y, d = y - F.lit(at["y"]), e - F.lit(at["e"])
+        r2 = F.when(n < 2, 0.0).otherwise(1 - F.sum(F.col(times) * e * e) / F.nullif(mean(y * y) * n, F.lit(0.0)))
+        sd = F.sqrt(F.sum(F.col(times) * d * d) / F.nullif(of(d) - 1, F.lit(0.0)))
+        return rows.agg(r2.alias("r2"), mean(F.abs(e)).alias("mae"), F.sqrt(mean(e * e)).alias("rmse"), sd.alias("residual_sd"))
     r2 = F.when(F.count("*") < 2, 0.0).otherwise(1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0)))
     return rows.agg(r2.alias("r2"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.stddev_samp(e).alias("residual_sd"))
 

@@ -11,12 +11,17 @@ from ..session import table
 from .catalogue import query
 
 INPUTS = ["l_quantity", "l_discount", "l_tax"]
+#: The share of the orders that are test orders, and the seed they are drawn by.
+TEST = (0.25, 1)
 
 
-def measured(spark: SparkSession, d: str, classify: bool = False) -> DataFrame:
-    line = table(spark, d, "lineitem")
+def lines(spark: SparkSession, d: str, classify: bool = False) -> DataFrame:
     label = (F.col("l_quantity") * F.col("l_discount") > 1.2).cast("double") if classify else 3 * F.col("l_quantity") - 40 * F.col("l_discount") + F.col("l_linenumber")
-    return L.group_shuffle_split(line.select("l_orderkey", *INPUTS, label.alias("label")), "l_orderkey", 0.25, 1)
+    return table(spark, d, "lineitem").select("l_orderkey", *INPUTS, label.alias("label"))
+
+
+def measured(spark: SparkSession, d: str, classify: bool = False) -> DataFrame:
+    return L.group_shuffle_split(lines(spark, d, classify), "l_orderkey", *TEST)
 
 
 @query("feature_matrix", "SELECT o_orderkey AS row_id, o_custkey AS group_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS status, (o_orderkey % 50)::DOUBLE AS y FROM orders WHERE o_orderkey % 3 <> 0")
@@ -43,12 +48,11 @@ def _residuals(model, test: DataFrame) -> float:
 @query("model_selection")
 def model_selection(spark: SparkSession, d: str) -> DataFrame:
     """Test metrics of three estimators, each the best of its grid, and which one is selected."""
-    rows = measured(spark, d)
-    train, test = rows.filter("not is_test"), rows.filter("is_test")
+    train, test = L.split_foldings(lines(spark, d), INPUTS, "label", "l_orderkey", *TEST)
     models, cv = {}, {}
     for code in ("ridge", "random_forest", "gradient_boosting"):
-        models[code], cv[code] = L.searched(train, INPUTS, "label", code, "l_orderkey")
-    best, every = L.selected(models, test, "label", False)
+        models[code], cv[code] = L.searched(None, INPUTS, "label", code, counts=train)
+    best, every = L.selected(models, test, "label", False, "_times")
     folds = spark.createDataFrame(list(cv.items()), "code string, cv_rmse double")
     return every.join(folds, "code").withColumn("selected", F.col("code") == best)
 
