@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.similarity import matcher_similarity, partial_similarity
 from ..operators import search as S
 from ..operators import terms as M
-from ..operators.semantics import semantic_scores
+from ..operators.semantics import fit_with, meant
 from ..session import table
 from .catalogue import query
 
@@ -76,8 +76,8 @@ def search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 def _meant(units: DataFrame, terms: list[S.Term]) -> DataFrame:
     """units with the scores of the terms' meaning, by the space of the units and the terms."""
-    named = units.withColumn("id", F.concat_ws(":", "doc_id", "sequence_no"))
-    return named.join(semantic_scores(named.select("id", F.col("content").alias("text")), [t.text for t in terms]), "id").drop("id")
+    asked = [t.text for t in terms]
+    return meant(units, "content", asked, fit_with(units, "content", asked))
 
 
 @query("search_hybrid")
