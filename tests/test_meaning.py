@@ -30,15 +30,17 @@ def made(n, seed):
 @pytest.mark.parametrize("kind", ["char", "word"])
 @pytest.mark.parametrize("letters", [1 << 12, 3])
 def test_tallies_are_plain_counts(monkeypatch, kind, letters):
+    monkeypatch.setattr(M, "SENT", 70)
     monkeypatch.setattr(M, "LETTERS", letters)  # with few letters to a number, words are halved and then read one by one
     texts = [t for t in TEXTS if "\ud800" not in t] + made(60, 3)
     tally = M.Tally(kind)
     for part in (texts[:20], texts[20:21], texts[21:]):
         tally.add(part)
     n, df = Counter(), Counter()
-    for gram, a, b in zip(*(c.to_pylist() for c in tally.emitted().columns), strict=True):
-        n[gram] += a
-        df[gram] += b
+    for batch in tally.emitted():
+        for gram, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n[gram] += a
+            df[gram] += b
     assert n == sum((Counter(plain(kind, t)) for t in texts), Counter()) and df == sum((Counter(set(plain(kind, t))) for t in texts), Counter())
 
 
